@@ -55,17 +55,18 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def with_row_id(df: DataFrame, column: str = "__row") -> DataFrame:
-    """Adds a unique id to each row, fixed only once the result is cut."""
-    return df.withColumn(column, F.monotonically_increasing_id())
+def identified(docs: DataFrame, column: str = "__row") -> DataFrame:
+    """The columns of documents and a unique id, which is the same whenever the rows are read again.
 
-
-def word_count(text: Column) -> Column:
-    """Number of runs without ``BLANKS``; null counts as empty."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain == "", F.lit(0)).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+    It is the file (as a 64-bit hash of its path) and the row's place in it. Anything but a plain scan of files is
+    written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs.select(*DOCUMENT_COLUMNS), "rows")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(*DOCUMENT_COLUMNS, place.alias(column))
 
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, column: str = "__row") -> DataFrame:
-    """The rows of ``docs`` whose ``column`` is in ``keepers``."""
-    return docs.join(keepers.select(column), column, "left_semi")
+    """The rows of ``docs`` whose ``column`` is in ``keepers``; ids alone are held in memory, texts aren't sorted."""
+    return docs.join(keepers.select(column).hint("shuffle_hash"), column, "left_semi")
