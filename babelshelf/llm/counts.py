@@ -14,8 +14,9 @@ from babelshelf.llm.tokens import Generations, PieceEncoder, blocks, encoder, is
 #: Entries of the broadcast table and the longest piece in it: at most 30,000 x 24 characters.
 TABLE_PIECES = 30_000
 TABLE_CHARS = 24
-#: Documents from which the table is filled. It decides the speed alone: pieces that it lacks are encoded.
-SAMPLE_DOCS = 2_000
+#: Documents of at most so many bytes from which the driver fills the table (8 MB together). They decide the speed
+#: alone: pieces that the table lacks are encoded.
+SAMPLE_DOCS, SAMPLE_BYTES = 512, 1 << 14
 #: Lengths remembered by a worker, in each of two generations.
 CACHE_LENGTHS = 500_000
 _lengths: dict[str, Generations] = {}
@@ -42,20 +43,14 @@ def count_tokens(texts: pa.Array, enc: PieceEncoder, table: dict[str, int], cach
 
 
 def frequent_lengths(docs: DataFrame, path: str, pieces: int = TABLE_PIECES, sample: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Lengths of the most frequent pieces among ``sample`` documents, at most ``pieces``."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in blocks(batches):
-            _, index, words = split(texts)
-            n = np.bincount(index, minlength=len(words))
-            keep = [(w, k) for w, k in zip(words, n.tolist(), strict=True) if len(w) <= TABLE_CHARS and is_safe(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.string()), pa.array([k for _, k in keep], pa.int64())], names=["piece", "n"])
-
-    tallied = docs.select("text").limit(sample).mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = [x.piece for x in tallied.orderBy(F.desc("n"), "piece").limit(pieces).collect()]
+    """Lengths of the most frequent pieces among ``sample`` documents, at most ``pieces``. Only as many files are read as hold these."""
     enc = encoder(path)
-    if not enc.by_piece:
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").head(sample)
+    if not rows or not enc.by_piece:
         return {}
+    _, index, words = split(pa.array([x.text for x in rows], pa.large_string()))
+    order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable").tolist()
+    top = [words[i] for i in order if len(words[i]) <= TABLE_CHARS and is_safe(words[i])][:pieces]
     return {w: len(ids) // enc.dtype.itemsize for w, ids in zip(top, enc.encode_pieces(top), strict=True)}
 
 
