@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     The order of flight is that of a hash of doc_id and size, so a rerun takes the same. Columns besides
     ``doc_id``, ``text``, ``source`` and ``keep`` are ignored; an empty table gives an empty result.
     """
-    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), *keep), "sizes")
+    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), *(c for c in keep if c != "source")), "sizes")
     targets = cut(source_targets(rows, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     priced = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "n", rate.alias("__rate"))
