@@ -1,0 +1,25 @@
+from babelshelf.__main__ import main
+
+
+def test_lists_queries(capsys):
+    assert main(["queries"]) == 0 and "predict_early_stop" in capsys.readouterr().out
+
+
+def test_config_check(tmp_path, capsys):
+    assert main(["config_check", str(tmp_path / "none.json")]) == 1
+    (tmp_path / "c.json").write_text('{"minimum": 0.4}')
+    assert main(["config_check", str(tmp_path / "c.json")]) == 0 and "0.4" in capsys.readouterr().out
+
+
+def test_scan(spark, tmp_path, capsys):
+    folder = tmp_path / "Show (2001)" / "Staffel 01"
+    folder.mkdir(parents=True)
+    (folder / "Episode 01 - A [S01E01].mp4").write_bytes(b"x")
+    assert main(["scan", str(tmp_path)]) == 0
+    out = capsys.readouterr().out
+    assert "episode" in out and "season" in out and "series" in out
+
+
+def test_run_writes(spark, sf, tmp_path):
+    assert main(["run", "summary_language", sf, "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
