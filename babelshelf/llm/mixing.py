@@ -23,8 +23,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 #: Mean rows of a chunk in the first round, and chunks that meet in one of the next round (two rows from each).
-CHUNK_ROWS = 20_000
-FAN_IN = 5_000
+CHUNK_ROWS = 2_000
+FAN_IN = 500
 EPSILON = 1e-9
 
 
