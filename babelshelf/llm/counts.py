@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from babelshelf.llm.common import cut
 from babelshelf.llm.tokens import Generations, PieceEncoder, blocks, encoder, is_safe, split, tokenizer_path
 
 #: Entries of the broadcast table and the longest piece in it: at most 30,000 x 24 characters.
 TABLE_PIECES = 30_000
 TABLE_CHARS = 24
-#: Documents of at most so many bytes from which the driver fills the table (8 MB together). They decide the speed
-#: alone: pieces that the table lacks are encoded.
-SAMPLE_DOCS, SAMPLE_BYTES = 512, 1 << 14
+#: Counters in a task's summary, and summaries that meet in one task.
+COUNTERS = 60_000
+FAN_IN = 64
+SUMMARY = "part long, pieces array<string>, counts array<long>"
 #: Lengths remembered by a worker, in each of two generations.
 CACHE_LENGTHS = 500_000
 _lengths: dict[str, Generations] = {}
@@ -42,15 +45,66 @@ def count_tokens(texts: pa.Array, enc: PieceEncoder, table: dict[str, int], cach
     return counts
 
 
-def frequent_lengths(docs: DataFrame, path: str, pieces: int = TABLE_PIECES, sample: int = SAMPLE_DOCS) -> dict[str, int]:
-    """Lengths of the most frequent pieces among ``sample`` documents, at most ``pieces``. Only as many files are read as hold these."""
+def reduced(seen: dict[str, int], most: int = COUNTERS) -> dict[str, int]:
+    """At most ``most`` counters, as in a Misra-Gries summary: all lose what the first one that goes has."""
+    if len(seen) <= most:
+        return seen
+    counts = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
+    off = int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1])
+    return {w: n - off for w, n in seen.items() if n > off}
+
+
+def _summary(part: int, seen: dict[str, int]) -> pa.RecordBatch:
+    seen = reduced(seen)
+    columns = [pa.array([part], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())), pa.array([list(seen.values())], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "pieces", "counts"])
+
+
+def frequent_pieces(docs: DataFrame, pieces: int = TABLE_PIECES) -> list[str]:
+    """The most frequent pieces over all documents, at most ``pieces``.
+
+    Each task counts its pieces in a summary of bounded size, and only these summaries are merged, some at a time. A
+    piece that stands more often than once in ``COUNTERS`` pieces is never lost.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for _, texts in blocks(batches):
+            _, index, words = split(texts)
+            for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                if len(w) <= TABLE_CHARS and is_safe(w):
+                    seen[w] = seen.get(w, 0) + n
+            if len(seen) > 4 * COUNTERS:
+                seen = reduced(seen)
+        if seen:
+            yield _summary(TaskContext.get().partitionId(), seen)
+
+    def merge(table: pa.Table) -> pa.Table:
+        seen: dict[str, int] = {}
+        for some, counts in zip(table.column("pieces"), table.column("counts"), strict=True):
+            for w, n in zip(some.as_py(), counts.as_py(), strict=True):
+                seen[w] = seen.get(w, 0) + n
+            if len(seen) > 4 * COUNTERS:
+                seen = reduced(seen)
+        return pa.Table.from_batches([_summary(table.column("part")[0].as_py() // FAN_IN, seen)])
+
+    tallies = cut(docs.select("text").mapInArrow(tally, SUMMARY), "tallies")
+    parts = (tallies.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        tallies = cut(tallies.groupBy(F.floor(F.col("part") / FAN_IN).alias("__group")).applyInArrow(merge, SUMMARY), "tallies")
+        parts = -(-parts // FAN_IN)
+    whole = tallies.first()
+    if whole is None:
+        return []
+    return [w for _, w in sorted((-n, w) for w, n in zip(whole.pieces, whole.counts, strict=True))[:pieces]]
+
+
+def frequent_lengths(docs: DataFrame, path: str, pieces: int = TABLE_PIECES) -> dict[str, int]:
+    """Token counts of the most frequent pieces over all documents, at most ``pieces``."""
     enc = encoder(path)
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").head(sample)
-    if not rows or not enc.by_piece:
+    if not enc.by_piece:
         return {}
-    _, index, words = split(pa.array([x.text for x in rows], pa.large_string()))
-    order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable").tolist()
-    top = [words[i] for i in order if len(words[i]) <= TABLE_CHARS and is_safe(words[i])][:pieces]
+    top = frequent_pieces(docs, pieces)
     return {w: len(ids) // enc.dtype.itemsize for w, ids in zip(top, enc.encode_pieces(top), strict=True)}
 
 

@@ -1,7 +1,7 @@
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,31 @@ def test_counts(request, library, table):
     assert found == want
 
 
+def test_table_is_filled_from_all_documents(documents):
+    seen = Counter()
+    for r in documents.repartition(7).collect():
+        _, index, words = tokens.split(pa.array([r.text or ""], pa.large_string()))
+        seen.update(words[i] for i in index)
+    want = sorted((-n, w) for w, n in seen.items() if len(w) <= counts.TABLE_CHARS and tokens.is_safe(w))
+    assert counts.frequent_pieces(documents.repartition(130), 100) == [w for _, w in want[:100]]
+    assert counts.frequent_pieces(documents.limit(0)) == []
+
+
+def test_reduced_keeps_frequent_pieces():
+    dice = random.Random(4)
+    stream = [f"w{int(dice.paretovariate(0.8))}" for _ in range(20_000)]
+    seen, most = {}, 50
+    for w in stream:
+        seen[w] = seen.get(w, 0) + 1
+        if len(seen) > 4 * most:
+            seen = counts.reduced(seen, most)
+    seen = counts.reduced(seen, most)
+    exact = Counter(stream)
+    assert len(seen) <= most
+    assert all(exact[w] - len(stream) / most <= seen.get(w, 0) <= exact[w] for w in exact)
+    assert counts.reduced({"a": 1, "b": 1, "c": 1}, 2) == {}
+
+
 @pytest.mark.parametrize("width", [1, 5, 11, 16, 17, 31, 32])
 def test_bit_packing_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1003).astype("<u4")
