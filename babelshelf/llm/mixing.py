@@ -56,7 +56,6 @@ def fly(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.nd
     p, s, done = prob.tolist(), size.tolist(), 0
     todo = [i for i, x in enumerate(p) if EPSILON < x < 1 - EPSILON]
     held: list[int] = []
-    chance = draws.random(len(todo) + 1).tolist()
     while True:
         while len(held) < 3 and done < len(todo):
             held.append(todo[done])
@@ -70,8 +69,7 @@ def fly(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.nd
             step = (c - b, a - c, b - a) if not a == b == c else (1.0, -1.0, 0.0)
         up = min((1 - p[i]) / u if u > 0 else -p[i] / u for i, u in zip(held, step, strict=True) if u)
         down = min(p[i] / u if u > 0 else (p[i] - 1) / u for i, u in zip(held, step, strict=True) if u)
-        move = up if chance[done] * (up + down) < down else -down
-        chance[done] = (chance[done] * 7.0 + 0.318309886) % 1.0
+        move = up if draws.random() * (up + down) < down else -down
         for i, u in zip(held, step, strict=True):
             p[i] += move * u
             p[i] = 0.0 if p[i] < EPSILON else 1.0 if p[i] > 1 - EPSILON else p[i]
