@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +48,8 @@ _ENDS = {
 MAX_PAD = 60
 #: A column or row span beyond this counts as this, so that no attribute makes a page large.
 MAX_SPAN = 50
+#: Elements nested deeper than this end the innermost open one, as in browsers; no text is lost.
+MAX_DEPTH = 512
 
 
 class Frame:
@@ -211,6 +214,8 @@ class Renderer:
             if tag == "hr" and e.shown:
                 self.frames[-1].parts.append(2)
             return
+        if len(self.stack) > MAX_DEPTH:
+            self.close()
         if tag in ("td", "th"):
             e.frame = Frame()
             table = next((x for x in reversed(self.stack) if x.rows is not None), None)
@@ -265,28 +270,40 @@ class Renderer:
 
 
 def visible_text(html: str | None) -> str:
-    """All visible text of a page; null and empty pages give an empty string."""
-    page, at, html = Renderer(), 0, (html or "").replace("\0", "")
-    while True:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            page.text(html[at:])
-            return page.finish()
-        if m.start() > at:
-            page.text(html[at : m.start()])
-        at = m.end()
+    """All visible text of a page; null and empty pages give an empty string.
+
+    A tag whose quotes never close ends at its first ``>``; one without any is text.
+    """
+    page, at, begin, html = Renderer(), 0, 0, (html or "").replace("\0", "")
+    while m := _OPEN.search(html, at):
+        at = m.start()
+        if html.startswith("<!--", at):
+            stop = html.find("-->", m.end())
+            stop = stop + 3 if stop >= 0 else len(html)
+            rest = None
+        else:
+            rest = _REST.match(html, m.end()) if m[2] else None
+            stop = rest.end() if rest else html.find(">", m.end()) + 1
+            if not stop:
+                break
+        if at > begin:
+            page.text(html[begin:at])
+        begin = at = stop
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             page.end(tag)
             continue
-        page.start(tag, m[3])
+        page.start(tag, rest[1] if rest else html[m.end() : stop - 1])
         if tag in _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             stop = close.start() if close else len(html)
             page.text(html[at:stop])
-            at = stop
+            begin = at = stop
+    if begin < len(html):
+        page.text(html[begin:])
+    return page.finish()
 
 
 @F.pandas_udf(T.StringType())

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import zlib
 from collections import defaultdict
 
@@ -167,3 +168,12 @@ def test_html_keeps_visible_words(spark, sf):
 def test_html_rows(spark, none):
     rows = spark.createDataFrame([(1, None, "u"), (None, "<p>a", None), (1, "<p>a", "v")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html.extract_text(rows).collect()) == [(0, "a"), (1, ""), (1, "a")]
+
+
+@pytest.mark.parametrize("page", ["<a " * 20_000 + "x", "<div>" * 20_000 + "x", "<b>x" * 5000 + "</i>" * 5000, "<ul>" + "<li>x<ul>" * 2000, "<table>" * 2000 + "<td>x", '<a href="y\'>x' * 5000])
+def test_odd_pages_take_time_in_proportion_and_keep_their_text(page):
+    began = time.perf_counter()
+    text = html.visible_text(page)
+    assert time.perf_counter() - began < 10 and "x" in text
+    if "href" not in page:
+        assert text.count("x") == page.count("x")
