@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 import corpus_pipeline
 from babelshelf.llm.common import DOCUMENT_COLUMNS
 
@@ -39,3 +43,45 @@ def test_run_on_empty_documents(spark, sf, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def brute_similar(texts):
+    """Number of each text's component under links of similarity 0.8 or more."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {b" ".join(w)} for w in words]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("long_list", [32, 2])
+def test_near_dedup_finds_all_similar_pairs(spark, sf, odd, documents, monkeypatch, long_list):
+    """Planted copies with a few changed words, up to similarity 0.8, in groups of several sizes."""
+    from babelshelf.llm import similar
+
+    monkeypatch.setattr(similar.near_copies, "__defaults__", (*similar.near_copies.__defaults__[:-1], long_list))
+    dice = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None] + [(1000 + r.doc_id, r.text) for r in documents.collect()]
+    for group in range(12):
+        base = [f"g{group}x{dice.randrange(400)}" for _ in range(dice.choice([40, 120, 300]))]
+        for copy in range(dice.choice([2, 5, 50])):
+            words = list(base)
+            for at in dice.sample(range(len(words)), dice.randrange(1, 2 + len(words) // 60)):
+                words[at] = f"new{copy}x{at}"
+            rows.append((10**6 + len(rows), " ".join(words)))
+    roots = brute_similar([t for _, t in rows])
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    least = {}
+    for (doc_id, _), root in zip(rows, roots, strict=True):
+        least[root] = min(doc_id, least.get(root, doc_id))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted(least.values())
