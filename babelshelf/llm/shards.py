@@ -2,8 +2,8 @@
 
 Each row has a 60-bit hash key. Exact bytes are counted below candidate boundaries, ten key bits at a time: the
 first round over the whole key range, each later one only inside the cells that hold an unsettled splitter, until
-every splitter is within the tolerance or its cell can't be divided. Then the rows are exchanged once, into cells
-of bounded size, within which they are ordered.
+every splitter is within the tolerance or its cell can't be divided. Only keys and sizes are written for counting. Then
+the whole rows are exchanged once, into cells of bounded size, within which they are ordered.
 """
 
 from __future__ import annotations
@@ -83,21 +83,38 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0
     the rows of one key stand between a shard's size and its aim. Null keys are keys like any other; ``size`` must
     not be null. Columns ``shard`` and ``slot`` of the input are replaced. An empty table gives an empty result.
     """
-    rows = cut(docs.drop("shard", "slot").withColumn("__key", F.shiftrightunsigned(F.xxhash64(*keys), 64 - KEY_BITS)), "shard-keys")
-    bounds, n_rows = splitters(rows, n_shards, tolerance, "__key", size)
+    rows = docs.drop("shard", "slot").withColumn("__key", F.shiftrightunsigned(F.xxhash64(*keys), 64 - KEY_BITS))
+    slim = cut(rows.select("__key", F.col(size).alias("size")), "shard-keys")
+    bounds, n_rows = splitters(slim, n_shards, tolerance)
     bits = max(0, math.ceil(math.log2(max(1, n_rows / cell_rows))))
-    placed = rows.select("*", _shard_of("__key", bounds).cast("int").alias("shard"), F.shiftright("__key", KEY_BITS - bits).alias("__cell"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select("*", _shard_of("__key", bounds).cast("int").alias("shard"), F.shiftright("__key", KEY_BITS - bits).alias("__cell"))
+
     before = "sum(n) OVER (PARTITION BY shard ORDER BY __cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    offsets = placed.groupBy("shard", "__cell").agg(F.count("*").alias("n")).select("shard", "__cell", F.expr(f"coalesce({before}, 0)").alias("__before"))
+    offsets = placed(slim).groupBy("shard", "__cell").agg(F.count("*").alias("n")).select("shard", "__cell", F.expr(f"coalesce({before}, 0)").alias("__before"))
     rank = F.expr(f"row_number() OVER (PARTITION BY shard, __cell ORDER BY __key, {', '.join(f'`{k}`' for k in keys)})")
-    ranked = placed.withColumn("__rank", rank)
+    ranked = placed(rows).withColumn("__rank", rank)
     joined = ranked.join(offsets, ["shard", "__cell"])
     return joined.withColumn("slot", F.col("__before") + F.col("__rank") - 1).drop("__before", "__rank", "__key", "__cell")
 
 
+def text_crc32(text: Column) -> Column:
+    """CRC-32 of the UTF-8 bytes; null is empty."""
+    return F.crc32(F.coalesce(text, F.lit("")))
+
+
+def sharded_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
+    """(doc_id, text, size, shard, slot): the whole documents, in shards of near-equal sums of ``text_size``."""
+    whole = docs.select("doc_id", "text", text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("__crc"))
+    return histogram_shards(whole, n_shards, keys=("doc_id", "__crc")).drop("__crc")
+
+
 def op3_histogram_sort(spark, sf_dir: str) -> DataFrame:
-    """Shard, slot, size and checksum of each document, by the law ``bytes``."""
+    """Shard, slot, size and checksum of each document, by the law ``bytes``.
+
+    The documents are sharded with their texts; the checksum returned is that of the sharded text.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select("doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    placed = histogram_shards(slim, 16, keys=("doc_id", "text_crc32"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharded_documents(docs)
+    return placed.select("doc_id", "size", text_crc32(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -99,3 +99,10 @@ def test_flight_keeps_both_sums():
 
 def test_mix_empty(none):
     assert mixing.mix(none).count() == 0
+
+
+def test_documents_are_sharded_with_their_texts(spark, sf, odd):
+    found = shards.sharded_documents(odd)
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
+    plan = shards.op3_histogram_sort(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("crc32(cast(coalesce(text") < plan.find("row_number()")
