@@ -22,7 +22,12 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-_HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist svg math".split())
+_HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist annotation annotation-xml".split())
+#: Elements that leave an open head open; any other start tag ends it, and so does text.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes script style title template noscript".split())
+#: Elements of a drawing that are not shown where they stand.
+_UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"']+/$")
 #: Blank line around these, a new line around the others.
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 _BLOCK = _SPACED | frozenset("html body div section article aside header footer main nav address form li dt dd details summary figcaption center caption legend option optgroup menu dir hgroup search".split())
@@ -99,10 +104,10 @@ class Frame:
 
 
 class Element:
-    __slots__ = ("tag", "shown", "seen", "frame", "rows", "number", "span", "shut")
+    __slots__ = ("tag", "shown", "seen", "frame", "rows", "number", "span", "shut", "drawn")
 
     def __init__(self, tag: str, shown: bool, seen: bool):
-        self.tag, self.shown, self.seen, self.frame, self.rows, self.number, self.span, self.shut = tag, shown, seen, None, None, None, 1, False
+        self.tag, self.shown, self.seen, self.frame, self.rows, self.number, self.span, self.shut, self.drawn = tag, shown, seen, None, None, None, 1, False, True
 
 
 def aligned(rows: list[list[tuple[str, int]]]) -> str:
@@ -140,8 +145,10 @@ class Renderer:
         self.pre = 0
 
     def text(self, raw: str) -> None:
+        if self.stack[-1].tag == "head" and raw.strip(" \t\n\r\f"):
+            self.close()
         top = self.stack[-1]
-        if top.shut or not (top.shown and top.seen):
+        if top.shut or not (top.shown and top.seen and top.drawn):
             return
         text = unescape(raw)
         if top.tag in ("table", "tbody", "thead", "tfoot", "tr", "colgroup") and not text.strip():
@@ -175,7 +182,7 @@ class Renderer:
         if e.rows is not None:
             self.frames[-1].parts += [2, (aligned(e.rows),), 2]
             return
-        if e.shown and e.tag in _BLOCK:
+        if e.shown and (e.tag in _BLOCK or not up.drawn and e.drawn):
             self.space(e.tag, up)
 
     def space(self, tag: str, up: Element) -> None:
@@ -194,6 +201,8 @@ class Renderer:
             self.close()
 
     def start(self, tag: str, attributes: str) -> None:
+        if self.stack[-1].tag == "head" and tag not in _IN_HEAD:
+            self.close()
         if tag in _ENDS_P:
             self.end_open(frozenset(("p",)), frozenset(("td", "th", "li", "table", "button", "caption")))
         if tag in _ENDS:
@@ -206,6 +215,12 @@ class Renderer:
         e = Element(tag, up.shown and tag not in _HIDDEN and "hidden" not in found and "display:none" not in style and not (up.shut and tag != "summary"), up.seen)
         if "visibility:" in style:
             e.seen = "visibility:hidden" not in style and "visibility:collapse" not in style
+        # Of a drawing, only text elements and embedded HTML show their text, each on a line of its own.
+        e.drawn = tag != "svg" and (up.drawn or tag in ("text", "foreignobject"))
+        if tag in _UNDRAWN and any(x.tag == "svg" for x in self.stack):
+            e.shown = False
+        if attributes.endswith("/") and not _UNQUOTED_END.search(attributes[-200:]) and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in self.stack)):
+            return
         if tag == "br":
             if e.shown:
                 self.frames[-1].parts.append(0)
@@ -244,7 +259,7 @@ class Renderer:
             e.shut = "open" not in found
         elif tag == "pre":
             self.pre += 1
-        if e.shown and tag in _BLOCK and e.frame is None and e.rows is None:
+        if e.shown and (tag in _BLOCK or not up.drawn and e.drawn) and e.frame is None and e.rows is None:
             self.space(tag, up)
         self.stack.append(e)
         if e.frame is not None:
@@ -296,7 +311,7 @@ def visible_text(html: str | None) -> str:
             page.end(tag)
             continue
         page.start(tag, rest[1] if rest else html[m.end() : stop - 1])
-        if tag in _RAW:
+        if tag in _RAW and page.stack[-1].tag == tag:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             stop = close.start() if close else len(html)
             page.text(html[at:stop])

@@ -177,3 +177,17 @@ def test_odd_pages_take_time_in_proportion_and_keep_their_text(page):
     assert time.perf_counter() - began < 10 and "x" in text
     if "href" not in page:
         assert text.count("x") == page.count("x")
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>plain <b>text", "plain text"), ("<head><style>p{}</style>\n<div>a</div></head><p>b", "a\n\nb"),
+        ("<head><noscript>no</noscript><template>no</template><link rel=x><h1>yes</h1>", "yes"), ("<head>\n<table><tr><td>c</table>", "c"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds", "so x=1 holds"),
+        ("a<svg>no<title>no</title><desc>no</desc><defs><text>no</text></defs><path d='x'/><text x=1>one</text><g><text>two</text></g></svg>b", "a\none\ntwo\nb"),
+        ("<svg><defs/><title/><text>kept</text></svg>after", "kept\nafter"),
+    ],
+)
+def test_html_implied_head_end_and_drawn_text(page, text):
+    assert html.visible_text(page) == text
