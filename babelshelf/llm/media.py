@@ -90,9 +90,13 @@ def mel_bank(rate: int = RATE, n_fft: int = FFT, mels: int = MELS) -> np.ndarray
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, MELS) log energies of overlapped frames, and each frame's energy in decibels; one frame at least."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    """(frames, MELS) log energies of overlapped frames, and each frame's energy in decibels; one frame at least.
+
+    The last frame is filled up with zeros, so that each sample is in a frame.
+    """
+    short = max(FRAME - len(x), (FRAME - len(x)) % HOP)
+    if short:
+        x = np.concatenate([x, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mel, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     window = np.hanning(FRAME).astype(np.float32)

@@ -191,3 +191,12 @@ def test_odd_pages_take_time_in_proportion_and_keep_their_text(page):
 )
 def test_html_implied_head_end_and_drawn_text(page, text):
     assert html.visible_text(page) == text
+
+
+@pytest.mark.parametrize("n", [257, 384, 416, 417, 1000])
+def test_each_sample_is_in_a_frame(n):
+    x = np.zeros(n, np.float32)
+    changed = x.copy()
+    changed[-20:] = 0.9
+    assert not np.array_equal(media.log_mel(x)[0], media.log_mel(changed)[0])
+    assert len(media.log_mel(x)[0]) == 1 + -(-(n - media.FRAME) // media.HOP)
