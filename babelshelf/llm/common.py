@@ -55,6 +55,27 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def beside(own: tuple[str, ...], keep: tuple[str, ...]) -> dict[str, str]:
+    """The names under which ``keep`` stands beside the columns ``own``: as it is, with ``_in`` added while that is taken."""
+    taken, names = {x.lower() for x in own}, {}
+    for column in keep:
+        name = column
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        names[column] = name
+    return names
+
+
+def carried(keep: tuple[str, ...]) -> list[Column]:
+    """``keep`` as one column, so that no name in it meets an operator's own; ``restored`` undoes it."""
+    return [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__keep")] if keep else []
+
+
+def restored(own: tuple[str, ...], keep: tuple[str, ...]) -> list[Column]:
+    return [F.col("__keep").getField(c).alias(name) for c, name in beside(own, keep).items()]
+
+
 def identified(docs: DataFrame, column: str = "__row") -> DataFrame:
     """The columns of documents and a unique id, which is the same whenever the rows are read again.
 

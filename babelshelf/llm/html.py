@@ -1,13 +1,16 @@
 """Visible text of web pages, laid out: implied tags, visibility, block spacing, lists and aligned tables.
 
-Elements are closed in a stack that knows which end tags HTML leaves out. Text goes into the nearest frame (the
-page, a list item or a table cell) as it comes; a frame is laid out when it closes and enters its parent as a
-block. So nothing recurses, however deep a page nests.
+Tags are read by state, so that quotes count only where a value begins. A stack of open elements follows the standard
+rules for implied and misnested tags; where an element of each name lies in it is held, so that no tag walks the
+stack, and visibility is a count of open hiding elements. Text goes into the nearest frame (the page or a table cell)
+line by line, as it comes. So nothing recurses, nothing is cut at a depth, and time is in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -16,290 +19,493 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+from babelshelf.llm.common import beside
+
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/(?![a-zA-Z])|(/?)([a-zA-Z][^\s/>]*))")
+_COMMENT_END = re.compile(r"--!?>")
+#: What follows a tag's name: names, and values, which may be quoted only right after the equals sign.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++|(?=>))"
+_REST = re.compile(rf"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^\s>]*+)))?+")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
+# Names of elements as the HTML standard groups them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-_HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist annotation annotation-xml".split())
+_HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object video audio canvas datalist rp annotation annotation-xml".split())
 #: Elements that leave an open head open; any other start tag ends it, and so does text.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes script style title template noscript".split())
 #: Elements of a drawing that are not shown where they stand.
 _UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
-_UNQUOTED_END = re.compile(r"=\s*[^\s\"']+/$")
+_SPECIAL = frozenset(
+    """address applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir div dl dt embed fieldset figcaption figure footer form frame frameset
+    h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input keygen li link listing main marquee menu meta nav noembed noframes noscript object ol p param plaintext pre script search section select
+    source style summary table tbody td template textarea tfoot th thead title tr track ul wbr xmp foreignobject desc""".split()
+)
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SCOPE = frozenset("applet caption html table td th marquee object template foreignobject desc annotation-xml".split())
+_LIST_SCOPE, _BUTTON_SCOPE, _TABLE_SCOPE = _SCOPE | {"ol", "ul"}, _SCOPE | {"button"}, frozenset(("html", "table", "template"))
+#: HTML in a drawing or formula stands below these; any other of these start tags ends the drawing or formula.
+_INTO_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_OUT_OF_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_SECTIONS = frozenset(("tbody", "thead", "tfoot"))
+_TABLE_PARTS = _SECTIONS | {"caption", "colgroup", "col", "tr", "td", "th"}
+_TABLE_TOPS = _SECTIONS | {"table", "tr", "colgroup"}
 #: Blank line around these, a new line around the others.
-_SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
-_BLOCK = _SPACED | frozenset("html body div section article aside header footer main nav address form li dt dd details summary figcaption center caption legend option optgroup menu dir hgroup search".split())
+_SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset listing xmp".split())
+_BLOCK = _SPACED | frozenset("html body div section article aside header footer main nav address form li dt dd details summary figcaption center caption legend option optgroup menu dir hgroup search dialog".split())
 #: Start tags that end an open p.
-_ENDS_P = (_SPACED | frozenset("address article aside details div footer form header main menu nav section center dir hgroup search figcaption dt dd li".split())) - {"caption"}
-#: start tag: (elements that it ends, elements beyond which it does not look)
-_TABLE = frozenset(("table",))
-_LISTS = frozenset(("ul", "ol", "menu", "dir", "td", "th", "table"))
-_ENDS = {
-    "li": (frozenset(("li",)), _LISTS),
-    "dt": (frozenset(("dt", "dd")), frozenset(("dl", "td", "th", "table"))),
-    "dd": (frozenset(("dt", "dd")), frozenset(("dl", "td", "th", "table"))),
-    "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
-    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select", "datalist"))),
-    "td": (frozenset(("td", "th", "caption", "colgroup")), _TABLE | {"tr"}),
-    "th": (frozenset(("td", "th", "caption", "colgroup")), _TABLE | {"tr"}),
-    "tr": (frozenset(("tr", "td", "th", "caption", "colgroup")), _TABLE),
-    **{x: (frozenset(("tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup")), _TABLE) for x in ("tbody", "thead", "tfoot")},
-    "body": (frozenset(("head",)), frozenset(("body",))),
-    "a": (frozenset(("a",)), _LISTS),
-}
-#: Columns are filled up to so many characters; wider cells stand as they are.
-MAX_PAD = 60
-#: A column or row span beyond this counts as this, so that no attribute makes a page large.
-MAX_SPAN = 50
-#: Elements nested deeper than this end the innermost open one, as in browsers; no text is lost.
-MAX_DEPTH = 512
+_ENDS_P = (_SPACED | frozenset("address article aside details dialog div footer form header main menu nav section center dir hgroup search figcaption summary dd dt li".split())) - {"caption"}
+_LISTS = ("ul", "ol", "menu", "dir")
+#: The standard's limits of spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+#: Lists further in than this are set at this column.
+MAX_INDENT = 80
+#: Tables nested deeper than this have their cells one below the other.
+MAX_TABLES = 64
+#: Blanks that align the columns of a page's tables, and steps to place their cells, at most: so many for each of its
+#: characters, and so many more. Tables beyond it have the cells of a row side by side, without columns.
+ALIGN_FACTOR, ALIGN_FLOOR = 16, 1_000_000
 
 
 class Frame:
-    """Text, breaks (numbers of line ends) and finished blocks (one-tuples) in order."""
+    """Finished lines, the line at hand, the break due before the next one, and the open list items."""
 
-    __slots__ = ("parts",)
+    __slots__ = ("lines", "line", "gap", "base", "marks")
 
     def __init__(self):
-        self.parts: list = []
-
-    def layout(self) -> str:
-        out: list[str] = []
-        line: list[str] = []
-        gap = 0
-
-        def flush() -> None:
-            nonlocal gap
-            if line:
-                text = _BLANKS.sub(" ", "".join(line)).strip(" ")
-                line.clear()
-                if text:
-                    put(text)
-
-        def put(text: str) -> None:
-            nonlocal gap
-            if out:
-                out.append("\n" * max(1, gap))
-            out.append(text)
-            gap = 0
-
-        for x in self.parts:
-            if isinstance(x, str):
-                line.append(x)
-            elif isinstance(x, tuple):
-                flush()
-                if x[0].strip():
-                    put(x[0])
-            elif x == 0:  # a forced line end
-                held = bool(line) and bool("".join(line).strip())
-                flush()
-                gap = 1 if held else min(gap + 1, 2)
-            else:
-                flush()
-                gap = max(gap, x)
-        flush()
-        return "".join(out).replace("\xa0", " ")
+        self.lines: list[str] = []
+        self.line: list[str] = []
+        self.gap = self.base = 0
+        self.marks: list[str] = []
+
+    def put(self, text: str) -> None:
+        """One finished line, behind the marks of the list items that begin with it."""
+        if self.lines:
+            self.lines += [""] * (self.gap - 1)
+        self.gap = 0
+        lead = " " * min(self.base, MAX_INDENT) + "".join(self.marks)
+        self.base += sum(map(len, self.marks))
+        self.marks.clear()
+        self.lines.append(lead + text.replace("\xa0", " "))
+
+    def flush(self) -> None:
+        if self.line:
+            text = _BLANKS.sub(" ", "".join(self.line)).strip(" ")
+            self.line.clear()
+            if text:
+                self.put(text)
+
+    def space(self, lines: int) -> None:
+        """At least so many line ends before what follows."""
+        self.flush()
+        self.gap = max(self.gap, lines)
+
+    def line_end(self) -> None:
+        held = any(map(str.strip, self.line))
+        self.flush()
+        self.gap = 1 if held else min(self.gap + 1, 2)
+
+    def layout(self) -> list[str]:
+        self.flush()
+        return self.lines
 
 
 class Element:
-    __slots__ = ("tag", "shown", "seen", "frame", "rows", "number", "span", "shut", "drawn")
-
-    def __init__(self, tag: str, shown: bool, seen: bool):
-        self.tag, self.shown, self.seen, self.frame, self.rows, self.number, self.span, self.shut, self.drawn = tag, shown, seen, None, None, None, 1, False, True
-
-
-def aligned(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of (text, columns spanned) as lines; cells of a column begin at the same place."""
-    rows = [row for row in rows if any(text for text, _ in row)]
-    if all(len(row) == 1 for row in rows):
-        return "\n".join(row[0][0] for row in rows)
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), min(MAX_PAD, max(map(len, text.split("\n")), default=0)))
-            at += span
+    __slots__ = ("tag", "foreign", "hides", "seen", "drawn", "shut", "frame", "rows", "group", "number", "mark", "columns", "n_rows", "gone")
+
+    def __init__(self, tag: str, drawn: bool, foreign: bool = False):
+        self.tag, self.drawn, self.foreign = tag, drawn, foreign
+        self.hides, self.shut, self.gone = 0, False, False
+        self.seen = self.frame = self.rows = self.number = self.mark = None
+        self.columns = self.n_rows = 1
+        self.group = 0
+
+
+def aligned(rows: list[tuple[int, list[tuple[list[str], int, int]]]], budget: int) -> tuple[list[str], int]:
+    """Lines of a table, and what is left of ``budget``. A row is (group, cells), a cell (lines, columns, rows).
+
+    Cells that begin in a column begin at the same place in all rows; a cell that spans rows keeps its columns free in
+    those of its group. The place of a column is the least that leaves two blanks behind each cell that ends before it.
+    """
+    held: list[tuple[int, int, int]] = []  # (column, end, last row) of the cells that reach down, by column
+    last_of = {group: i for i, (group, _) in enumerate(rows)}
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    for i, (group, cells) in enumerate(rows):
+        held = [x for x in held if x[2] >= i]
+        budget -= len(held) + len(cells)
+        if budget < 0:
+            break
+        at, k, row, new = 0, 0, [], []
+        for lines, columns, n_rows in cells:
+            while k < len(held) and held[k][0] <= at:
+                at, k = max(at, held[k][1]), k + 1
+            row.append((at, at + columns, lines))
+            last = last_of[group] if n_rows == 0 else min(last_of[group], i + n_rows - 1)
+            if last > i:
+                new.append((at, at + columns, last))
+            at += columns
+        placed.append(row)
+        held = sorted(held + new) if new else held
+    if budget >= 0:
+        begins = sorted({a for row in placed for a, _, _ in row})
+        before = defaultdict(list)  # column: (column, width) of the cells that end there and aren't the last of their row
+        for row in placed:
+            for a, b, lines in row[:-1]:
+                before[begins[bisect_left(begins, b)]].append((a, max(map(len, lines), default=0)))
+        place, least = {}, -2
+        for column in begins:
+            least = max([least + 2, *(place[a] + width + 2 for a, width in before[column])]) if place else 0
+            place[column] = least
+        budget -= sum(place[row[-1][0]] * max(len(lines) for *_, lines in row) for row in placed if row)
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
-            cells.append((text.split("\n"), sum(widths.get(at + k, 0) for k in range(span)) + 2 * (span - 1)))
-            at += span
-        for k in range(max(len(lines) for lines, _ in cells)):
-            out.append("  ".join((lines[k] if k < len(lines) else "").ljust(width) for lines, width in cells).rstrip())
-    return "\n".join(out)
+    for i, (_, cells) in enumerate(rows):
+        if budget < 0:
+            texts = [x for x, _, _ in cells if x]
+            out += ["  ".join(x[0] for x in texts)] if texts and max(map(len, texts)) == 1 else [y for x in texts for y in x]
+            continue
+        for k in range(max((len(lines) for *_, lines in placed[i]), default=0)):
+            text = ""
+            for column, _, lines in placed[i]:
+                if k < len(lines) and lines[k]:
+                    text = text.ljust(place[column]) + lines[k]
+            out.append(text)
+    return out, max(budget, -1)
+
+
+def declared(style: str) -> dict[str, str]:
+    """The properties of a style attribute; of equal ones the last holds, unless an earlier one is important."""
+    found: dict[str, str] = {}
+    important = set()
+    for part in re.sub(r"/\*.*?(?:\*/|$)", " ", style.lower(), flags=re.S).split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.strip()
+        if value.endswith("important") and value[:-9].rstrip().endswith("!"):
+            important.add(name)
+            found[name] = value[:-9].rstrip()[:-1].rstrip()
+        elif name not in important and value:
+            found[name] = value
+    return found
 
 
 class Renderer:
     """Builds the open elements of one page and collects its text."""
 
-    def __init__(self):
+    def __init__(self, size: int):
         self.page = Frame()
-        root = Element("", True, True)
-        root.frame = self.page
-        self.stack = [root]
+        self.stack = [Element("", True)]
+        #: Places in the stack of the open elements by name, of those that bound an implied end, and of all that are special.
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.bounds: list[int] = [0]
+        self.specials: list[int] = [0]
         self.frames = [self.page]
-        self.pre = 0
+        self.tables: list[Element] = []
+        self.hiding = self.pre = 0
+        self.stack[0].seen = True
+        #: Open elements that set their own visibility.
+        self.seen = [self.stack[0]]
+        self.budget = ALIGN_FLOOR + ALIGN_FACTOR * size
+
+    def shown(self) -> bool:
+        return not self.hiding and self.stack[-1].drawn and self.seen[-1].seen
+
+    def foreign(self) -> bool:
+        """Whether the innermost element belongs to a drawing or a formula."""
+        inside = max((self.at[x][-1] for x in ("svg", "math") if self.at[x]), default=0)
+        return inside > max((self.at[x][-1] for x in _INTO_HTML if self.at[x]), default=0)
+
+    def last(self, tags: frozenset) -> int:
+        """Place of the innermost open element of ``tags``, 0 for none."""
+        return max((self.at[x][-1] for x in tags if self.at[x]), default=0)
 
     def text(self, raw: str) -> None:
-        if self.stack[-1].tag == "head" and raw.strip(" \t\n\r\f"):
-            self.close()
         top = self.stack[-1]
-        if top.shut or not (top.shown and top.seen and top.drawn):
+        if top.tag == "head" and raw.strip(" \t\n\r\f"):
+            self.close()
+            top = self.stack[-1]
+        if not self.shown():
             return
         text = unescape(raw)
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr", "colgroup") and not text.strip():
+        if top.tag in _TABLE_TOPS and not text.strip():
             return
-        if self.pre:
-            lines = text.replace("\r\n", "\n").split("\n")
-            for k, x in enumerate(lines):
-                if k:
-                    self.frames[-1].parts.append(0)
-                self.frames[-1].parts.append(x.replace(" ", "\xa0").replace("\t", "\xa0" * 4))
-        else:
-            self.frames[-1].parts.append(text)
+        if not self.pre:
+            self.frames[-1].line.append(text)
+            return
+        for k, x in enumerate(text.replace("\r\n", "\n").split("\n")):
+            if k:
+                self.frames[-1].line_end()
+            self.frames[-1].line.append(x.replace(" ", "\xa0").replace("\t", "\xa0" * 4))
+
+    def push(self, e: Element) -> None:
+        place = len(self.stack)
+        self.stack.append(e)
+        self.at[e.tag].append(place)
+        if e.tag in _SPECIAL:
+            self.specials.append(place)
+            if e.tag not in ("address", "div", "p"):
+                self.bounds.append(place)
+
+    def leave(self, e: Element) -> None:
+        """Ends the effect that an element has on those below it."""
+        self.hiding -= e.hides + e.shut
+        if e.seen is not None:
+            del self.seen[max(k for k, x in enumerate(self.seen) if x is e) if self.seen[-1] is not e else -1]
 
     def close(self) -> None:
         e = self.stack.pop()
-        up = self.stack[-1]
-        if e.tag == "pre":
+        place = len(self.stack)
+        while self.stack[-1].gone:
+            self.stack.pop()
+        self.at[e.tag].pop()
+        for held in (self.specials, self.bounds):
+            if held[-1] == place:
+                held.pop()
+        up, shown, frame = self.stack[-1], self.hiding == e.shut and e.drawn, self.frames[-1]
+        self.leave(e)
+        if e.tag == "pre" and not e.foreign:
             self.pre -= 1
         if e.frame is not None:
             self.frames.pop()
-            if e.tag in ("td", "th"):
-                table = next((x for x in reversed(self.stack) if x.rows is not None), None)
-                if table is not None and e.shown:
-                    table.rows[-1].append((e.frame.layout(), e.span))
-                return
-            text = e.frame.layout()
-            if text and e.shown:
-                mark = f"{e.number}. " if e.number is not None else "- "
-                self.frames[-1].parts += [1, (mark + text.replace("\n", "\n" + " " * len(mark)),), 1]
-            return
-        if e.rows is not None:
-            self.frames[-1].parts += [2, (aligned(e.rows),), 2]
-            return
-        if e.shown and (e.tag in _BLOCK or not up.drawn and e.drawn):
-            self.space(e.tag, up)
-
-    def space(self, tag: str, up: Element) -> None:
-        inner = tag in ("ul", "ol") and any(x.tag == "li" for x in self.stack[-1:])
-        self.frames[-1].parts.append(2 if tag in _SPACED and not inner else 1)
-
-    def end_open(self, tags: frozenset, bounds: frozenset) -> None:
-        """Closes the elements above and with the outermost open one of ``tags`` within ``bounds``."""
-        deepest = 0
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                deepest = k
-            elif self.stack[k].tag in bounds:
-                break
-        while deepest and len(self.stack) > deepest:
-            self.close()
+            if e.rows is None and self.tables:
+                self.tables[-1].rows[-1][1].append((e.frame.layout(), e.columns, e.n_rows))
+        elif e.rows is not None:
+            self.tables.pop()
+            lines, self.budget = aligned(e.rows, self.budget)
+            frame.space(2)
+            for line in lines:
+                if line:
+                    frame.put(line)
+                else:
+                    frame.gap = 2
+            frame.space(2)
+        elif shown and (e.tag in _BLOCK or not up.drawn):
+            self.space(e.tag)
+        elif e.tag in _TABLE_PARTS and shown:
+            frame.space(1)
+        if e.mark is not None:
+            if frame.marks:
+                frame.marks.pop()
+            else:
+                frame.base -= len(e.mark)
 
-    def start(self, tag: str, attributes: str) -> None:
-        if self.stack[-1].tag == "head" and tag not in _IN_HEAD:
+    def space(self, tag: str) -> None:
+        inner = tag in ("ul", "ol") and self.stack[-1].tag == "li"
+        self.frames[-1].space(2 if tag in _SPACED and not inner else 1)
+
+    def close_to(self, place: int) -> None:
+        """Closes the element at ``place`` and all in it."""
+        while len(self.stack) > place > 0:
             self.close()
-        if tag in _ENDS_P:
-            self.end_open(frozenset(("p",)), frozenset(("td", "th", "li", "table", "button", "caption")))
-        if tag in _ENDS:
-            self.end_open(*_ENDS[tag])
-        if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+
+    def end_within(self, tags: frozenset, bounds: frozenset) -> bool:
+        """Closes the innermost open element of ``tags`` unless one of ``bounds`` lies in it."""
+        place = self.last(tags)
+        if not place or self.last(bounds) > place:
+            return False
+        self.close_to(place)
+        return True
+
+    def into_table(self, tag: str) -> bool:
+        """Closes what a part of a table ends; False if there is no table."""
+        table = self.last(frozenset(("table",)))
+        if not table or self.last(frozenset(("template", "svg", "math"))) > table:
+            return False
+        section, row = max(table, self.last(_SECTIONS)), self.last(frozenset(("tr",)))
+        if tag not in ("td", "th"):
+            self.close_to((section if tag == "tr" else table) + 1)
+        elif row > table:
+            self.close_to(row + 1)
+        else:
+            self.close_to(section + 1)
             self.start("tr", "")
+        return True
+
+    def implied(self, tag: str) -> None:
+        """Closes the elements that a start tag ends."""
+        top = self.stack[-1].tag
+        if tag in _ENDS_P and self.at["p"]:
+            self.end_within(frozenset(("p",)), _BUTTON_SCOPE)
+        if tag == "li" or tag in ("dt", "dd"):
+            place = self.bounds[-1]
+            if self.stack[place].tag in (("li",) if tag == "li" else ("dt", "dd")):
+                self.close_to(place)
+                if self.at["p"]:
+                    self.end_within(frozenset(("p",)), _BUTTON_SCOPE)
+        elif tag in _HEADINGS and self.stack[-1].tag in _HEADINGS or tag == top == "option":
+            self.close()
+        elif tag == "optgroup" and top in ("option", "optgroup"):
+            self.close_to(self.last(frozenset(("optgroup",))) or len(self.stack) - 1)
+        elif tag == "table" and top in _TABLE_TOPS:
+            self.close_to(self.at["table"][-1])
+        elif tag in ("a", "nobr") and self.at[tag]:
+            self.end(tag)
+        elif tag == "button" and self.at["button"]:
+            self.end_within(frozenset(("button",)), _SCOPE)
+
+    def leave_foreign(self) -> None:
+        inside = self.last(_INTO_HTML)
+        self.close_to(min(x for kind in ("svg", "math") for x in self.at[kind][bisect_right(self.at[kind], inside) :]))
+
+    def start(self, tag: str, attributes: str) -> None:
+        foreign = bool(self.at["svg"] or self.at["math"]) and self.foreign()
+        if foreign and tag in _OUT_OF_FOREIGN:
+            self.leave_foreign()
+            foreign = False
+        if not foreign:
+            if tag == "body" and self.at["head"]:
+                self.close_to(self.at["head"][0])
+            elif self.stack[-1].tag == "head" and tag not in _IN_HEAD:
+                self.close()
+            if tag in ("html", "head", "body", "frame", "frameset") and (tag[:5] == "frame" or len(self.stack) > 1 + (tag != "html" and len(self.at["html"]))):
+                return
+            if tag in _TABLE_PARTS:
+                if not self.into_table(tag):
+                    return
+            else:
+                self.implied(tag)
         up = self.stack[-1]
-        found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        style = found.get("style", "").lower().replace(" ", "")
-        e = Element(tag, up.shown and tag not in _HIDDEN and "hidden" not in found and "display:none" not in style and not (up.shut and tag != "summary"), up.seen)
-        if "visibility:" in style:
-            e.seen = "visibility:hidden" not in style and "visibility:collapse" not in style
+        found: dict[str, str] = {}
+        end = 0
+        if "=" in attributes or attributes.strip("/ "):
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+                end = m.end()
+        e = Element(tag, tag != "svg" and (up.drawn or tag in ("text", "foreignobject")), foreign)
+        style = declared(unescape(found["style"])) if "style" in found else {}
         # Of a drawing, only text elements and embedded HTML show their text, each on a line of its own.
-        e.drawn = tag != "svg" and (up.drawn or tag in ("text", "foreignobject"))
-        if tag in _UNDRAWN and any(x.tag == "svg" for x in self.stack):
-            e.shown = False
-        if attributes.endswith("/") and not _UNQUOTED_END.search(attributes[-200:]) and (tag in ("svg", "math") or any(x.tag in ("svg", "math") for x in self.stack)):
-            return
-        if tag == "br":
-            if e.shown:
-                self.frames[-1].parts.append(0)
+        e.hides = int("hidden" in found or style.get("display") == "none" or tag in _HIDDEN or tag == "dialog" and "open" not in found or tag in _UNDRAWN and bool(self.at["svg"]))
+        # What closed details hold is hidden, but for their summary.
+        e.hides -= up.shut and tag == "summary"
+        if (foreign or tag in ("svg", "math")) and attributes.endswith("/") and end < len(attributes):
             return
+        shown, frame = not self.hiding + e.hides and e.drawn, self.frames[-1]
         if tag in _VOID:
-            if tag == "hr" and e.shown:
-                self.frames[-1].parts.append(2)
+            if shown and tag == "br":
+                frame.line_end()
+            elif shown and tag == "hr":
+                frame.space(2)
             return
-        if len(self.stack) > MAX_DEPTH:
-            self.close()
-        if tag in ("td", "th"):
-            e.frame = Frame()
-            table = next((x for x in reversed(self.stack) if x.rows is not None), None)
-            if table is None:
-                e.frame = None
-            else:
-                if not table.rows:
-                    table.rows.append([])
-                span = found.get("colspan", "1")
-                e.span = min(MAX_SPAN, max(1, int(span))) if span.isascii() and span.isdigit() else 1
-        elif tag == "li":
-            e.frame = Frame()
-            parent = next((x for x in reversed(self.stack) if x.tag in ("ul", "ol", "menu", "dir")), None)
-            if parent is not None and parent.tag == "ol":
-                e.number = parent.number = (parent.number or 0) + 1
+        visible = style.get("visibility")
+        if visible is not None and visible != "inherit":
+            e.seen = visible not in ("hidden", "collapse")
+            self.seen.append(e)
+        self.hiding += e.hides
+        if foreign:
+            pass
+        elif tag in ("td", "th"):
+            if self.tables and self.tables[-1].rows and shown and self.tables[-1] is self.stack[self.at["table"][-1]]:
+                e.frame = Frame()
+                e.columns, e.n_rows = (min(most, max(least, int(x))) if (x := found.get(k, "").strip()).isascii() and x.isdigit() and len(x) < 10 else 1 for k, least, most in (("colspan", 1, MOST_COLUMNS), ("rowspan", 0, MOST_ROWS)))
+            elif shown:
+                frame.space(1)
+        elif tag == "table":
+            if shown and len(self.tables) < MAX_TABLES:
+                e.rows = []
+        elif tag == "tr" or tag in _SECTIONS:
+            table = self.tables[-1] if self.tables and self.tables[-1] is self.stack[self.at["table"][-1]] else None
+            if table is not None:
+                table.group += tag != "tr"
+                if tag == "tr" and shown:
+                    table.rows.append((table.group, []))
         elif tag == "ol":
-            first = found.get("start", "1")
-            e.number = int(first) - 1 if re.fullmatch(r"-?[0-9]{1,9}", first) else 0
-        elif tag == "table" and e.shown:
-            e.rows = []
-        elif tag == "tr":
-            table = next((x for x in reversed(self.stack) if x.rows is not None), None)
-            if table is not None and e.shown:
-                table.rows.append([])
+            e.number = int(found["start"]) - 1 if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", found.get("start", "")) else 0
         elif tag == "details":
             e.shut = "open" not in found
+            self.hiding += e.shut
         elif tag == "pre":
             self.pre += 1
-        if e.shown and (tag in _BLOCK or not up.drawn and e.drawn) and e.frame is None and e.rows is None:
-            self.space(tag, up)
-        self.stack.append(e)
+        if shown and (tag in _BLOCK or not up.drawn) and e.rows is None:
+            self.space(tag)
+        if tag == "li" and shown and not foreign and self.seen[-1].seen:
+            parent = self.stack[max((self.at[x][-1] for x in _LISTS if self.at[x]), default=0)]
+            if parent.tag == "ol":
+                value = found.get("value", "").strip()
+                parent.number = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else parent.number + 1
+            e.mark = f"{parent.number}. " if parent.tag == "ol" else "- "
+            frame.marks.append(e.mark)
+        self.push(e)
         if e.frame is not None:
             self.frames.append(e.frame)
+        if e.rows is not None:
+            self.tables.append(e)
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
+        elif tag == "p":
+            if (self.at["svg"] or self.at["math"]) and self.foreign():
+                self.leave_foreign()
+            if not self.end_within(frozenset(("p",)), _BUTTON_SCOPE) and self.shown():
+                self.frames[-1].space(2)
+        elif tag in ("html", "body") or not self.at[tag] and tag not in _HEADINGS:
             return
-        bounds = _TABLE if tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html") else frozenset()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                while len(self.stack) > k:
-                    self.close()
-                return
-            if self.stack[k].tag in bounds or (tag in ("li", "p") and self.stack[k].tag in ("td", "th")):
-                return
+        elif tag in _FORMATTING:
+            self.end_formatting(tag)
+        elif tag in _HEADINGS:
+            self.end_within(_HEADINGS, _SCOPE)
+        elif tag in _TABLE_PARTS or tag == "table":
+            self.end_within(frozenset((tag,)), _TABLE_SCOPE)
+        elif tag in ("head", "template"):
+            self.close_to(self.at[tag][-1])
+        elif tag in _SPECIAL:
+            self.end_within(frozenset((tag,)), _LIST_SCOPE if tag == "li" else _SCOPE)
+        elif self.at[tag][-1] >= self.specials[-1] or tag in ("svg", "math"):
+            self.close_to(self.at[tag][-1])
+
+    def end_formatting(self, tag: str) -> None:
+        """Ends an element but leaves the blocks in it open."""
+        place = self.at[tag][-1]
+        if self.last(_SCOPE) > place:
+            return
+        if self.specials[-1] < place:
+            self.close_to(place)
+            return
+        e = self.stack[place]
+        self.at[tag].pop()
+        self.leave(e)
+        e.gone = True
 
     def finish(self) -> str:
         while len(self.stack) > 1:
             self.close()
-        return self.page.layout()
+        return "\n".join(self.page.layout())
 
 
 def visible_text(html: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty string.
 
-    A tag whose quotes never close ends at its first ``>``; one without any is text.
+    Hidden are elements that a browser with scripts hides by default, by ``hidden`` or by ``display`` and
+    ``visibility`` in a style attribute; style sheets are not applied. A closed ``select`` shows all its options.
+    A tag that the page's end cuts off ends at its first ``>``; without any it is text.
     """
-    page, at, begin, html = Renderer(), 0, 0, (html or "").replace("\0", "")
+    html = (html or "").replace("\0", "")
+    page, at, begin, cut_off = Renderer(len(html)), 0, 0, False
     while m := _OPEN.search(html, at):
-        at = m.start()
+        at, rest = m.start(), None
         if html.startswith("<!--", at):
-            stop = html.find("-->", m.end())
-            stop = stop + 3 if stop >= 0 else len(html)
-            rest = None
+            if html.startswith((">", "->"), m.end()):
+                stop = html.index(">", m.end()) + 1
+            else:
+                close = _COMMENT_END.search(html, m.end())
+                stop = close.end() if close else len(html)
+        elif html.startswith("<![CDATA[", at) and (page.at["svg"] or page.at["math"]) and page.foreign():
+            stop = html.find("]]>", m.end())
+            inner = html[m.end() : stop if stop >= 0 else len(html)]
+            if at > begin:
+                page.text(html[begin:at])
+            page.text(inner.replace("&", "&amp;"))
+            begin = at = stop + 3 if stop >= 0 else len(html)
+            continue
         else:
-            rest = _REST.match(html, m.end()) if m[2] else None
+            if m[2] and not cut_off:
+                rest = _REST.match(html, m.end())
+                cut_off = rest is None  # all up to the page's end is in the tag
             stop = rest.end() if rest else html.find(">", m.end()) + 1
             if not stop:
+                if not m[2]:
+                    if at > begin:
+                        page.text(html[begin:at])
+                    begin = len(html)
                 break
         if at > begin:
             page.text(html[begin:at])
@@ -311,7 +517,9 @@ def visible_text(html: str | None) -> str:
             page.end(tag)
             continue
         page.start(tag, rest[1] if rest else html[m.end() : stop - 1])
-        if tag in _RAW and page.stack[-1].tag == tag:
+        if tag == "plaintext":
+            break
+        if tag in _RAW and page.stack[-1].tag == tag and not page.stack[-1].foreign:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             stop = close.start() if close else len(html)
             page.text(html[at:stop])
@@ -328,8 +536,12 @@ def layout_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """(*keep, text) of each row's whole ``html``. Rows are independent; a null page has an empty text."""
-    return pages.select(*keep, layout_text("html").alias("text"))
+    """(*keep, text) of each row's whole ``html``.
+
+    Rows are independent: repeated ones and null ids give a row each, a null page has an empty text, an empty table an
+    empty result. A kept column named ``text`` is returned as ``text_in``; other columns are ignored.
+    """
+    return pages.select(*(F.col(f"`{c}`").alias(name) for c, name in beside(("text",), keep).items()), layout_text("html").alias("text"))
 
 
 def op10_layout_text(spark, sf_dir: str) -> DataFrame:
