@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/babelshelf/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark)}/babelshelf/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -46,13 +46,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes a table made by ``cut`` which no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that the operators of this application wrote into the shared folder; call it when results are written."""
+    _delete(spark, f"{shared_dir(spark)}/babelshelf/{spark.sparkContext.applicationId}")
 
 
 def beside(own: tuple[str, ...], keep: tuple[str, ...]) -> dict[str, str]:
@@ -76,16 +83,16 @@ def restored(own: tuple[str, ...], keep: tuple[str, ...]) -> list[Column]:
     return [F.col("__keep").getField(c).alias(name) for c, name in beside(own, keep).items()]
 
 
-def identified(docs: DataFrame, column: str = "__row") -> DataFrame:
-    """The columns of documents and a unique id, which is the same whenever the rows are read again.
+def identified(docs: DataFrame, column: str = "__row", columns: tuple[str, ...] = DOCUMENT_COLUMNS) -> DataFrame:
+    """``columns`` and a unique id, which is the same whenever the rows are read again.
 
     It is the file (as a 64-bit hash of its path) and the row's place in it. Anything but a plain scan of files is
     written first.
     """
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = cut(docs.select(*DOCUMENT_COLUMNS), "rows")
+        docs = cut(docs.select(*columns), "rows")
     place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return docs.select(*DOCUMENT_COLUMNS, place.alias(column))
+    return docs.select(*columns, place.alias(column))
 
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, column: str = "__row") -> DataFrame:

@@ -1,19 +1,22 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table bucketed and sorted by digest. A batch is reduced to one row per digest before any join, so
-a group of copies never meets in one task; the anti-join with the index then needs no shuffle of the index.
+a group of copies never meets in one task. The sort-merge anti-join with the index needs no shuffle of the index; it is
+written as a left join, since rows that do match want the id kept before. Rows without a match are appended. Spark sorts
+the buckets anew for each batch, as each append adds a file to them.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelshelf.llm.common import BLANKS, cut, shared_path
+from babelshelf.llm.common import BLANKS, carried, cut, drop_cut, restored, shared_path
 
-INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint"
+INDEX_SCHEMA = "digest binary, keep_id bigint, group_size bigint, batch string"
 
 
 def normalised(text: Column) -> Column:
@@ -21,7 +24,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def digests(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def digests(docs: DataFrame, keep: Sequence[str | Column] = ()) -> DataFrame:
     """(doc_id, digest, n_points, *keep): SHA-256 of the normalised text and the original's code points."""
     return docs.select(
         "doc_id", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"), *keep
@@ -50,41 +53,54 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def unseen(self, first: DataFrame) -> DataFrame:
-        """Rows of ``first`` (one per digest) that the index lacks, by sort-merge anti-join."""
-        return first.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+    def judged(self, first: DataFrame, batch: str) -> DataFrame:
+        """``first`` (one row per digest) with ``known``, and ``old_id`` where an earlier batch has the digest."""
+        old = self.table().select("digest", F.col("keep_id").alias("old_id"), F.col("batch").alias("old_batch"))
+        found = first.join(old.hint("merge"), "digest", "left")
+        return found.withColumn("known", F.col("old_batch").isNotNull() & (F.col("old_batch") != batch))
 
-    def append(self, new: DataFrame) -> None:
+    def append(self, new: DataFrame, batch: str) -> None:
         """Adds digests that the index lacks; one writer at a time."""
-        rows = new.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
+        rows = new.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
         rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
-    def drop(self) -> None:
-        """Forgets the table's name; its files stay."""
+    def drop(self, files: bool = False) -> None:
+        """Forgets the table's name, and deletes its files if asked to."""
+        held = self.table()
+        if files:
+            drop_cut(held)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for each row of a batch, and its new digests are appended.
+_OWN = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, *keep) for each row of a batch, and its new digests are appended.
 
     Rows are equal when their texts are after deleting blanks; null and empty texts are equal. Of a group that is
     new to the index, the row with most code points, then the smallest doc_id (null last) is kept; if two rows
     tie in both, one of them. A digest of an earlier batch keeps that batch's ``keep_id``, and none of the new
-    rows. ``group_size`` counts the rows of this batch. Columns besides ``doc_id`` and ``text`` are ignored.
+    rows. ``group_size`` counts the rows of this batch. An empty table gives an empty result. A kept column named like
+    the result's gets ``_in`` added; other columns are ignored.
+
+    ``batch`` names the batch: one that is run again, after a failure at any point or because its result was lost, does
+    not count as its own past and has the same result. Without a name each call is a batch of its own.
     """
-    found = judge(cut(digests(docs).withColumn("__row", F.monotonically_increasing_id()), "digests"), index)
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = cut(digests(docs, carried(keep)).withColumn("__row", F.monotonically_increasing_id()), "digests")
+    found = judge(rows, index, batch)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), *restored(_OWN, keep))
 
 
-def judge(rows: DataFrame, index: DigestIndex) -> DataFrame:
+def judge(rows: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """``rows`` of ``digests`` with a unique ``__row``, which have been cut: adds keep_id, group_size and kept."""
+    batch = batch or uuid.uuid4().hex
     first = cut(survivors(rows, "__row"), "survivors")
-    new = cut(index.unseen(first), "new-digests")
-    index.append(new)
-    # The index only grows, and now holds every digest of the batch.
-    state = first.select("digest", "group_size").join(index.table().select("digest", "keep_id").hint("merge"), "digest")
-    state = cut(state.join(new.select("digest", "keep_tie"), "digest", "left"), "states")
-    return rows.join(state, "digest").withColumn("kept", F.col("__row").eqNullSafe(F.col("keep_tie"))).drop("keep_tie")
+    state = cut(index.judged(first, batch), "states")
+    index.append(state.where("old_batch IS NULL"), batch)
+    drop_cut(first)
+    own = state.select("digest", "group_size", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(~F.col("known"), F.col("keep_tie")).alias("__kept"))
+    return rows.join(own, "digest").withColumn("kept", F.col("__row").eqNullSafe(F.col("__kept"))).drop("__kept")
 
 
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
@@ -94,8 +110,11 @@ def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
 
 
 def op4_digest_index(spark, sf_dir: str) -> DataFrame:
-    """All documents as the first batch of a new index."""
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_index(spark))
+    """All documents as the first batch of a new index, which is dropped once they are judged."""
+    index = fresh_index(spark)
+    found = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), index)
+    index.drop(files=True)
+    return found
 
 
 OP4_SQL = r"""

@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from babelshelf.llm import exact, simhash
 from babelshelf.llm.components import components
@@ -114,10 +116,53 @@ def test_exact_later_batches(spark):
     assert not any(r.kept for r in again) and index.table().count() == 3
     opened = exact.DigestIndex(spark, "digest_index_reopened", index.path, 3)
     assert opened.table().count() == 3
-    plan = opened.unseen(exact.survivors(exact.digests(spark.createDataFrame([(1, "z")], schema)).withColumn("t", exact.F.lit(1)), "t"))._jdf.queryExecution().toString()
+    plan = opened.judged(exact.survivors(exact.digests(spark.createDataFrame([(1, "z")], schema)).withColumn("t", exact.F.lit(1)), "t"), "b")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan
     opened.drop()
 
 
+def test_exact_batch_run_again(spark):
+    """A batch whose result was lost, also between its steps, gives the same result again, and not a later one's."""
+    index, schema = exact.fresh_index(spark, 3), "doc_id long, text string"
+    exact.deduplicate(spark.createDataFrame([(1, "a"), (2, "b")], schema), index, "first").collect()
+    batch = spark.createDataFrame([(5, "b"), (4, "c"), (3, "c"), (6, "d"), (None, None)], schema)
+    # The first try breaks off when only some of its digests are in the index.
+    index.append(exact.survivors(exact.digests(batch.where("doc_id = 6"))), "second")
+    tries = [sorted(map(tuple, exact.deduplicate(batch, index, "second").collect()), key=repr) for _ in range(3)]
+    assert tries[0] == tries[1] == tries[2] and sorted(r[0] for r in tries[0] if r[3] and r[0]) == [3, 6] and sum(r[3] for r in tries[0]) == 3
+    assert index.table().count() == 5 and index.table().where("batch = 'second'").count() == 3
+    later = exact.deduplicate(batch, index, "third").collect()
+    assert not any(r.kept for r in later) and {r.doc_id: r.keep_id for r in later} == {5: 2, 4: 3, 3: 3, 6: 6, None: None}
+    path = index.path
+    index.drop(files=True)
+    assert not list(Path(path.removeprefix("file://")).glob("*.parquet"))
+
+
+def test_kept_columns_may_clash(spark):
+    rows = spark.createDataFrame([(1, "x y z", "k", 7), (1, "x y z", "k", 7), (None, None, None, None)], "doc_id long, text string, kept string, fp int")
+    found = exact.deduplicate(rows, exact.fresh_index(spark, 2), keep=("kept", "doc_id", "fp"))
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "kept_in", "doc_id_in", "fp"]
+    assert sorted((r.doc_id_in or 0, r.kept_in, r.fp, r.kept) for r in found.collect()) == [(0, None, None, True), (1, "k", 7, False), (1, "k", 7, True)]
+    near = simhash.near_duplicates(rows, keep=("fp", "kept"))
+    assert near.columns == ["doc_id", "fp", "component_id", "__label", "fp_in", "kept"] and sorted((r.fp_in or 0, r.component_id or 0) for r in near.collect()) == [(0, 0), (7, 1), (7, 1)]
+
+
+def test_tally_drops_met_pairs(spark):
+    """Pairs with three equal lists' bytes or fewer meet but are not verified; those with six equal bytes reach the minimum exactly."""
+    dice = random.Random(2)
+    center = dice.getrandbits(64)
+    # Of each, so many bytes differ in one bit.
+    prints = [center] + [center ^ sum(1 << (8 * k) for k in dice.sample(range(8), n)) for n in (1, 2, 3, 4) for _ in range(3)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in dict.fromkeys(prints)]
+    met = simhash.postings(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    tally = {(r.a, r.b): r.n for r in simhash.tallied(met).collect()}
+    differ = {pair: sum(((pair[0] ^ pair[1]) >> 8 * k) & 255 != 0 for k in range(8)) for pair in tally}
+    assert simhash.LEAST_LISTS == 3 and all(n == {1: 7, 2: 3, 3: 1, 4: 1}[differ[pair]] for pair, n in tally.items())
+    retained = {(r.a, r.b) for r in simhash.tallied(met).where(F.col("n") >= simhash.LEAST_LISTS).collect()}
+    assert 0 < len(retained) < len(tally) and retained == {p for p in tally if differ[p] <= 2}
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    assert {(r.a, r.b) for r in simhash.verified(simhash.tallied(met)).collect()} == want
+
+
 def test_exact_empty(spark, none):
     assert exact.deduplicate(none, exact.fresh_index(spark, 2)).count() == 0
