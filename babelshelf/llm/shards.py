@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from babelshelf.llm.common import cut
+from babelshelf.llm.common import cut, identified
 
 KEY_BITS = 60
 ROUND_BITS = 10
@@ -79,9 +79,10 @@ def _shard_of(key: str, bounds: list[int], first: int = 0) -> Column:
 def histogram_shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0005, keys: tuple[str, ...] = ("doc_id", "text"), size: str = "size", cell_rows: int = CELL_ROWS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``: shards of near-equal sums of ``size``, slots gapless from 0.
 
-    The order within and across shards is that of a hash of ``keys``. Rows with equal keys stay together: at most
-    the rows of one key stand between a shard's size and its aim. Null keys are keys like any other; ``size`` must
-    not be null. Columns ``shard`` and ``slot`` of the input are replaced. An empty table gives an empty result.
+    The order within and across shards is that of a hash of ``keys``. Rows with equal keys stay together, so that at
+    most the rows of one key stand between a shard's size and its aim; let the keys tell repeated rows apart, as
+    ``sharded_documents`` does. Null keys are keys like any other; ``size`` must not be null. Columns ``shard`` and
+    ``slot`` of the input are replaced. An empty table gives an empty result.
     """
     rows = docs.drop("shard", "slot").withColumn("__key", F.shiftrightunsigned(F.xxhash64(*keys), 64 - KEY_BITS))
     slim = cut(rows.select("__key", F.col(size).alias("size")), "shard-keys")
@@ -105,9 +106,14 @@ def text_crc32(text: Column) -> Column:
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
-    """(doc_id, text, size, shard, slot): the whole documents, in shards of near-equal sums of ``text_size``."""
-    whole = docs.select("doc_id", "text", text_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("__crc"))
-    return histogram_shards(whole, n_shards, keys=("doc_id", "__crc")).drop("__crc")
+    """(doc_id, text, size, shard, slot): the whole documents, in shards of near-equal sums of ``text_size``.
+
+    The key holds a row's file and place besides its id and text, so that repeated rows are spread like any others:
+    a shard's size is within the tolerance and one document of its aim. Null ids and texts are values like any other.
+    """
+    rows = identified(docs, "__place", ("doc_id", "text"))
+    whole = rows.withColumns({"size": text_size(F.col("text")), "__crc": text_crc32(F.col("text"))})
+    return histogram_shards(whole, n_shards, keys=("doc_id", "__crc", "__place")).drop("__crc", "__place")
 
 
 def op3_histogram_sort(spark, sf_dir: str) -> DataFrame:
