@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelshelf.llm.common import cut, shared_path
+from babelshelf.llm.common import cut, identified, shared_path
 from babelshelf.llm.tokens import blocks, encoder, tokenizer_path
 
 MAGIC = b"BSHELF1\0"
@@ -144,7 +144,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     Files and the documents in them are in ascending doc_id order, null ids first; ``first_id`` counts the ids of
     all files before. Null texts are empty: such a document is its end id. Rows with equal ids stand next to each
-    other in the order of their texts. A task that runs again writes the same file again under the same name.
+    other, ordered by a hash of their texts and then by their place, so that not even repeated rows need go into one
+    file. Other columns are ignored; an empty table gives no files. A task that runs again writes the same file again
+    under the same name.
     """
     path = tokenizer or tokenizer_path()
 
@@ -170,7 +172,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             uri = folder.rstrip("/") + f"/tokens-{part:06d}.bin"
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [uri], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ("doc_id", "__text", "__place")
+    rows = identified(docs, "__at", ("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("__text"), F.xxhash64("__at").alias("__place"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     files = cut(ordered.mapInArrow(write, MANIFEST), "token-files")
     # One row per file, of at least tens of MB at scale.
     return files.withColumn("first_id", F.expr("coalesce(sum(n_ids) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))

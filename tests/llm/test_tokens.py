@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
@@ -119,7 +120,9 @@ def test_binary_files(request, spark, library, table):
     df = request.getfixturevalue(table)
     files = binary.write_token_files(df, shared_path(spark, "test-bin"))
     found = binary.read_token_files(files, 3).collect()
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in df.collect()))
+    # Rows with one id stand in the order of the signed hash of their texts, which is the seed for null.
+    signed = lambda text: ((42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)) + (1 << 63)) % (1 << 64)
+    rows = sorted((r.doc_id is not None, r.doc_id or 0, signed(r.text), r.text or "") for r in df.collect())
     at, want = 0, []
     for has_id, doc_id, _, text in rows:
         ids = [*ids_of(library, text), 0]
@@ -128,6 +131,17 @@ def test_binary_files(request, spark, library, table):
     assert sorted(((r.doc_id, r.start, bytes(r.ids)) for r in found), key=lambda x: x[1]) == want
 
 
+def test_repeated_ids_are_dealt_to_several_files(spark):
+    rows = [(None, "the same text")] * 4000 + [(7, f"text {i}") for i in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = binary.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shared_path(spark, "test-bin"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n_docs = [r.n_docs for r in files.collect()]
+    assert sum(n_docs) == 6000 and len(n_docs) == 4 and max(n_docs) < 3000
+
+
 def test_binary_empty(spark, none):
     assert binary.read_token_files(binary.write_token_files(none, shared_path(spark, "test-bin")), 1).count() == 0
 
