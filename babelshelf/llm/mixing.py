@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from babelshelf.llm.common import cut
+from babelshelf.llm.common import carried, cut, restored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -25,6 +25,8 @@ MOST = 2.0
 #: Mean rows of a chunk in the first round, and chunks that meet in one of the next round (two rows from each).
 CHUNK_ROWS = 2_000
 FAN_IN = 500
+#: A chunk of more than so many times the mean is parted further; but for rows that repeat there is none.
+OVERFULL = 4
 EPSILON = 1e-9
 
 
@@ -91,7 +93,7 @@ def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _round(last: bool):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("__order", "ascending"), ("__row", "ascending")])
-        seed = zlib.crc32(repr((rows.column("source")[0].as_py(), rows.column("__chunk")[0].as_py())).encode())
+        seed = zlib.crc32(repr((rows.column("source")[0].as_py(), rows.column("__chunk")[0].as_py(), rows.column("__part")[0].as_py())).encode())
         size = rows.column("size").to_numpy().astype(float)
         prob = fly(rows.column("__prob").to_numpy(), size, np.random.default_rng(seed))
         at = rows.schema.get_field_index("__prob")
@@ -100,15 +102,30 @@ def _round(last: bool):
     return run
 
 
+def chunked(state: DataFrame, chunk_rows: int) -> tuple[DataFrame, int]:
+    """``state`` with ``__part``, which parts the chunks that equal rows overfill, and the most parts of a chunk."""
+    counts = state.groupBy("source", "__chunk").agg(F.count("*").alias("n")).where(F.col("n") > OVERFULL * chunk_rows)
+    over = cut(counts.select(F.col("source").alias("s"), F.col("__chunk").alias("c"), F.ceil(F.col("n") / F.lit(float(chunk_rows))).alias("parts")), "overfull")
+    n_over, most = over.agg(F.count("*"), F.max("parts")).first()
+    if not n_over:
+        return state.withColumn("__part", F.lit(0).cast("long")), 1
+    joined = state.join(F.broadcast(over) if n_over <= 10_000 else over, F.col("source").eqNullSafe(F.col("s")) & (F.col("__chunk") == F.col("c")), "left")
+    return joined.withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("parts")), F.lit(0)).cast("long")).drop("s", "c", "parts"), most
+
+
+_OWN = ("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, keep: tuple[str, ...] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, *keep) for each row.
 
     ``size`` is the number of words, ``copies`` how often the mix takes the row, ``taken`` the words so taken. A
     null source is a source of its own, null texts have no words. Rows count one by one, also when they repeat.
-    The order of flight is that of a hash of doc_id and size, so a rerun takes the same. Columns besides
-    ``doc_id``, ``text``, ``source`` and ``keep`` are ignored; an empty table gives an empty result.
+    The order of flight is that of a hash of doc_id and size, so a rerun takes the same; rows equal in both that
+    overfill a chunk are dealt to several. An empty table gives an empty result. A kept column named like the result's
+    gets ``_in`` added; other columns are ignored.
     """
-    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), *(c for c in keep if c != "source")), "sizes")
+    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), *carried(keep)), "sizes")
     targets = cut(source_targets(rows, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     priced = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "n", rate.alias("__rate"))
@@ -118,23 +135,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         *[F.col(c) for c in rows.columns], "source_size", "target", base.alias("__base"), F.greatest(F.col("__rate") - base, F.lit(0.0)).alias("__prob"),
         F.pmod(F.xxhash64("doc_id", "size"), chunks).alias("__chunk"), F.xxhash64("size", "doc_id").alias("__order"),
     )
+    state, most_parts = chunked(state, chunk_rows)
     schema, done = state.schema, []
     most_chunks = math.ceil((targets.agg(F.max("n")).first()[0] or 0) / chunk_rows)
     fractional = (F.col("__prob") > EPSILON) & (F.col("__prob") < 1 - EPSILON)
     left = state
     while True:
-        last = most_chunks <= 1
-        flown = cut(left.groupBy("source", "__chunk").applyInArrow(_round(last), schema), "flight")
+        last = most_chunks <= 1 and most_parts <= 1
+        flown = cut(left.groupBy("source", "__chunk", "__part").applyInArrow(_round(last), schema), "flight")
         done.append(flown if last else flown.where(~fractional))
         if last:
             break
-        left = flown.where(fractional).withColumn("__chunk", F.floor(F.col("__chunk") / FAN_IN))
-        most_chunks = -(-most_chunks // FAN_IN)
+        level = "__part" if most_parts > 1 else "__chunk"
+        left = flown.where(fractional).withColumn(level, F.floor(F.col(level) / FAN_IN))
+        most_parts, most_chunks = (-(-most_parts // FAN_IN), most_chunks) if most_parts > 1 else (1, -(-most_chunks // FAN_IN))
     whole = done[0]
     for more in done[1:]:
         whole = whole.unionAll(more)
     copies = (F.col("__base") + F.round("__prob")).cast("long")
-    return whole.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+    return whole.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *restored(_OWN, keep))
 
 
 def op8_cube_mix(spark, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def test_mix(request, table, chunk_rows):
         count[r.source] += 1
         by_id[r.doc_id].append(n)
     target = brute_targets(dict(sizes))
-    found = mixing.mix(df.drop("copies", "size", "kept"), keep=("source",), chunk_rows=chunk_rows).collect()
+    found = mixing.mix(df, keep=("source",), chunk_rows=chunk_rows).collect()
     got = defaultdict(list)
     taken, copies, largest = Counter(), Counter(), Counter()
     for r in found:
@@ -79,7 +79,7 @@ def test_mix(request, table, chunk_rows):
     for s in sizes:
         assert abs(taken[s] - target[s]) <= largest[s]
         assert abs(copies[s] - (target[s] / sizes[s] * count[s] if sizes[s] else 0)) <= 2
-    again = mixing.mix(df.drop("copies", "size", "kept").repartition(3), keep=("source",), chunk_rows=chunk_rows).collect()
+    again = mixing.mix(df.repartition(3), keep=("source",), chunk_rows=chunk_rows).collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in found)
 
 
@@ -97,10 +97,43 @@ def test_flight_keeps_both_sums():
     assert np.abs(mean - 0.4).max() < 0.05
 
 
+def test_kept_columns_may_clash(odd):
+    found = mixing.mix(odd, keep=("size", "copies", "n"))
+    assert found.columns == ["doc_id", "size", "source_size", "target", "copies", "taken", "size_in", "copies_in", "n"]
+    assert Counter(map(repr, found.select("doc_id", "size_in", "copies_in", "n").collect())) == Counter(map(repr, odd.selectExpr("doc_id", "size AS size_in", "copies AS copies_in", "n").collect()))
+
+
+def test_equal_rows_do_not_overfill_a_chunk(spark):
+    rows = [(1, "same words here", "a")] * 3000 + [(None, None, None)] * 700 + [(i, "w " * (i % 40), "b") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    state = df.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(20))).withColumn("__row", F.monotonically_increasing_id())
+    parted, most = mixing.chunked(state, 100)
+    assert most >= 30 and parted.count() == 5700 and parted.groupBy("source", "__chunk", "__part").count().agg(F.max("count")).first()[0] <= 450
+    sums, target, largest = Counter(), {}, Counter()
+    for r in mixing.mix(df, keep=("source",), chunk_rows=50).collect():
+        sums[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+        assert 0 <= r.copies <= 2
+    assert all(abs(sums[s] - target[s]) <= largest[s] for s in target)
+
+
 def test_mix_empty(none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 5])
+def test_repeated_rows_keep_the_law(spark, n):
+    """2,000 equal rows among 4,000: each shard is within the tolerance and one document of its aim."""
+    rows = [(i, "some text of its own %d" % i) for i in range(2000)] + [(None, "the same text over and over again")] * 1900 + [(None, None)] * 100
+    found = shards.sharded_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), n).collect()
+    sums = Counter()
+    for r in found:
+        sums[r.shard] += r.size
+    mean, most = sum(sums.values()) / n, max(r.size for r in found)
+    assert len(found) == 4000 and all(abs(sums[k] - mean) <= most + 2 * 0.0005 * mean for k in range(n))
+
+
 def test_documents_are_sharded_with_their_texts(spark, sf, odd):
     found = shards.sharded_documents(odd)
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
