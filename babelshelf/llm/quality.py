@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from babelshelf.llm.common import DOCUMENT_COLUMNS, cut
+from babelshelf.llm.common import DOCUMENT_COLUMNS, carried, cut, restored
 
 #: Labelled rows from which the model is fitted, at most; chosen by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -73,11 +73,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> list[float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[float]:
-    """Weights from at most ``rows`` labelled documents; without both classes, evidence is the same for all."""
-    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    # At most ``rows`` pairs of numbers are broadcast.
+    """Weights from at most ``rows`` labelled documents; without both classes, evidence is the same for all.
+
+    An id that stands on several documents counts once for each of its labels, by the least of their features.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").distinct()
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    # At most ``rows`` pairs of numbers are broadcast, and as many rows of features come back.
     seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(features("text").alias("x"), "quality", "doc_id")
-    got = seen.toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    got = seen.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     y = (got["quality"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return [3.0 if not len(y) or y[0] else -3.0, *[0.0] * N_FEATURES]
@@ -115,17 +119,21 @@ def _logit(p: Column) -> Column:
     return F.log(bounded / (1 - bounded))
 
 
+_OWN = ("doc_id", "evidence", "site", "posterior", "kept")
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, evidence, site, posterior, kept, *keep) for each row.
 
     ``evidence`` is the document's own, ``site`` its path's posterior mean without it, ``posterior`` both together:
     the evidence's log odds moved by the site's distance from the global mean. Null hosts and paths are groups of
-    their own; null and empty texts have the features 0. Repeated rows count each time. Other columns are ignored,
-    an empty table gives an empty result, and without labels all rows are kept.
+    their own; null and empty texts have the features 0. Repeated rows count each time. An empty table gives an empty
+    result, and without labels all rows are kept. A kept column named like the result's gets ``_in`` added; other
+    columns are ignored.
     """
     weights = train(docs, labels)
     site = [F.col(host).alias("__host"), F.col(path).alias("__path")]
-    rows = cut(docs.select("doc_id", *site, evidence("text", weights).alias("evidence"), *keep), "evidence")
+    rows = cut(docs.select("doc_id", *site, evidence("text", weights).alias("evidence"), *carried(keep)), "evidence")
     sums = [F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("ss")]
     paths = cut(rows.groupBy("__host", "__path").agg(*sums), "paths")
     hosts = paths.groupBy("__host").agg(*(F.sum(x).alias(x) for x in ("n", "s", "ss")))
@@ -140,7 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     others = (F.col("hs") - e + k_host * center) / (F.col("hn") - 1 + k_host)
     scored = own.withColumn("site", (F.col("s") - e + k_path * others) / (F.col("n") - 1 + k_path))
     odds = _logit(e) + _logit(F.col("site")) - _logit(F.lit(center))
-    return scored.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("posterior") >= threshold).select("doc_id", "evidence", "site", "posterior", "kept", *keep)
+    return scored.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("posterior") >= threshold).select(*_OWN, *restored(_OWN, keep))
 
 
 def op1_quality_bayes(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import math
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,39 @@ def test_posteriors(request, spark, sf, table, monkeypatch):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     strengths = iter((7.0, 3.0))
     monkeypatch.setattr(quality, "strength", lambda *_: next(strengths))
-    found = quality.classify(df.drop("kept", "n", "s"), labels, keep=("source", "lang")).collect()
+    found = quality.classify(df, labels, keep=("source", "lang")).collect()
     assert len(found) == df.count()
     for r, (site, posterior) in zip(found, brute_posteriors([(r.source, r.lang, r.evidence) for r in found], 7.0, 3.0), strict=True):
         assert abs(r.site - site) < 1e-9 and abs(r.posterior - posterior) < 1e-9 and r.kept == (r.posterior >= 0.5)
 
 
+def test_kept_columns_may_clash(odd, none, spark):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = quality.classify(odd, empty, keep=("kept", "n", "s", "doc_id"))
+    assert found.columns == ["doc_id", "evidence", "site", "posterior", "kept", "kept_in", "n", "s", "doc_id_in"]
+    assert Counter(map(repr, found.select("doc_id_in", "kept_in", "n", "s").collect())) == Counter(map(repr, odd.selectExpr("doc_id AS doc_id_in", "kept AS kept_in", "n", "s").collect()))
+
+
+def test_repeated_labelled_ids_send_one_row_each(spark):
+    """However often a labelled id or its label repeats, the model is that of its distinct labels."""
+    rows = [(i, ("good words in a row " if i % 2 else "### $$$ !!! ") * (1 + i % 7), "s", "l") for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    schema, label_schema = "doc_id long, text string, source string, lang string", "doc_id long, quality int"
+    plain = quality.train(spark.createDataFrame(rows, schema), spark.createDataFrame(labels, label_schema))
+    sent = []
+    collect = type(spark.range(0)).toPandas
+
+    def counted(df):
+        got = collect(df)
+        sent.append(len(got))
+        return got
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(0)), "toPandas", counted)
+        again = quality.train(spark.createDataFrame(rows + [rows[3]] * 500, schema), spark.createDataFrame(labels * 3, label_schema))
+    assert sent == [40] and again == plain
+
+
 def test_held_out_accuracy(spark):
     """Fitted on even labels, held against odd ones."""
     sf = "/root/testdata/sf0.01"
