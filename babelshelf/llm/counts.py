@@ -1,4 +1,11 @@
-"""Token counts by a two-tier lookup of piece lengths on the map side; no piece is ever shuffled."""
+"""Token counts by a two-tier lookup of pre-token lengths on the map side.
+
+The first tier is a compact table of frequent pre-tokens and their lengths, which is broadcast: the pieces that the
+tokenizer itself holds as words of their own, for which it was trained to have an id because they are frequent. It comes
+from the vocabulary file alone, so that it is bounded by that, the same for all data, and needs no pass over them. The
+second tier encodes what the table lacks, once for each worker as long as it stays in its cache. Rows stay in their
+tasks; nothing is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,106 +13,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelshelf.llm.common import cut
 from babelshelf.llm.tokens import Generations, PieceEncoder, blocks, encoder, is_safe, split, tokenizer_path
 
-#: Entries of the broadcast table and the longest piece in it: at most 30,000 x 24 characters.
-TABLE_PIECES = 30_000
-TABLE_CHARS = 24
-#: Counters in a task's summary, and summaries that meet in one task.
-COUNTERS = 60_000
-FAN_IN = 64
-SUMMARY = "part long, pieces array<string>, counts array<long>"
 #: Lengths remembered by a worker, in each of two generations.
 CACHE_LENGTHS = 500_000
 _lengths: dict[str, Generations] = {}
 
 
-def count_tokens(texts: pa.Array, enc: PieceEncoder, table: dict[str, int], cache: Generations) -> np.ndarray:
-    """Tokens of each text: sums of piece lengths from ``table``, then ``cache``, then the encoder."""
-    if not enc.by_piece:
-        return np.array([len(x) for x in enc.encode(texts.to_pylist())], dtype=np.int64)
-    offsets, index, words = split(texts)
-    found = list(map(table.get, words))
-    rare = [i for i, x in enumerate(found) if x is None]
-    for i, x in zip(rare, cache.find([words[i] for i in rare]), strict=True):
-        found[i] = x
-    missing = [i for i in rare if found[i] is None and is_safe(words[i])]
-    for i, ids in zip(missing, enc.encode_pieces([words[i] for i in missing]), strict=True):
-        found[i] = len(ids) // enc.dtype.itemsize
-        cache.put(words[i], found[i])
-    lens = np.array([-1 if x is None else x for x in found], dtype=np.int64)[index]
-    counts = np.add.reduceat(lens, offsets[:-1]) - 1  # the leading newline's
-    for r in np.flatnonzero(np.minimum.reduceat(lens, offsets[:-1]) < 0).tolist():
-        counts[r] = len(enc.encode_doubtful([words[i] for i in index[offsets[r] : offsets[r + 1]]]))
-    return counts
-
-
-def reduced(seen: dict[str, int], most: int = COUNTERS) -> dict[str, int]:
-    """At most ``most`` counters, as in a Misra-Gries summary: all lose what the first one that goes has."""
-    if len(seen) <= most:
-        return seen
-    counts = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-    off = int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1])
-    return {w: n - off for w, n in seen.items() if n > off}
+class LengthTable:
+    """Pieces and their numbers of tokens as two arrays, looked up by Arrow's hash index for a whole block at once."""
 
+    def __init__(self, pieces: list[str], lengths: list[int]):
+        self.pieces, self.lengths = pa.array(pieces, pa.large_string()), np.array([*lengths, -1], dtype=np.int64)
 
-def _summary(part: int, seen: dict[str, int]) -> pa.RecordBatch:
-    seen = reduced(seen)
-    columns = [pa.array([part], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())), pa.array([list(seen.values())], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "pieces", "counts"])
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Numbers of tokens, -1 for pieces that the table lacks."""
+        if not len(self.pieces):
+            return np.full(len(words), -1, dtype=np.int64)
+        return self.lengths[pc.fill_null(pc.index_in(words, value_set=self.pieces), -1).to_numpy()]
 
 
-def frequent_pieces(docs: DataFrame, pieces: int = TABLE_PIECES) -> list[str]:
-    """The most frequent pieces over all documents, at most ``pieces``.
+def frequent_lengths(path: str) -> LengthTable:
+    """The pieces that are words of the vocabulary, in the order of their ids; none if pieces don't work for it."""
+    enc = encoder(path)
+    if not enc.by_piece:
+        return LengthTable([], [])
+    words = [text[1:] if text[0] == " " else text for text in enc.words() if is_safe(text[1:])]
+    pieces = list(dict.fromkeys(words))
+    return LengthTable(pieces, [len(x) // enc.dtype.itemsize for x in enc.encode_pieces(pieces)])
 
-    Each task counts its pieces in a summary of bounded size, and only these summaries are merged, some at a time. A
-    piece that stands more often than once in ``COUNTERS`` pieces is never lost.
-    """
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        for _, texts in blocks(batches):
-            _, index, words = split(texts)
-            for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
-                if len(w) <= TABLE_CHARS and is_safe(w):
-                    seen[w] = seen.get(w, 0) + n
-            if len(seen) > 4 * COUNTERS:
-                seen = reduced(seen)
-        if seen:
-            yield _summary(TaskContext.get().partitionId(), seen)
-
-    def merge(table: pa.Table) -> pa.Table:
-        seen: dict[str, int] = {}
-        for some, counts in zip(table.column("pieces"), table.column("counts"), strict=True):
-            for w, n in zip(some.as_py(), counts.as_py(), strict=True):
-                seen[w] = seen.get(w, 0) + n
-            if len(seen) > 4 * COUNTERS:
-                seen = reduced(seen)
-        return pa.Table.from_batches([_summary(table.column("part")[0].as_py() // FAN_IN, seen)])
-
-    tallies = cut(docs.select("text").mapInArrow(tally, SUMMARY), "tallies")
-    parts = (tallies.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        tallies = cut(tallies.groupBy(F.floor(F.col("part") / FAN_IN).alias("__group")).applyInArrow(merge, SUMMARY), "tallies")
-        parts = -(-parts // FAN_IN)
-    whole = tallies.first()
-    if whole is None:
-        return []
-    return [w for _, w in sorted((-n, w) for w, n in zip(whole.pieces, whole.counts, strict=True))[:pieces]]
-
-
-def frequent_lengths(docs: DataFrame, path: str, pieces: int = TABLE_PIECES) -> dict[str, int]:
-    """Token counts of the most frequent pieces over all documents, at most ``pieces``."""
-    enc = encoder(path)
+def count_tokens(texts: pa.Array, enc: PieceEncoder, table: LengthTable, cache: Generations) -> np.ndarray:
+    """Tokens of each text: sums of piece lengths from ``table``, then ``cache``, then the encoder."""
     if not enc.by_piece:
-        return {}
-    top = frequent_pieces(docs, pieces)
-    return {w: len(ids) // enc.dtype.itemsize for w, ids in zip(top, enc.encode_pieces(top), strict=True)}
+        return np.array([len(x) for x in enc.encode(texts.to_pylist())], dtype=np.int64)
+    offsets, index, words = split(texts)
+    found = table.find(words)
+    rare = np.flatnonzero(found < 0)
+    names = words.take(pa.array(rare)).to_pylist()
+    lengths = cache.find(names)
+    missing = [i for i, x in enumerate(lengths) if x is None and is_safe(names[i])]
+    for i, ids in zip(missing, enc.encode_pieces([names[i] for i in missing]), strict=True):
+        lengths[i] = len(ids) // enc.dtype.itemsize
+        cache.put(names[i], lengths[i])
+    found[rare] = [-1 if x is None else x for x in lengths]
+    lens = found[index]
+    counts = np.add.reduceat(lens, offsets[:-1]) - 1  # the leading newline's
+    for r in np.flatnonzero(np.minimum.reduceat(lens, offsets[:-1]) < 0).tolist():
+        counts[r] = len(enc.encode_doubtful(words.take(pa.array(index[offsets[r] : offsets[r + 1]])).to_pylist()))
+    return counts
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512) -> DataFrame:
@@ -116,7 +76,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     empty table gives an empty result.
     """
     path = tokenizer or tokenizer_path()
-    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, cache = encoder(path), _lengths.setdefault(path, Generations(CACHE_LENGTHS))

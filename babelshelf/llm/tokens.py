@@ -110,6 +110,12 @@ class PieceEncoder:
         #: Whether pieces work as assumed; if not, every text is encoded as a whole.
         self.by_piece = len(ids[0]) > 1 and vocab.get("Ċ") == ids[0][0] and list(self.begins[ids[1]]) == [True, True, True, False]
 
+    def words(self) -> list[str]:
+        """Texts of the ids that begin with a space or are a newline and more, by id."""
+        ids = np.flatnonzero(self.begins).tolist()
+        texts = [self.tokenizer.decode([i]) for i in ids]
+        return [x for x in texts if len(x) > 1 and x[0] in " \n" and "\ufffd" not in x]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -136,7 +142,8 @@ class PieceEncoder:
         if not self.by_piece:
             found = [np.array(x, dtype=self.dtype) for x in self.encode(texts.to_pylist())]
             return np.cumsum([len(x) for x in found], dtype=np.int64), np.concatenate([*found, np.zeros(0, self.dtype)])
-        offsets, index, words = split(texts)
+        offsets, index, coded = split(texts)
+        words = coded.to_pylist()
         found = self.cache.find(words)
         missing = [i for i, x in enumerate(found) if x is None]
         safe = [i for i in missing if is_safe(words[i])]
@@ -171,12 +178,12 @@ class PieceEncoder:
         return np.cumsum(sizes, dtype=np.int64), np.concatenate(parts)
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets, index, words): text r has the pieces words[index[offsets[r]:offsets[r + 1]]], one at least."""
     lists = pc.split_pattern(marked(texts), " ")
     coded = pc.dictionary_encode(lists.flatten())
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    return offsets - (offsets[0] if len(offsets) else 0), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    return offsets - (offsets[0] if len(offsets) else 0), coded.indices.to_numpy(), coded.dictionary
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -36,7 +36,7 @@ def test_pieces_match_library(library):
     ends, ids = enc(pa.array(texts, pa.large_string()))
     starts = [0, *ends.tolist()]
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [ids_of(library, t) for t in texts]
-    n = counts.count_tokens(pa.array(texts, pa.large_string()), enc, {"a": 1}, tokens.Generations(10))
+    n = counts.count_tokens(pa.array(texts, pa.large_string()), enc, counts.LengthTable(["a"], [1]), tokens.Generations(10))
     assert n.tolist() == [len(ids_of(library, t)) for t in texts]
 
 
@@ -62,29 +62,17 @@ def test_counts(request, library, table):
     assert found == want
 
 
-def test_table_is_filled_from_all_documents(documents):
-    seen = Counter()
-    for r in documents.repartition(7).collect():
-        _, index, words = tokens.split(pa.array([r.text or ""], pa.large_string()))
-        seen.update(words[i] for i in index)
-    want = sorted((-n, w) for w, n in seen.items() if len(w) <= counts.TABLE_CHARS and tokens.is_safe(w))
-    assert counts.frequent_pieces(documents.repartition(130), 100) == [w for _, w in want[:100]]
-    assert counts.frequent_pieces(documents.limit(0)) == []
-
-
-def test_reduced_keeps_frequent_pieces():
-    dice = random.Random(4)
-    stream = [f"w{int(dice.paretovariate(0.8))}" for _ in range(20_000)]
-    seen, most = {}, 50
-    for w in stream:
-        seen[w] = seen.get(w, 0) + 1
-        if len(seen) > 4 * most:
-            seen = counts.reduced(seen, most)
-    seen = counts.reduced(seen, most)
-    exact = Counter(stream)
-    assert len(seen) <= most
-    assert all(exact[w] - len(stream) / most <= seen.get(w, 0) <= exact[w] for w in exact)
-    assert counts.reduced({"a": 1, "b": 1, "c": 1}, 2) == {}
+def test_table_holds_the_vocabulary_s_words(library):
+    table = counts.frequent_lengths(tokens.tokenizer_path())
+    pieces = table.pieces.to_pylist()
+    assert 30_000 < len(pieces) == len(set(pieces)) <= library.get_vocab_size() and {"the", "of", "und"} <= set(pieces)
+    assert table.lengths[:-1].tolist() == [len(ids_of(library, tokens.as_text(w))) for w in pieces]
+    assert table.find(pa.array(["the", "no such piece at all", ""], pa.large_string())).tolist() == [1, -1, -1]
+
+
+def test_nothing_is_shuffled_for_counts(documents):
+    plan = counts.token_counts(documents)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
 
 
 @pytest.mark.parametrize("width", [1, 5, 11, 16, 17, 31, 32])
