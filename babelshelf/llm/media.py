@@ -125,7 +125,11 @@ def tensors(mel: np.ndarray) -> np.ndarray:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text's UTF-8 bytes as a sound file; null is empty."""
+    """(doc_id, n_bytes, media): each whole text's UTF-8 bytes as a sound file; null is empty.
+
+    Rows are independent: repeated ones and null ids give a row each, other columns are ignored, an empty table gives an
+    empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,9 @@ def audio_features(media: DataFrame, folder: str) -> DataFrame:
 
     A file holds rows of doc_id, start_s, end_s and a tensor of ``SPAN_FRAMES`` x ``MELS``; a document's tensors lie
     together from ``first_tensor`` on. ``tensor_crc32`` is that of the tensors as read back from the file. ``spans``
-    are the loud segments. Equal media have equal features. A task that runs again writes the same file again.
+    are the loud segments. Equal media have equal features, also of repeated rows, which each have tensors of their own;
+    null ids stay null. An empty table gives no files and an empty result, other columns are ignored. A task that runs
+    again writes the same file again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
