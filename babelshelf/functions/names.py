@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +39,28 @@ def series(name: Column) -> Column:
     return F.when(name.rlike(f"(?d){SERIES}"), F.struct(_group(name, SERIES, 1).alias("name"), _group(name, SERIES, 2).cast("int").alias("year")))
 
 
+@dataclass(frozen=True)
+class Parser:
+    """A naming scheme: how the names of episodes, seasons and series are read, as column expressions."""
+
+    episode: Callable[[Column], Column] = episode
+    season: Callable[[Column, list[str]], Column] = season
+    series: Callable[[Column], Column] = series
+
+
+# The texts of descriptions.
+def episode_text(season: Column, episode: Column, name: Column) -> Column:
+    return F.format_string("<Episode season: %d episode: %d name: %s>", season, episode, name)
+
+
+def season_text(season: Column) -> Column:
+    return F.format_string("<Season season: %d>", season)
+
+
+def series_text(name: Column, year: Column) -> Column:
+    return F.format_string("<Series name: %s year: %d>", name, year)
+
+
 def language(text: Column) -> Column:
     """struct(short, long) of ``short: long``; null unless there are exactly two parts."""
     parts = F.transform(F.split(text, ":"), lambda x: F.trim(x))

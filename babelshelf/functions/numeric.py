@@ -20,6 +20,11 @@ def parse_float(text: Column) -> Column:
     return F.when(text.rlike(FLOAT), F.regexp_replace(F.trim(text), r"(?i)^([+-]?)inf(inity)?$", "$1Infinity").try_cast("double"))
 
 
+def first_index(values: Column, value: Column) -> Column:
+    """The place of the first equal value, from 0; null if there is none."""
+    return (F.nullif(F.array_position(values, value), F.lit(0)) - 1).cast("int")
+
+
 def is_percentage(value: Column) -> Column:
     return value.between(0.0, 1.0)
 

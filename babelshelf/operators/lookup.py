@@ -17,6 +17,13 @@ def enriched(rows: DataFrame, provider: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(provider, keys, "left")
 
 
+def seasons(requests: DataFrame, provider: DataFrame) -> DataFrame:
+    """``requests`` (series_id, season) with ``season_number``: the provider's own, the requested one if it has none or 0."""
+    known = provider.select("series_id", "season", "season_number")
+    found = requests.join(known, ["series_id", "season"], "left")
+    return found.withColumn("season_number", F.coalesce(F.nullif("season_number", F.lit(0)), "season"))
+
+
 def status(found: str = "found", skipped: str = "skipped"):
     """missing, skipped or ok."""
     return F.when(~F.coalesce(F.col(found), F.lit(False)), "missing").when(F.col(skipped), "skipped").otherwise("ok")

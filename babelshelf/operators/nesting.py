@@ -17,15 +17,15 @@ def levels(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(F.explode(prefixes).alias("x")).select("x.*").distinct()
 
 
-def classify(entries: DataFrame, specials: list[str], trailers: list[str]) -> DataFrame:
-    """(path, entity, problem) for entries of (path, kind).
+def classify(entries: DataFrame, specials: list[str], trailers: list[str], parser: names.Parser = names.Parser()) -> DataFrame:  # noqa: B008
+    """(path, entity, problem) for entries of (path, kind), with names as ``parser`` reads them.
 
     ``entity`` is collection, series, season or episode, null if the entry is a trailer, which is dropped, or has a
     problem: an unexpected kind at its depth, a name that can't be parsed or too deep a nesting.
     """
     parts = F.split("path", "/")
     depth, name, folder = F.size(parts), F.element_at(parts, -1), F.col("kind") == "folder"
-    in_collection = names.series(parts[0]).isNull()
+    in_collection = parser.series(parts[0]).isNull()
     role: Column = (
         F.when(depth == 4, "episode").when(depth == 3, F.when(in_collection, "season").otherwise("episode"))
         .when(depth == 2, F.when(in_collection, "series").otherwise("season")).when(depth == 1, F.when(in_collection & folder, "collection").otherwise("series"))
@@ -35,9 +35,18 @@ def classify(entries: DataFrame, specials: list[str], trailers: list[str]) -> Da
     misplaced = (F.col("kind") == "file") != wants_file
     trailer = misplaced & (F.col("role") == "season") & names.is_trailer(F.col("name"), trailers)
     parsed = (
-        F.when(F.col("role") == "episode", names.episode(F.col("name")).isNotNull() & (names.episode(F.col("name"))["episode"] >= 1))
-        .when(F.col("role") == "season", names.season(F.col("name"), specials).isNotNull())
-        .when(F.col("role") == "series", names.series(F.col("name")).isNotNull()).otherwise(F.lit(True))
+        F.when(F.col("role") == "episode", parser.episode(F.col("name")).isNotNull() & (parser.episode(F.col("name"))["episode"] >= 1))
+        .when(F.col("role") == "season", parser.season(F.col("name"), specials).isNotNull())
+        .when(F.col("role") == "series", parser.series(F.col("name")).isNotNull()).otherwise(F.lit(True))
     )
     problem = F.when(F.col("role").isNull(), "too_deep").when(trailer, "trailer").when(misplaced, "unexpected_kind").when(~F.coalesce(parsed, F.lit(False)), "unparsable_name")
     return rows.withColumn("problem", problem).select("path", F.when(F.col("problem").isNull(), F.col("role")).alias("entity"), "problem")
+
+
+def admitted(classified: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, entity) of the entries without a problem; with ``strict``, one with a problem is an error. Trailers always go."""
+    rows = classified.where(~F.coalesce(F.col("problem") == "trailer", F.lit(False)))
+    if not strict:
+        return rows.where("problem IS NULL").select("path", "entity")
+    told = F.concat(F.lit("can't parse "), F.col("path"), F.lit(": "), F.col("problem"))
+    return rows.select("path", F.when(F.col("problem").isNull(), F.col("entity")).otherwise(F.raise_error(told).cast("string")).alias("entity"))

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 
 def within_quota(rows: DataFrame, kind: str, order: list[str], start: int, amount: int, eligible: Column, kinds: list[str] | None = None) -> DataFrame:
-    """Adds ``position`` among the eligible rows of a kind (null for others) and ``scan``.
+    """The rows to scan, with their ``position`` among the eligible rows of their kind.
 
-    A quota of ``start + amount`` rows needs no more than these in order. They are found with a group limit before
-    the shuffle, so that no task sorts all rows of a kind.
+    These are the positions ``start`` to ``start + amount - 1``. The first rows of each kind are found by a group limit
+    before the shuffle, so that no task sorts all rows of a kind. A null kind is a kind of its own unless ``kinds`` are
+    given; null orders come first, and rows that tie are ordered by a hash of all their columns.
     """
     allowed = eligible & (F.col(kind).isin(*kinds) if kinds is not None else F.lit(True))
-    w = Window.partitionBy(kind).orderBy(*order)
-    first = rows.where(allowed).select(kind, *order, F.row_number().over(w).alias("__k")).where(F.col("__k") <= start + amount)
-    keys = [kind, *order]
-    numbered = rows.join(first, keys, "left").withColumn("position", F.when(allowed, F.col("__k") - 1).cast("int"))
-    return numbered.withColumn("scan", F.coalesce(F.col("position").between(start, start + amount - 1), F.lit(False))).drop("__k")
+    w = Window.partitionBy(kind).orderBy(*order, F.xxhash64(*rows.columns))
+    first = rows.where(allowed).withColumn("position", F.row_number().over(w)).where(F.col("position") <= start + amount)
+    return first.withColumn("position", F.col("position") - 1).where(F.col("position") >= start)

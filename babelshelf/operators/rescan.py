@@ -31,6 +31,12 @@ def merged(saved: DataFrame, walked: DataFrame) -> DataFrame:
     return walked.join(marked, "path", "left").withColumn("origin", F.when(F.col("known"), "kept").otherwise("new")).drop("known")
 
 
+def refreshed(saved: DataFrame, checksums: DataFrame) -> DataFrame:
+    """``saved`` with the checksums of ``checksums`` (path, checksum) where it has one."""
+    new = checksums.select("path", F.col("checksum").alias("__new"))
+    return saved.join(new, "path", "left").withColumn("checksum", F.coalesce("__new", "checksum")).drop("__new")
+
+
 def plan(found: DataFrame) -> DataFrame:
     """Adds the tasks of a rescan from (outdated, language_default, metadata_missing): checksum, language, metadata."""
     changed = F.col("outdated")

@@ -47,3 +47,22 @@ def detailed_outcomes(results: DataFrame) -> DataFrame:
     """(success, key, n): successes by language, failures by reason."""
     key = F.when(F.col("ok"), F.col("language")).otherwise(F.col("reason"))
     return results.groupBy(F.col("ok").alias("success"), key.alias("key")).agg(F.count("*").alias("n"))
+
+
+def log_lines(languages: DataFrame, metadata: DataFrame, outcomes_: DataFrame) -> DataFrame:
+    """(place, line): what a run reports of the counts (language, n), (kind, ok, missing, skipped) and (success, key, n).
+
+    One entry for each language, kind and outcome, in alphabetical order; a few each, as they are counts already.
+    """
+
+    def line(rows: DataFrame, place: int, title: str, *entry) -> DataFrame:
+        found = F.array_join(F.sort_array(F.collect_list(F.concat(*entry))), ", ")
+        return rows.agg(F.lit(place).alias("place"), F.concat(F.lit(title), found).alias("line"))
+
+    parts = [part for s in STATUSES for part in (F.lit(f" {s}="), F.col(s).cast("string"))]
+    success = F.when(F.col("success"), "ok ").otherwise("failed ")
+    return (
+        line(languages, 0, "languages: ", F.col("language"), F.lit("="), F.col("n").cast("string"))
+        .unionAll(line(metadata, 1, "metadata: ", F.col("kind"), *parts))
+        .unionAll(line(outcomes_, 2, "scans: ", success, F.col("key"), F.lit("="), F.col("n").cast("string")))
+    )

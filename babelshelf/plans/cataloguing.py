@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from babelshelf.catalog import query
-from babelshelf.functions import names
+from babelshelf.functions import names, numeric
 from babelshelf.operators import nesting, options
 from babelshelf.plans.lenses import table
 from babelshelf.sources import probe
@@ -85,7 +85,7 @@ def path_parts(spark, sf_dir):
 @query("safe_index", "SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS position FROM documents")
 def safe_index(spark, sf_dir):
     known = F.array(F.lit("en"), F.lit("de"), F.lit("fr"))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.nullif(F.array_position(known, F.col("lang")), F.lit(0)) - 1).cast("int").alias("position"))
+    return table(spark, sf_dir, "documents").select("doc_id", numeric.first_index(known, F.col("lang")).alias("position"))
 
 
 @query("language_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN split_part(o_orderpriority, '-', 1) END AS short, CASE WHEN o_orderkey % 9 > 0 THEN split_part(o_orderpriority, '-', 2) END AS long FROM orders")
@@ -101,10 +101,11 @@ def language_default(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", names.is_default(short, long).alias("is_default"))
 
 
-@query("describe_text", "SELECT c_custkey, printf('%s (%d)', c_name, CAST(1900 + c_nationkey AS INTEGER)) AS series, printf('<Season: %02d>', c_nationkey) AS season, c_mktsegment || ': ' || c_name AS language FROM customer")
+@query("describe_text", "SELECT c_custkey, '<Series name: ' || c_name || ' year: ' || (1900 + c_nationkey) || '>' AS series, '<Season season: ' || c_nationkey || '>' AS season, '<Episode season: ' || c_nationkey || ' episode: ' || c_custkey || ' name: ' || c_mktsegment || '>' AS episode FROM customer")
 def describe_text(spark, sf_dir):
     n = F.col("c_nationkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.format_string("%s (%d)", "c_name", 1900 + n).alias("series"), F.format_string("<Season: %02d>", n).alias("season"), F.concat("c_mktsegment", F.lit(": "), "c_name").alias("language"))
+    texts = names.series_text(F.col("c_name"), 1900 + n), names.season_text(n), names.episode_text(n, F.col("c_custkey"), F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *(x.alias(k) for x, k in zip(texts, ("series", "season", "episode"), strict=True)))
 
 
 _PROBES = """probes AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"streams":[{"codec_type":"video","codec_name":"h264","duration":"10.5"},{"codec_type":"audio","codec_name":"aac","duration":"10.5"}],"format":{"duration":"11.0"}}'
@@ -130,11 +131,21 @@ def probe_status(spark, sf_dir):
     return probe.status(_probes(spark, sf_dir).select("event_id", probe.parsed(F.col("raw")).alias("probe"))).select("event_id", "status", "runtime", "error")
 
 
-@query("file_list_expand")
+@query("file_list_expand", "SELECT DISTINCT 'o' || o_orderkey || '.mp4' AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2 OR o_orderkey % 50 = 0")
 def file_list_expand(spark, sf_dir):
-    """Lists name files, folders and other lists."""
-    entries = spark.sql("SELECT * FROM VALUES ('a.txt', 'one.mp4'), ('a.txt', 'b.txt'), ('b.txt', 'two.mp4'), ('b.txt', 'dir'), ('dir', 'dir/three.mp4'), ('b.txt', 'a.txt') AS t(parent, child)")
-    return options.expanded(entries, "a.txt")
+    """Lists name lists, folders and files: regions their nations, nations their customers' folders, and also each other."""
+    nation, customer, orders = (table(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
+    of = lambda letter, key, end="": F.concat(F.lit(letter), key, F.lit(end))
+    file, folder = of("o", "o_orderkey", ".mp4"), of("c", "c_custkey")
+    region_list, nation_list = of("r", "n_regionkey", ".txt"), of("n", "n_nationkey", ".txt")
+    entries = [
+        nation.select(region_list, nation_list), nation.select(nation_list, region_list), customer.select(of("n", "c_nationkey", ".txt"), folder), orders.select(of("c", "o_custkey"), file),
+        orders.where("o_orderkey % 50 = 0").select(F.lit("more.txt"), file),
+    ]
+    rows = entries[0].toDF("parent", "child")
+    for more in entries[1:]:
+        rows = rows.unionAll(more)
+    return options.expanded(rows, spark.sql("SELECT * FROM VALUES ('r0.txt'), ('r1.txt'), ('more.txt') AS t(path)"))
 
 
 @query("enum_lookup", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 50 WHEN 1 THEN 40 WHEN 2 THEN 0 WHEN 3 THEN 30 END AS level FROM part")
@@ -143,14 +154,25 @@ def enum_lookup(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", options.enum_value(given, options.LOG_LEVELS, options.LOG_ALIASES).alias("level"))
 
 
-@query("alias_resolve", "SELECT * FROM (VALUES ('a', 'normal', NULL), ('b', 'normal', NULL), ('fast', 'fast', NULL), ('loop', NULL, 'cycle'), ('pool', NULL, 'cycle'), ('gone', NULL, 'unknown')) AS t(alias, target, error)")
+@query("alias_resolve", """WITH RECURSIVE walk AS (SELECT p_partkey AS name, p_partkey AS k, 0 AS hops FROM part UNION ALL SELECT name, k // 3, hops + 1 FROM walk WHERE k >= 10 AND k % 101 <> 0 AND k % 97 <> 0), ends AS (SELECT name, arg_max(k, hops) AS k FROM walk GROUP BY name)
+SELECT 'n' || name AS name, CASE WHEN k < 10 THEN 'n' || k END AS target, CASE WHEN k < 10 THEN NULL WHEN k % 101 = 0 THEN 'unknown' ELSE 'cycle' END AS error FROM ends""")
 def alias_resolve(spark, sf_dir):
-    aliases = {"a": "b", "b": "normal", "loop": "pool", "pool": "loop", "gone": "nowhere"}
-    names_ = ["a", "b", "fast", "loop", "pool", "gone"]
-    return spark.createDataFrame([(n, *options.resolve_alias(n, aliases, {"normal", "fast"})) for n in names_], "alias string, target string, error string")
+    """A name stands for that of a third of its number, those of 97 for themselves, those of 101 for none; nine are known."""
+    key = F.col("p_partkey")
+    named = lambda number: F.concat(F.lit("n"), number)
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    aliases = part.where("p_partkey >= 10 AND p_partkey % 101 != 0").select(named(key).alias("alias"), named(F.when(key % 97 == 0, key).otherwise(F.floor(key / 3))).alias("target"))
+    return options.resolved(part.select(named(key).alias("name")), aliases, part.where("p_partkey < 10").select(named(key).alias("name")))
 
 
-@query("config_coalesce", "SELECT * FROM (VALUES ('minimum', '0.4'), ('maximum', '0.5'), ('normal', '0.9'), ('final', '0.75'), ('picker', 'none')) AS t(key, value)")
+@query("config_coalesce", """WITH d AS (SELECT c_custkey AS owner, unnest(['nation', 'segment', 'balance']) AS key, unnest([CAST(c_nationkey AS VARCHAR), c_mktsegment, NULL]) AS value FROM customer),
+t AS (SELECT o_custkey AS owner, 'segment' AS key, max(CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END) AS value FROM orders GROUP BY o_custkey UNION ALL SELECT DISTINCT o_custkey, 'seen', 'yes' FROM orders)
+SELECT coalesce(d.owner, t.owner) AS owner, coalesce(d.key, t.key) AS key, coalesce(t.value, d.value) AS value FROM d FULL JOIN t ON d.owner = t.owner AND d.key = t.key""")
 def config_coalesce(spark, sf_dir):
-    merged = options.merged({"minimum": "0.4", "maximum": None, "normal": "0.95", "final": "0.75", "picker": "none"}, {"maximum": "0.5", "normal": "0.9", "final": None})
-    return spark.createDataFrame(list(merged.items()), "key string, value string")
+    """Each customer's defaults under what the orders set."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("nation", F.col("c_nationkey").cast("string")), ("segment", F.col("c_mktsegment")), ("balance", F.lit(None).cast("string")))))
+    defaults = customer.select(F.col("c_custkey").alias("owner"), F.explode(pairs).alias("x")).select("owner", "x.key", "x.value")
+    owner = F.col("o_custkey").alias("owner")
+    segment = orders.groupBy(owner).agg(F.max(F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority"))).alias("value")).select("owner", F.lit("segment").alias("key"), "value")
+    return options.layered(defaults, segment, orders.select(owner, F.lit("seen").alias("key"), F.lit("yes").alias("value")))

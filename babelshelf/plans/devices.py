@@ -29,6 +29,18 @@ def device_vendor(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), names.vendor(line).alias("vendor"))
 
 
+@query("device_listing", """WITH l AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'VGA compatible controller [0300]: Intel ' WHEN 1 THEN '3D controller [0302]: NVIDIA Corporation ' WHEN 2 THEN 'VGA compatible controller [0300]: AMD/ATI APU ' WHEN 3 THEN 'Audio device [0403]: NVIDIA Corporation ' WHEN 4 THEN 'VGA compatible controller [0300]: other ' ELSE '3D controller [0302]: ATI ' END || p_name AS rest FROM part)
+SELECT printf('%02x:%02x.0', k // 32, k % 32) AS unique_id, rest AS name, CASE WHEN contains(rest, 'NVIDIA') THEN 'nvidia' WHEN contains(rest, 'AMD') OR contains(rest, 'ATI') THEN 'amd' ELSE 'intel' END AS vendor, CASE WHEN contains(rest, 'APU') THEN 'integrated' ELSE 'dedicated' END AS type, 'lspci' AS origin
+FROM l WHERE (contains(rest, 'VGA compatible controller') OR contains(rest, '3D controller')) AND (contains(rest, 'NVIDIA') OR contains(rest, 'AMD') OR contains(rest, 'ATI') OR contains(rest, 'Intel'))""")
+def device_listing(spark, sf_dir):
+    """The lines of a PCI listing, one a part."""
+    key = F.col("p_partkey")
+    kinds = ("VGA compatible controller [0300]: Intel ", "3D controller [0302]: NVIDIA Corporation ", "VGA compatible controller [0300]: AMD/ATI APU ", "Audio device [0403]: NVIDIA Corporation ", "VGA compatible controller [0300]: other ", "3D controller [0302]: ATI ")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (key % len(kinds) + 1).cast("int"))
+    lines = table(spark, sf_dir, "part").select(F.concat(F.format_string("%02x:%02x.0 ", F.floor(key / 32), key % 32), kind, "p_name").alias("value"))
+    return devices.listed(lines)
+
+
 @query("device_union", f"WITH {_DEVICES} SELECT vendor, count(*) AS n, count(memory_amount) AS with_memory FROM devices GROUP BY vendor")
 def device_union(spark, sf_dir):
     rows = _devices(spark, sf_dir)

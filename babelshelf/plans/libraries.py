@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from babelshelf.catalog import query
-from babelshelf.operators import lookup, nesting, quota, rescan, summary
+from babelshelf.operators import lookup, nesting, ordering, quota, rescan, retries, summary
 from babelshelf.plans import lenses
 from babelshelf.plans.lenses import FILES, HIERARCHY, SNAPSHOTS, table
 
@@ -92,9 +91,8 @@ def rejects(spark, sf_dir):
 
 @query("scan_order", f"WITH {FILES} SELECT path, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id || '.' || lang) - 1 AS INTEGER) AS position FROM files")
 def scan_order(spark, sf_dir):
-    parts = F.split("path", "/")
-    folder = Window.partitionBy(parts[0]).orderBy(parts)  # by components, as paths are ordered
-    return lenses.files(spark, sf_dir).select("path", (F.row_number().over(folder) - 1).alias("position"))
+    rows = lenses.files(spark, sf_dir).select("path", "source", F.split("path", "/").alias("parts"))  # paths are ordered by their parts
+    return ordering.numbered(rows, ["source"], ["parts"]).select("path", F.col("position").cast("int").alias("position"))
 
 
 @query("rescan_matched", f"WITH {SNAPSHOTS} SELECT w.path, w.mtime, s.mtime AS old_mtime, s.path IS NOT NULL AS known FROM walked w LEFT JOIN snapshot s ON w.path = s.path")
@@ -134,11 +132,11 @@ def rescan_plan(spark, sf_dir):
 
 
 @query("quota_scan", """WITH e AS (SELECT conv_id, turn, role, length(text) % 2 = 0 AS eligible FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS position FROM e WHERE eligible AND role IN ('user', 'assistant'))
-SELECT role, conv_id, turn FROM n WHERE position BETWEEN 10 AND 109""")
+SELECT role, conv_id, turn, CAST(position AS INTEGER) AS position FROM n WHERE position BETWEEN 10 AND 109""")
 def quota_scan(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     found = quota.within_quota(rows, "role", ["conv_id", "turn"], 10, 100, F.length("text") % 2 == 0, ["user", "assistant"])
-    return found.where("scan").select("role", "conv_id", "turn")
+    return found.select("role", "conv_id", "turn", "position")
 
 
 _PROVIDED = "provided AS (SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.toxic = 1 THEN 'skipped' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
@@ -169,12 +167,11 @@ def metadata_series(spark, sf_dir):
     return lookup.enriched(table(spark, sf_dir, "documents").select("doc_id", "source"), _series(spark, sf_dir), ["source"]).select("doc_id", "series_id", "name", "votes")
 
 
-@query("metadata_season", """WITH p AS (SELECT l_orderkey AS series_id, l_linenumber AS season, nullif(l_linenumber % 3, 0) AS stored FROM lineitem)
-SELECT o_orderkey AS series_id, season, coalesce(stored, season) AS season_number FROM orders JOIN p ON o_orderkey = series_id""")
+@query("metadata_season", """SELECT l_orderkey AS series_id, l_linenumber AS season, CASE WHEN l_orderkey % 5 = 0 OR l_linenumber % 3 = 0 THEN l_linenumber ELSE l_linenumber % 3 END AS season_number FROM lineitem""")
 def metadata_season(spark, sf_dir):
-    seasons = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series_id"), F.col("l_linenumber").alias("season"), F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("stored"))
-    series = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("series_id"))
-    return series.join(seasons, "series_id").select("series_id", "season", F.coalesce("stored", "season").alias("season_number"))
+    requests = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series_id"), F.col("l_linenumber").alias("season"))
+    provider = requests.where("series_id % 5 != 0").distinct().withColumn("season_number", F.col("season") % 3)
+    return lookup.seasons(requests, provider).select("series_id", "season", "season_number")
 
 
 @query("metadata_episode", """SELECT l_orderkey AS series_id, l_linenumber AS episode, s_name AS name, s_acctbal AS vote FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND l_linenumber = s_suppkey % 7 + 1""")
@@ -204,7 +201,7 @@ def metadata_dispatch(spark, sf_dir):
     return lookup.dispatched(tagged).select("event_id", "kind", "number", "error")
 
 
-@query("json_roundtrip")
+@query("json_roundtrip", _WITH + "SELECT collection, series, season, episode, language, CASE status WHEN 'ok' THEN 'ok' ELSE 'missing' END AS status FROM hierarchy")
 def json_roundtrip(spark, sf_dir):
     """The hierarchy as JSON documents, written and read again."""
     from babelshelf.sources import snapshot
@@ -213,11 +210,20 @@ def json_roundtrip(spark, sf_dir):
     return snapshot.flatten(snapshot.roundtrip(snapshot.nest(episodes)))
 
 
-@query("retry_sim", "SELECT conv_id, turn, CAST(least(length(text) % 13, 10) AS INTEGER) AS retries, CASE WHEN length(text) % 13 > 10 THEN 'failed' WHEN length(text) % 13 >= 5 THEN 'cpu' ELSE 'gpu' END AS outcome, round(pow(0.925, least(length(text) % 13, 10)), 6) AS scale FROM conversations")
-def retry_sim(spark, sf_dir):
-    from babelshelf.functions import numeric
+@query("retry_log", """WITH a AS (SELECT user_id, event_id, value <= 60 AS ok FROM events), r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
+c AS (SELECT *, CAST(count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, run ORDER BY event_id) AS INTEGER) AS retries FROM r)
+SELECT user_id, event_id, retries, CASE WHEN retries >= 5 THEN 'cpu' ELSE 'gpu' END AS device, round(pow(0.925, least(retries, 10)), 6) AS scale, bool_or(retries > 10) OVER (PARTITION BY user_id ORDER BY event_id) AS failed FROM c""")
+def retry_log(spark, sf_dir):
+    """Each event as an attempt of its user's file, which ran out of memory if its value is high."""
+    attempts = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") <= 60).alias("ok"))
+    return retries.tracked(attempts, "user_id", "event_id", "ok").select("user_id", "event_id", "retries", "device", F.round("scale", 6).alias("scale"), "failed")
 
-    need = F.length("text") % 13  # failures until a try would succeed
-    tries = F.least(need, F.lit(10))
-    outcome = F.when(need > 10, "failed").when(need >= 5, "cpu").otherwise("gpu")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tries.alias("retries"), outcome.alias("outcome"), F.round(numeric.shrunk(F.lit(1.0), tries), 6).alias("scale"))
+
+@query("summary_lines", f"""WITH {HIERARCHY}, e AS (SELECT *, CASE status WHEN 'missing' THEN 2 WHEN 'skipped' THEN 1 ELSE 0 END AS r FROM hierarchy), s AS (SELECT collection, series, season, max(r) AS r FROM e GROUP BY ALL), t AS (SELECT collection, series, max(r) AS r FROM s GROUP BY ALL),
+k AS (SELECT 'episode' AS kind, r FROM e UNION ALL SELECT 'season', r FROM s UNION ALL SELECT 'series', r FROM t), m AS (SELECT kind || ' ok=' || count(*) FILTER (r = 0) || ' missing=' || count(*) FILTER (r = 2) || ' skipped=' || count(*) FILTER (r = 1) AS x FROM k GROUP BY kind),
+l AS (SELECT language || '=' || count(*) AS x FROM hierarchy GROUP BY language), o AS (SELECT CASE status WHEN 'ok' THEN 'ok ' || language ELSE 'failed ' || status END || '=' || count(*) AS x FROM hierarchy GROUP BY CASE status WHEN 'ok' THEN 'ok ' || language ELSE 'failed ' || status END)
+SELECT 0 AS place, 'languages: ' || (SELECT string_agg(x, ', ' ORDER BY x) FROM l) AS line UNION ALL SELECT 1, 'metadata: ' || (SELECT string_agg(x, ', ' ORDER BY x) FROM m) UNION ALL SELECT 2, 'scans: ' || (SELECT string_agg(x, ', ' ORDER BY x) FROM o)""")
+def summary_lines(spark, sf_dir):
+    episodes = lenses.hierarchy(spark, sf_dir)
+    found = summary.detailed_outcomes(episodes.withColumns({"ok": F.col("status") == "ok", "reason": F.col("status")}))
+    return summary.log_lines(summary.by_language(episodes), summary.metadata_counts(summary.entities(episodes)), found)

@@ -1,18 +1,95 @@
-"""Recursive listings of a library folder on any file system Spark reads."""
+"""Listings of library folders and file lists, and checksums, on any store that Spark or pyarrow reads."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from pathlib import PurePosixPath
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from babelshelf.storage import cut
+
+#: Bytes hashed at once.
+BLOCK = 1 << 20
+
 
 def files(spark: SparkSession, root: str, checksums: bool = False) -> DataFrame:
     """(path, kind, mtime, length[, checksum]) of all files below ``root``, paths relative to it.
 
-    Without checksums no file is opened. With them, files must be below 2 GB, the limit of a binary column.
+    Without checksums no file is opened. With them, files must be below 2 GB, the limit of a binary column; ``hashed``
+    has no limit.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     relative = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/", "")
     columns = [relative.alias("path"), F.lit("file").alias("kind"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length"]
     return listed.select(*columns, *([F.sha2("content", 256).alias("checksum")] if checksums else []))
+
+
+def _store(path: str):
+    """The file system of a URI or an absolute path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def hashed(rows: DataFrame, path: str = "path", block: int = BLOCK) -> DataFrame:
+    """(path, checksum, error) of files of any size, read block by block in the tasks; folders and missing files are errors."""
+
+    def one(name: str) -> tuple[str | None, str | None]:
+        store, inner = _store(name)
+        if (kind := store.get_file_info(inner).type.name) != "File":
+            return None, "a folder has no checksum" if kind == "Directory" else "no such file"
+        total = hashlib.sha256()
+        with store.open_input_stream(inner) as source:
+            while part := source.read(block):
+                total.update(part)
+        return total.hexdigest(), None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [one(x) for x in part["path"]]
+            yield pd.DataFrame({"path": part["path"], "checksum": [c for c, _ in found], "error": [e for _, e in found]})
+
+    return rows.select(F.col(path).alias("path")).where("path IS NOT NULL").mapInPandas(run, "path string, checksum string, error string")
+
+
+def file_list(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path): the files that ``paths`` lead to, each once, in whatever order.
+
+    A ``.txt`` file lists paths, one a line, absolute or from the list's own folder; a folder stands for all in it;
+    what does not exist is left out. Lists may name lists to any depth, and also each other. Each round looks at the
+    paths that are new, in the tasks, and writes what they lead to.
+    """
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            rows = []
+            for name in part["path"]:
+                store, inner = _store(name)
+                kind = store.get_file_info(inner).type
+                base = name.rsplit("/", 1)[0]
+                if kind == fs.FileType.Directory:
+                    rows += [(f"{name.rstrip('/')}/{x.base_name}", False) for x in store.get_file_info(fs.FileSelector(inner))]
+                elif kind == fs.FileType.File and PurePosixPath(inner).suffix == ".txt":
+                    with store.open_input_stream(inner) as source:
+                        lines = source.read().decode().split("\n")
+                    rows += [(x if x.startswith("/") or "://" in x else f"{base}/{x}", False) for x in (line.rstrip("\r") for line in lines) if x]
+                elif kind == fs.FileType.File:
+                    rows.append((name, True))
+            yield pd.DataFrame(rows, columns=["path", "is_file"])
+
+    new, seen, found = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string"), None, None
+    while True:
+        reached = cut(new.mapInPandas(look, "path string, is_file boolean"), "file-lists")
+        seen = new if seen is None else seen.unionAll(new)
+        here = reached.where("is_file").select("path")
+        found = here if found is None else found.unionAll(here)
+        new = cut(reached.where("NOT is_file").select("path").distinct().join(seen, "path", "left_anti"), "file-lists")
+        if new.isEmpty():
+            return found.distinct()

@@ -1,47 +1,57 @@
-"""Snapshots of a library as nested JSON documents, one per collection."""
+"""Snapshots of a library as JSON documents, one for each season, so that none grows with the library."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "collection string, series array<struct<name:string,seasons:array<struct<season:bigint,episodes:array<struct<episode:bigint,language:string,status:string>>>>>>"
+from babelshelf.storage import shared_path
+
+METADATA = "struct<provider:string,data:struct<metadata_type:string,episode_number:bigint>>"
+SCHEMA = f"collection string, series string, season bigint, episodes array<struct<episode:bigint,language:string,metadata:{METADATA}>>"
+PROVIDER = "tmdb"
+
+
+def metadata_of(status: Column, episode: Column) -> Column:
+    """The union {provider, data} of an episode's metadata; null for missing and for skipped metadata alike."""
+    data = F.struct(F.lit("episode").alias("metadata_type"), episode.cast("bigint").alias("episode_number"))
+    return F.when(status == "ok", F.struct(F.lit(PROVIDER).alias("provider"), data.alias("data")))
 
 
 def nest(episodes: DataFrame) -> DataFrame:
-    """One row per collection: its series, their seasons and episodes, each in order."""
-    seasons = episodes.groupBy("collection", "series", "season").agg(F.sort_array(F.collect_list(F.struct("episode", "language", "status"))).alias("episodes"))
-    series = seasons.groupBy("collection", "series").agg(F.sort_array(F.collect_list(F.struct("season", "episodes"))).alias("seasons"))
-    return series.groupBy("collection").agg(F.sort_array(F.collect_list(F.struct(F.col("series").alias("name"), "seasons"))).alias("series"))
+    """One row for each season of (collection, series, season, episode, language, status): its episodes, in order."""
+    entry = F.struct(F.col("episode").cast("bigint").alias("episode"), "language", metadata_of(F.col("status"), F.col("episode")).alias("metadata"))
+    return episodes.groupBy("collection", "series", F.col("season").cast("bigint").alias("season")).agg(F.sort_array(F.collect_list(entry)).alias("episodes"))
 
 
 def flatten(nested: DataFrame) -> DataFrame:
-    series = nested.select("collection", F.explode("series").alias("s")).select("collection", F.col("s.name").alias("series"), F.explode("s.seasons").alias("x"))
-    return series.select("collection", "series", F.col("x.season").alias("season"), F.explode("x.episodes").alias("e")).select("collection", "series", "season", "e.episode", "e.language", "e.status")
+    """The episodes again; metadata that was skipped comes back as missing."""
+    rows = nested.select("collection", "series", "season", F.explode("episodes").alias("e"))
+    return rows.select("collection", "series", "season", "e.episode", "e.language", F.when(F.col("e.metadata").isNull(), "missing").otherwise("ok").alias("status"))
+
+
+def _checked(path: str) -> str:
+    suffix = PurePosixPath(path.rstrip("/")).suffix
+    if suffix not in ("", ".json"):
+        raise ValueError(f"a snapshot is a JSON file or folder, not {suffix!r}: {path}")
+    return suffix
 
 
 def write(nested: DataFrame, path: str) -> None:
+    """A folder of files with one document a line; the folder must not be the one that ``nested`` reads."""
+    _checked(path)
     nested.write.mode("overwrite").json(path)
 
 
 def read(spark, path: str) -> DataFrame:
-    """One document per line, or documents over several lines as an array."""
-    if not path.endswith((".json", "/")) and "." in path.rsplit("/", 1)[-1]:
-        raise ValueError(f"a snapshot is a JSON file or folder: {path}")
-    return spark.read.schema(SCHEMA).option("multiLine", path.endswith(".json")).json(path)
+    """Documents of a folder, one a line, or of a ``.json`` file, which may also hold an array over several lines."""
+    return spark.read.schema(SCHEMA).option("multiLine", _checked(path) == ".json").json(path)
 
 
 def roundtrip(nested: DataFrame) -> DataFrame:
-    spark = nested.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = tempfile.mkdtemp(prefix="babelshelf-snapshot-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = f"file://{own}"
-    path = f"{base.rstrip('/')}/snapshot-{spark.sparkContext.applicationId}"
+    """Writes to a new path of the shared folder and reads it."""
+    path = shared_path(nested.sparkSession, "snapshot")
     write(nested, path)
-    return read(spark, path)
+    return read(nested.sparkSession, path)
