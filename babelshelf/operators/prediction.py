@@ -42,33 +42,43 @@ def segments(files: DataFrame, length: Column) -> DataFrame:
     return rows.select("file_id", "segment", start.alias("start_s"), end.alias("end_s"), F.try_divide(F.coalesce(end, F.col("runtime")).cast("double"), F.col("runtime").cast("double")).alias("scanned"))
 
 
-def prefix_best(predictions: DataFrame, n_segments: int, digits: int = 9) -> DataFrame:
-    """(file_id, segment, language, accuracy): the best label by truncated mean over segments 0 to each.
+def prefix_best(predictions: DataFrame, scan: DataFrame, digits: int = 9) -> DataFrame:
+    """(file_id, segment, scanned, language, accuracy, failed) for each row of ``scan`` (file_id, segment, scanned).
 
-    All windows are over one file's labels, so the work of a task is bounded by its files' segments.
+    Label and accuracy are the best by truncated mean over segments 0 to this one; predictions beyond a file's own last
+    segment are not its own. ``failed`` says that this segment has no prediction. Rows are shuffled once, by file, and
+    all windows are over one file's labels, so the work of a task is bounded by its files' segments.
     """
-    by_segment = predictions.groupBy("file_id", "language", "segment").agg(F.collect_list("p").alias("ps"), F.min("ord").alias("ord"))
+    scored = predictions.repartition("file_id")
+    by_segment = scored.groupBy("file_id", "language", "segment").agg(F.collect_list("p").alias("ps"), F.min("ord").alias("ord"))
     labels = by_segment.groupBy("file_id", "language").agg(
         F.min(F.struct("segment", "ord")).alias("first"), F.map_from_entries(F.collect_list(F.struct("segment", "ps"))).alias("by_segment")
     )
-    steps = labels.select("file_id", "language", "first", F.explode(F.sequence(F.col("first.segment"), F.lit(n_segments - 1))).alias("segment"), F.col("by_segment")[F.col("segment")].alias("ps"))
+    steps = scan.select("file_id", "segment", "scanned").repartition("file_id").join(labels, "file_id", "left")
+    # A file without any prediction, and segments before the first one, have a row without a label.
+    begun = F.col("segment") >= F.col("first.segment")
+    steps = steps.select("file_id", "segment", "scanned", F.when(begun, F.col("language")).alias("language"), F.when(begun, F.col("first")).alias("first"), F.try_element_at("by_segment", "segment").alias("ps"))
     before = Window.partitionBy("file_id", "language").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)
     prefix = steps.withColumn("seen", F.sort_array(F.flatten(F.collect_list("ps").over(before))))
-    scored = prefix.withColumn("accuracy", F.round(means.truncated_of(F.col("seen")), digits))
-    order = Window.partitionBy("file_id", "segment").orderBy(F.desc("accuracy"), "first", "language")
-    return scored.withColumn("place", F.row_number().over(order)).where("place = 1").select("file_id", "segment", "language", "accuracy")
+    ranked_ = prefix.withColumn("accuracy", F.when(F.size("seen") > 0, F.round(means.truncated_of(F.col("seen")), digits)))
+    own = Window.partitionBy("file_id", "segment")
+    order = own.orderBy(F.desc_nulls_last("accuracy"), "first", "language")
+    rows = ranked_.withColumns({"place": F.row_number().over(order), "failed": ~F.bool_or(F.col("ps").isNotNull()).over(own)})
+    return rows.where("place = 1").select("file_id", "segment", "scanned", "language", "accuracy", "failed")
 
 
-def stopping_point(best: DataFrame, n_segments: int, t: Thresholds) -> DataFrame:
-    """(file_id, segment, scanned, language, accuracy) where scanning stops: the first segment that satisfies a rule, else the last."""
-    rows = best.withColumn("scanned", (F.col("segment") + 1) / F.lit(float(n_segments)))
+def stopping_point(best: DataFrame, t: Thresholds) -> DataFrame:
+    """(file_id, segment, scanned, language, accuracy) where scanning stops, from ``prefix_best``.
+
+    That is the first segment that satisfies a rule or has failed, else the last; after a failed segment there is no
+    language, whatever the others say.
+    """
     sure = (F.col("language") != t.default_language) & (F.col("accuracy") >= t.normal)
     enough = F.col("scanned") >= t.maximum if t.maximum is not None else F.lit(False)
-    stops = (F.col("scanned") >= t.minimum) & (enough | sure)
-    chosen = rows.groupBy("file_id").agg(
-        F.coalesce(F.min_by(F.struct("segment", "scanned", "language", "accuracy"), F.when(stops, F.col("segment"))), F.max_by(F.struct("segment", "scanned", "language", "accuracy"), "segment")).alias("x")
-    )
-    return chosen.select("file_id", F.col("x.segment").alias("segment"), F.col("x.scanned").alias("scanned"), F.col("x.language").alias("language"), F.col("x.accuracy").alias("accuracy"))
+    stops = F.col("failed") | (F.col("scanned") >= t.minimum) & (enough | F.coalesce(sure, F.lit(False)))
+    at = F.struct("segment", "scanned", "language", "accuracy", "failed")
+    chosen = best.groupBy("file_id").agg(F.coalesce(F.min_by(at, F.when(stops, F.col("segment"))), F.max_by(at, "segment")).alias("x"))
+    return chosen.select("file_id", "x.segment", "x.scanned", *(F.when(~F.col("x.failed"), F.col(f"x.{c}")).alias(c) for c in ("language", "accuracy")))
 
 
 def decided(stopped: DataFrame, t: Thresholds, picks: DataFrame | None = None) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAYS = 30
+#: Seconds of a segment, and the hours of events that stand for one, by file.
+LENGTH = 300
+HOURS = (16, 24, 48, 72)
 
-PREDICTIONS = "predictions AS (SELECT user_id AS file_id, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS segment, event_type AS language, value / 500 AS p, event_id AS ord FROM events)"
+PREDICTIONS = "predictions AS (SELECT user_id AS file_id, CAST(datediff('hour', TIMESTAMP '2024-01-01', ts) // CASE user_id % 4 WHEN 0 THEN 16 WHEN 1 THEN 24 WHEN 2 THEN 48 ELSE 72 END AS INTEGER) AS segment, event_type AS language, value / 500 AS p, event_id AS ord FROM events)"
+MEDIA = PREDICTIONS + ", media AS (SELECT file_id, (max(segment) + 1) * 300 - 1 - file_id % 299 AS runtime FROM predictions GROUP BY file_id)"
 HIERARCHY = """hierarchy AS (SELECT r_name AS collection, n_name AS series, c_custkey AS season, o_orderkey AS episode, o_orderpriority AS language,
   CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'missing' ELSE 'skipped' END AS status
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -25,13 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, segment, language, p, ord): a user is a file, a day a segment, an event type a language."""
-    events = table(spark, sf_dir, "events")
-    return events.select(
-        F.col("user_id").alias("file_id"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("segment"), F.col("event_type").alias("language"), (F.col("value") / 500).alias("p"), F.col("event_id").alias("ord")
+    """(file_id, segment, language, p, ord): a user is a file, some hours a segment, an event type a language."""
+    hours = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    each = F.element_at(F.array(*map(F.lit, HOURS)), (F.col("user_id") % len(HOURS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file_id"), F.floor(hours / each).cast("int").alias("segment"), F.col("event_type").alias("language"), (F.col("value") / 500).alias("p"), F.col("event_id").alias("ord")
     )
 
 
+def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, runtime): each file ends within its last segment; segments without events have failed."""
+    runtime = (F.max("segment") + 1) * LENGTH - 1 - F.col("file_id") % 299
+    return predictions(spark, sf_dir).groupBy("file_id").agg(runtime.alias("runtime"))
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(collection, series, season, episode, language, status), one row per order as an episode."""
     orders, customer, nation, region = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))

@@ -8,7 +8,8 @@ from babelshelf.catalog import query
 from babelshelf.functions import means
 from babelshelf.operators.prediction import Thresholds, decided, prefix_best, ranked, segments, stopping_point
 from babelshelf.plans import lenses
-from babelshelf.plans.lenses import DAYS, PREDICTIONS
+from babelshelf.plans.lenses import LENGTH, MEDIA, PREDICTIONS
+from babelshelf.sources import connectors
 
 RULES = Thresholds(normal=0.2, final=0.2, minimum=0.2, use_picker=False)
 _TRIMMED = "list_avg(list_sort(list(p))[CAST(count(*) // 5 AS INTEGER) + 1 : CAST(count(*) - count(*) // 5 AS INTEGER)])"
@@ -73,25 +74,48 @@ def segment_rows(spark, sf_dir):
     return segments(files, F.lit(300)).select("file_id", "segment", F.col("start_s").cast("long").alias("start_s"), F.col("end_s").cast("long").alias("end_s"), F.round("scanned", 6).alias("scanned"))
 
 
-_STOP_SQL = f"""WITH {PREDICTIONS}, grid AS (SELECT DISTINCT file_id, b.b AS segment FROM predictions, (SELECT CAST(unnest(range(0, {DAYS})) AS INTEGER) AS b) b),
+def _stop_sql(rule: str) -> str:
+    """The stopping point of each file by ``rule``, from the first fifth of its runtime on."""
+    return f"""WITH {MEDIA}, scan AS (SELECT file_id, runtime, CAST(unnest(range(0, CAST(runtime // {LENGTH} AS BIGINT) + 1)) AS INTEGER) AS segment FROM media),
+grid AS (SELECT file_id, segment, CAST(least((segment + 1) * {LENGTH}, runtime) AS DOUBLE) / runtime AS scanned, (file_id, segment) NOT IN (SELECT (file_id, segment) FROM predictions) AS failed FROM scan),
 prefix AS (SELECT g.file_id, g.segment, language, min(p.segment * 100000000::BIGINT + ord) AS seen, round({_TRIMMED}, 9) AS accuracy FROM grid g JOIN predictions p ON g.file_id = p.file_id AND p.segment <= g.segment GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, segment ORDER BY accuracy DESC, seen, language) AS place FROM prefix) WHERE place = 1),
-stopped AS (SELECT *, (segment + 1) / CAST({DAYS} AS DOUBLE) AS scanned FROM best),
-chosen AS (SELECT file_id, coalesce(min(CASE WHEN scanned >= 0.2 AND accuracy >= 0.2 THEN segment END), max(segment)) AS segment FROM stopped GROUP BY file_id),
-final AS (SELECT s.file_id, s.segment, s.scanned, s.language, s.accuracy FROM stopped s JOIN chosen c ON s.file_id = c.file_id AND s.segment = c.segment)
+stopped AS (SELECT g.file_id, g.segment, scanned, failed, language, accuracy FROM grid g LEFT JOIN best b ON g.file_id = b.file_id AND g.segment = b.segment),
+chosen AS (SELECT file_id, coalesce(min(CASE WHEN failed OR (scanned >= 0.2 AND ({rule})) THEN segment END), max(segment)) AS segment FROM stopped GROUP BY file_id),
+final AS (SELECT s.file_id, s.segment, s.scanned, CASE WHEN NOT failed THEN s.language END AS language, CASE WHEN NOT failed THEN s.accuracy END AS accuracy FROM stopped s JOIN chosen c ON s.file_id = c.file_id AND s.segment = c.segment)
 """
 
 
+_OUTCOMES = "SELECT file_id, segment, round(scanned, 6) AS scanned, language, round(accuracy, 6) AS accuracy, CASE WHEN language IS NULL THEN 'no_best_available' WHEN accuracy >= 0.2 THEN 'success' WHEN scanned >= 1 THEN 'final_threshold_failed' ELSE 'normal_threshold_failed' END AS outcome FROM final"
+
+
 def _stopped(spark, sf_dir, rules=RULES):
-    return stopping_point(prefix_best(lenses.predictions(spark, sf_dir), DAYS), DAYS, rules)
+    scan = segments(lenses.media(spark, sf_dir), F.lit(LENGTH))
+    return stopping_point(prefix_best(lenses.predictions(spark, sf_dir), scan), rules)
+
+
+def _rounded(rows):
+    return rows.withColumns({x: F.round(x, 6) for x in ("scanned", "accuracy")})
 
 
-@query("predict_early_stop", _STOP_SQL + "SELECT file_id, segment, round(scanned, 6) AS scanned, language, round(accuracy, 6) AS accuracy, CASE WHEN accuracy >= 0.2 THEN 'success' WHEN scanned >= 1 THEN 'final_threshold_failed' ELSE 'normal_threshold_failed' END AS outcome FROM final")
+@query("predict_early_stop", _stop_sql("accuracy >= 0.2") + _OUTCOMES)
 def predict_early_stop(spark, sf_dir):
-    return decided(_stopped(spark, sf_dir), RULES).withColumns({x: F.round(x, 6) for x in ("scanned", "accuracy")})
+    return _rounded(decided(_stopped(spark, sf_dir), RULES))
+
+
+@query("predict_file_loop", _stop_sql("accuracy >= 0.2") + _OUTCOMES)
+def predict_file_loop(spark, sf_dir):
+    """Segment by segment, as a model in the tasks would be asked; here it is the stored probabilities."""
+    scores = F.sort_array(F.collect_list(F.struct("segment", "ord", "language", "p"))).alias("scores")
+    files = lenses.media(spark, sf_dir).join(lenses.predictions(spark, sf_dir).groupBy("file_id").agg(scores), "file_id")
+
+    def read(file, segment, start, end):
+        return [(x["language"], x["p"]) for x in file["scores"] if x["segment"] == segment] or None
+
+    return _rounded(decided(connectors.classified(files, read, lambda device: lambda found: found, LENGTH, RULES), RULES))
 
 
-@query("predict_decision", _STOP_SQL.replace("scanned >= 0.2 AND accuracy >= 0.2", "scanned >= 0.2 AND (scanned >= 0.5 OR accuracy >= 0.3)") + """, d AS (SELECT *, CASE WHEN scanned >= 0.5 THEN CASE WHEN accuracy >= 0.18 THEN 'success' ELSE 'final_threshold_failed' END WHEN accuracy >= 0.3 THEN 'success' ELSE 'normal_threshold_failed' END AS outcome FROM final)
+@query("predict_decision", _stop_sql("scanned >= 0.5 OR accuracy >= 0.3") + """, d AS (SELECT *, CASE WHEN language IS NULL THEN 'no_best_available' WHEN scanned >= 0.5 THEN CASE WHEN accuracy >= 0.18 THEN 'success' ELSE 'final_threshold_failed' END WHEN accuracy >= 0.3 THEN 'success' ELSE 'normal_threshold_failed' END AS outcome FROM final)
 SELECT outcome, count(*) AS n, round(avg(accuracy), 6) AS accuracy FROM d GROUP BY outcome""")
 def predict_decision(spark, sf_dir):
     rules = Thresholds(normal=0.3, final=0.18, minimum=0.2, maximum=0.5, use_picker=False)
@@ -99,8 +123,8 @@ def predict_decision(spark, sf_dir):
     return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
 
 
-@query("picker_override", _STOP_SQL.replace("accuracy >= 0.2 THEN segment", "accuracy >= 0.9 THEN segment") + """SELECT file_id, CASE WHEN accuracy < 0.9 AND file_id % 3 = 0 THEN 'picked' ELSE language END AS language, CASE WHEN accuracy < 0.9 AND file_id % 3 = 0 THEN 1.0 ELSE round(accuracy, 6) END AS accuracy,
-CASE WHEN accuracy >= 0.9 OR file_id % 3 = 0 THEN 'success' ELSE 'pick_failed' END AS outcome FROM final""")
+@query("picker_override", _stop_sql("accuracy >= 0.9") + """SELECT file_id, CASE WHEN accuracy < 0.9 AND file_id % 3 = 0 THEN 'picked' ELSE language END AS language, CASE WHEN accuracy < 0.9 AND file_id % 3 = 0 THEN 1.0 ELSE round(accuracy, 6) END AS accuracy,
+CASE WHEN language IS NULL THEN 'no_best_available' WHEN accuracy >= 0.9 OR file_id % 3 = 0 THEN 'success' ELSE 'pick_failed' END AS outcome FROM final""")
 def picker_override(spark, sf_dir):
     rules = Thresholds(normal=0.9, final=0.9, minimum=0.2)
     picks = lenses.predictions(spark, sf_dir).select("file_id").distinct().where("file_id % 3 = 0").withColumn("picked", F.lit("picked"))

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from babelshelf.functions.means import TRIM
+from babelshelf.operators.prediction import Thresholds
+
+Scores = list[tuple[str, float]]
+
 
 def inferred(segments: DataFrame, load: Callable[[], Callable[[list[bytes]], list[list[float]]]], labels: list[str], batch: int = 16) -> DataFrame:
     """(file_id, segment, language, p, ord) of segments (file_id, segment, audio) by a model loaded in the worker.
 
-    A batch that runs out of memory is halved until single segments fail, which then have no rows.
+    A batch that runs out of memory is halved until single segments fail. These have no rows, by which
+    ``prediction.prefix_best`` knows that they failed, and with them their file.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,6 +40,77 @@ def inferred(segments: DataFrame, load: Callable[[], Callable[[list[bytes]], lis
     return segments.mapInPandas(run, "file_id long, segment int, language string, p double, ord long")
 
 
+class Tries:
+    """A model that is tried again when memory runs out: so many times in all, from some try on with another device.
+
+    A success starts the count anew. The count is one segment's: what fails too often fails its file and no other.
+    """
+
+    def __init__(self, load: Callable[[str], Callable[[object], Scores]], limit: int = 10, fall_back_at: int = 5):
+        self.load, self.limit, self.fall_back_at, self.device = load, limit, fall_back_at, "gpu"
+        self.model = load(self.device)
+
+    def __call__(self, audio: object) -> Scores | None:
+        for again in range(self.limit + 1):
+            if again == self.fall_back_at and self.device != "cpu":
+                self.device, self.model = "cpu", self.load("cpu")
+            try:
+                return self.model(audio)
+            except MemoryError:
+                continue
+        return None
+
+
+def best_of(seen: dict[str, list[float]], digits: int = 9) -> tuple[str, float] | None:
+    """The label with the highest truncated mean, the first one seen of equals."""
+    best = None
+    for label, ps in seen.items():
+        cut, ordered = len(ps) // TRIM, sorted(ps)
+        mean = round(sum(ordered[cut : len(ps) - cut]) / (len(ps) - 2 * cut), digits)
+        if best is None or mean > best[1]:
+            best = label, mean
+    return best
+
+
+def classified(files: DataFrame, read: Callable[[dict, int, float, float | None], object], load: Callable[[str], Callable[[object], Scores]], length: float, t: Thresholds, limit: int = 10, fall_back_at: int = 5) -> DataFrame:
+    """(file_id, segment, scanned, language, accuracy) where scanning stops, for files (file_id, runtime, ...).
+
+    Segments are read and scored one by one, only as far as the rules ask, so that what is never needed is never read.
+    ``read`` gives the sound of (file, segment, start, end), None if that fails; ``load`` a model for a device, which
+    gives (label, probability) pairs. The result is that of ``prediction.stopping_point`` over all segments scored.
+    """
+
+    def scan(file: dict, model: Tries) -> tuple:
+        runtime, seen, best = file["runtime"], {}, None
+        last = floor(runtime / length)
+        for segment in range(last + 1):
+            end = (segment + 1) * length
+            scanned = (end if end <= runtime else runtime) / runtime if runtime else None
+            sound = read(file, segment, segment * length, end if end <= runtime else None)
+            scores = model(sound) if sound is not None else None
+            if not scores:
+                return file["file_id"], segment, scanned, None, None
+            for label, p in scores:
+                seen.setdefault(label, []).append(p)
+            best = None
+            if scanned is None or scanned < t.minimum:
+                continue
+            if t.maximum is not None and scanned >= t.maximum:
+                break
+            best = best_of(seen)
+            if best[0] != t.default_language and best[1] >= t.normal:
+                break
+        return file["file_id"], segment, scanned, *(best or best_of(seen))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Tries(load, limit, fall_back_at)
+        for part in parts:
+            rows = [scan(file, model) for file in part.to_dict("records") if file["runtime"] is not None and length > 0]
+            yield pd.DataFrame(rows, columns=["file_id", "segment", "scanned", "language", "accuracy"])
+
+    return files.mapInPandas(run, "file_id long, segment int, scanned double, language string, accuracy double")
+
+
 def looked_up(keys: DataFrame, connect: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
     """One call of a service for each distinct row of ``keys``; rows without a hit are left out."""
 
