@@ -18,7 +18,7 @@ def levels(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def classify(entries: DataFrame, specials: list[str], trailers: list[str], parser: names.Parser = names.Parser()) -> DataFrame:  # noqa: B008
-    """(path, entity, problem) for entries of (path, kind), with names as ``parser`` reads them.
+    """Adds ``entity`` and ``problem`` to entries (path, kind, ...), with names as ``parser`` reads them.
 
     ``entity`` is collection, series, season or episode, null if the entry is a trailer, which is dropped, or has a
     problem: an unexpected kind at its depth, a name that can't be parsed or too deep a nesting.
@@ -30,17 +30,17 @@ def classify(entries: DataFrame, specials: list[str], trailers: list[str], parse
         F.when(depth == 4, "episode").when(depth == 3, F.when(in_collection, "season").otherwise("episode"))
         .when(depth == 2, F.when(in_collection, "series").otherwise("season")).when(depth == 1, F.when(in_collection & folder, "collection").otherwise("series"))
     )
-    rows = entries.select("path", "kind", role.alias("role"), name.alias("name"))
-    wants_file = F.col("role") == "episode"
+    rows = entries.withColumns({"__role": role, "__name": name})
+    wants_file = F.col("__role") == "episode"
     misplaced = (F.col("kind") == "file") != wants_file
-    trailer = misplaced & (F.col("role") == "season") & names.is_trailer(F.col("name"), trailers)
+    trailer = misplaced & (F.col("__role") == "season") & names.is_trailer(F.col("__name"), trailers)
     parsed = (
-        F.when(F.col("role") == "episode", parser.episode(F.col("name")).isNotNull() & (parser.episode(F.col("name"))["episode"] >= 1))
-        .when(F.col("role") == "season", parser.season(F.col("name"), specials).isNotNull())
-        .when(F.col("role") == "series", parser.series(F.col("name")).isNotNull()).otherwise(F.lit(True))
+        F.when(F.col("__role") == "episode", parser.episode(F.col("__name")).isNotNull() & (parser.episode(F.col("__name"))["episode"] >= 1))
+        .when(F.col("__role") == "season", parser.season(F.col("__name"), specials).isNotNull())
+        .when(F.col("__role") == "series", parser.series(F.col("__name")).isNotNull()).otherwise(F.lit(True))
     )
-    problem = F.when(F.col("role").isNull(), "too_deep").when(trailer, "trailer").when(misplaced, "unexpected_kind").when(~F.coalesce(parsed, F.lit(False)), "unparsable_name")
-    return rows.withColumn("problem", problem).select("path", F.when(F.col("problem").isNull(), F.col("role")).alias("entity"), "problem")
+    problem = F.when(F.col("__role").isNull(), "too_deep").when(trailer, "trailer").when(misplaced, "unexpected_kind").when(~F.coalesce(parsed, F.lit(False)), "unparsable_name")
+    return rows.withColumn("problem", problem).withColumn("entity", F.when(F.col("problem").isNull(), F.col("__role"))).drop("__role", "__name")
 
 
 def admitted(classified: DataFrame, strict: bool = False) -> DataFrame:

@@ -50,30 +50,36 @@ def ignore_filter(spark, sf_dir):
     return rows.where(~names.is_ignored(names.base_name(F.col("path")), F.lit("file"), ["en", "fr"], ["tmp"]))
 
 
-@query("trailer_filter", "SELECT p_partkey, p_partkey % 5 = 0 AS trailer FROM part")
+_NAMES = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'trailer.mp4' WHEN 2 THEN 'Trailer.mkv' WHEN 3 THEN 'TRAILER.mp4' WHEN 4 THEN 'trailer' WHEN 5 THEN '.trailer' WHEN 6 THEN 'trailer.' || p_size || '.mp4' WHEN 7 THEN 'trailer.' ELSE p_name || '.mp4' END AS name FROM part"""
+
+
+def _texts(spark, sf_dir, sql: str, source: str):
+    """Rows of a query that both engines understand, over one table."""
+    table(spark, sf_dir, source).createOrReplaceTempView(f"{source}_for_texts")
+    return spark.sql(sql.replace(f"FROM {source}", f"FROM {source}_for_texts"))
+
+
+@query("trailer_filter", f"SELECT p_partkey, CASE WHEN regexp_full_match(name, '.+\\.[^.]+') THEN regexp_extract(name, '^(.+)\\.[^.]+$', 1) ELSE name END IN ('trailer', 'Trailer') AS trailer FROM ({_NAMES})")
 def trailer_filter(spark, sf_dir):
-    name = F.when(F.col("p_partkey") % 5 == 0, "trailer.mp4").otherwise(F.concat("p_name", F.lit(".mp4")))
-    return table(spark, sf_dir, "part").select("p_partkey", names.is_trailer(name, ["trailer", "Trailer"]).alias("trailer"))
+    return _texts(spark, sf_dir, _NAMES, "part").select("p_partkey", names.is_trailer(F.col("name"), ["trailer", "Trailer"]).alias("trailer"))
 
 
-_SHAPES = (
-    ("0", "Some Collection", "folder", "collection", None), ("1", "Show (2001)", "folder", "series", None), ("2", "Coll/Show (2001)", "folder", "series", None), ("3", "Show (2001)/Staffel 01", "folder", "season", None),
-    ("4", "Coll/Show (2001)/Staffel 01", "folder", "season", None), ("5", "Show (2001)/Staffel 01/Episode 01 - {} [S01E01].mp4", "file", "episode", None),
-    ("6", "Coll/Show (2001)/Staffel 01/Episode 01 - {} [S01E01].mp4", "file", "episode", None), ("7", "Show (2001)/trailer.mp4", "file", None, "trailer"), ("8", "Show (2001)/{}.mp4", "file", None, "unexpected_kind"),
-    ("9", "Show (2001)/Other", "folder", None, "unparsable_name"), ("10", "Coll/file.mp4", "file", None, "unexpected_kind"), ("11", "a/b/c/d/e.mp4", "file", None, "too_deep"), ("12", "Coll/Show (2001)/Staffel 01/{}.mp4", "file", None, "unparsable_name"),
-)
-_SHAPE_SQL = " ".join(f"WHEN {k} THEN {e!r}" for k, _, _, e, _ in _SHAPES if e), " ".join(f"WHEN {k} THEN {p!r}" for k, _, _, _, p in _SHAPES if p)
+# Paths of one to five parts, with names that fit their place and names that don't, and what stands there.
+_PATHS = """SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE concat_ws('/', CASE WHEN p_partkey % 3 > 0 THEN collection END, CASE WHEN depth > 0 THEN series END, CASE WHEN depth > 1 THEN season END, CASE WHEN depth > 2 THEN episode END, CASE WHEN p_partkey % 23 = 0 THEN 'more.mp4' END) END AS path, CASE WHEN p_partkey % 13 = 5 THEN NULL WHEN p_partkey % 11 < 8 AND depth > 2 OR p_partkey % 11 = 9 THEN 'file' ELSE 'folder' END AS kind
+FROM (SELECT *, CASE p_partkey % 3 WHEN 1 THEN 'Some Collection' ELSE p_name || ' (' || (1950 + p_size) || ')' END AS collection, CASE p_partkey % 7 WHEN 0 THEN 'Show' WHEN 1 THEN 'Show (20)' ELSE p_name || ' (2001) (2005)' END AS series, CASE p_partkey % 5 WHEN 0 THEN 'Extras' WHEN 1 THEN 'trailer.mp4' WHEN 2 THEN 'Other' ELSE 'Staffel ' || lpad('' || p_size, 2, '0') END AS season,
+CASE p_partkey % 8 WHEN 0 THEN 'Episode 01 - x [S01E00].mp4' WHEN 1 THEN 'trailer.mp4' WHEN 2 THEN 'Episode 1 - x [S01E01].mp4' ELSE 'Episode 01 - ' || p_name || ' [S01E0' || p_partkey % 10 || '].mp4' END AS episode, p_partkey // 7 % 4 AS depth FROM part) AS parts"""
+_NESTING_SQL = f"""WITH p AS ({_PATHS}), s AS (SELECT *, len(string_split(path, '/')) AS depth, string_split(path, '/')[-1] AS name, NOT regexp_matches(string_split(path, '/')[1], '(.*) \\([0-9]{{4}}\\)') AS within FROM p),
+r AS (SELECT *, CASE depth WHEN 4 THEN 'episode' WHEN 3 THEN CASE WHEN within THEN 'season' ELSE 'episode' END WHEN 2 THEN CASE WHEN within THEN 'series' ELSE 'season' END WHEN 1 THEN CASE WHEN within AND kind = 'folder' THEN 'collection' ELSE 'series' END END AS role FROM s),
+m AS (SELECT *, (kind = 'file') <> (role = 'episode') AS misplaced, CASE role WHEN 'collection' THEN true WHEN 'series' THEN regexp_matches(name, '(.*) \\([0-9]{{4}}\\)') WHEN 'season' THEN regexp_matches(name, 'Staffel [0-9]{{2}}') OR name = 'Extras'
+WHEN 'episode' THEN coalesce(CAST(nullif(regexp_extract(name, 'Episode [0-9]{{2}} - .* \\[S[0-9]{{2}}E([0-9]{{2}})\\]\\..*', 1), '') AS INTEGER), 0) >= 1 END AS parsed, CASE WHEN regexp_full_match(name, '.+\\.[^.]+') THEN regexp_extract(name, '^(.+)\\.[^.]+$', 1) ELSE name END = 'trailer' AS trailer FROM r),
+f AS (SELECT p_partkey, role, CASE WHEN role IS NULL THEN 'too_deep' WHEN misplaced AND role = 'season' AND trailer THEN 'trailer' WHEN misplaced THEN 'unexpected_kind' WHEN NOT coalesce(parsed, false) THEN 'unparsable_name' END AS problem FROM m)
+SELECT p_partkey, CASE WHEN problem IS NULL THEN role END AS entity, problem FROM f"""
 
 
-@query("classify_nesting", f"SELECT p_partkey, CASE p_partkey % 13 {_SHAPE_SQL[0]} END AS entity, CASE p_partkey % 13 {_SHAPE_SQL[1]} END AS problem FROM part")
+@query("classify_nesting", _NESTING_SQL)
 def classify_nesting(spark, sf_dir):
-    shape = (F.col("p_partkey") % len(_SHAPES) + 1).cast("int")
-    pattern = F.element_at(F.array(*(F.lit(p) for _, p, *_ in _SHAPES)), shape)
-    kind = F.element_at(F.array(*(F.lit(k) for _, _, k, *_ in _SHAPES)), shape)
-    path = F.replace(pattern, F.lit("{}"), F.lit("Part"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), kind.alias("kind"))
-    found = nesting.classify(rows.select("path", "kind").distinct(), ["Extras"], ["trailer"])
-    return rows.join(found, "path").select("p_partkey", "entity", "problem")
+    rows = _texts(spark, sf_dir, _PATHS.replace("p_partkey // 7", "p_partkey div 7"), "part")
+    return nesting.classify(rows, ["Extras"], ["trailer"]).select("p_partkey", "entity", "problem")
 
 
 @query("path_parts", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, split_part(split_part(url, '?', 1), '/', -1) AS name, length(regexp_replace(split_part(url, '?', 1), '[^/]', '', 'g')) - 2 AS depth FROM pages")
@@ -82,10 +88,11 @@ def path_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), names.base_name(path).alias("name"), (F.size(F.split(path, "/")) - 3).cast("long").alias("depth"))
 
 
-@query("safe_index", "SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS position FROM documents")
+@query("safe_index", "SELECT doc_id, CAST(nullif(list_position(string_split(substring(text, 1, 300), ' '), CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'de' ELSE lang END), 0) - 1 AS INTEGER) AS position FROM documents")
 def safe_index(spark, sf_dir):
-    known = F.array(F.lit("en"), F.lit("de"), F.lit("fr"))
-    return table(spark, sf_dir, "documents").select("doc_id", numeric.first_index(known, F.col("lang")).alias("position"))
+    """Where in the first words of a document a word stands first."""
+    words, word = F.split(F.substring("text", 1, 300), " "), F.when(F.col("doc_id") % 3 == 0, "the").when(F.col("doc_id") % 3 == 1, "de").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", numeric.first_index(words, word).alias("position"))
 
 
 @query("language_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN split_part(o_orderpriority, '-', 1) END AS short, CASE WHEN o_orderkey % 9 > 0 THEN split_part(o_orderpriority, '-', 2) END AS long FROM orders")
@@ -94,11 +101,13 @@ def language_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", names.language(text).alias("l")).select("o_orderkey", "l.short", "l.long")
 
 
-@query("language_default", "SELECT o_orderkey, o_orderkey % 4 = 0 AS is_default FROM orders")
+_LANGUAGES = "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'un: Unknown' WHEN 1 THEN ' un :Unknown ' WHEN 2 THEN 'UN: Unknown' WHEN 3 THEN 'un: unknown' WHEN 4 THEN 'un' WHEN 5 THEN 'un: Unknown: x' WHEN 6 THEN NULL ELSE o_orderpriority || ': ' || o_orderstatus END AS name FROM orders"
+
+
+@query("language_default", f"SELECT o_orderkey, CASE WHEN len(string_split(name, ':')) = 2 THEN trim(split_part(name, ':', 1)) = 'un' AND trim(split_part(name, ':', 2)) = 'Unknown' END AS is_default FROM ({_LANGUAGES})")
 def language_default(spark, sf_dir):
-    default = F.col("o_orderkey") % 4 == 0
-    short, long = F.when(default, "un").otherwise("de"), F.when(default, "Unknown").otherwise("German")
-    return table(spark, sf_dir, "orders").select("o_orderkey", names.is_default(short, long).alias("is_default"))
+    rows = _texts(spark, sf_dir, _LANGUAGES, "orders").select("o_orderkey", names.language(F.col("name")).alias("l"))
+    return rows.select("o_orderkey", names.is_default(F.col("l.short"), F.col("l.long")).alias("is_default"))
 
 
 @query("describe_text", "SELECT c_custkey, '<Series name: ' || c_name || ' year: ' || (1900 + c_nationkey) || '>' AS series, '<Season season: ' || c_nationkey || '>' AS season, '<Episode season: ' || c_nationkey || ' episode: ' || c_custkey || ' name: ' || c_mktsegment || '>' AS episode FROM customer")
@@ -108,10 +117,18 @@ def describe_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", *(x.alias(k) for x, k in zip(texts, ("series", "season", "episode"), strict=True)))
 
 
-_PROBES = """probes AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"streams":[{"codec_type":"video","codec_name":"h264","duration":"10.5"},{"codec_type":"audio","codec_name":"aac","duration":"10.5"}],"format":{"duration":"11.0"}}'
-WHEN 1 THEN '{"streams":[{"codec_type":"video","codec_name":"h264"},{"codec_type":"audio","codec_name":"aac"}],"format":{"duration":"11.0"}}' WHEN 2 THEN '{"streams":[{"codec_type":"video","codec_name":"h264","duration":"10.5"}],"format":{}}'
-WHEN 3 THEN '{"streams":[{"codec_type":"audio","codec_name":"pcm_s16le","duration":"7"}],"format":{}}' WHEN 4 THEN '{"streams":[{"codec_type":"audio","codec_name":"mp3"}],"format":{"duration":"3.25"}}' WHEN 5 THEN '{"streams":[{"codec_type":"subtitle"}],"format":{}}'
-WHEN 6 THEN '{"streams":[{"codec_type":"video"},{"codec_type":"video"}],"format":{"duration":"1"}}' ELSE '{"streams":[{"codec_type":"audio","codec_name":"mp3"}],"format":{}}' END AS raw FROM events)"""
+def _stream(kind: str, name: str, duration: str | None = None) -> str:
+    return '{"codec_type":"' + kind + '","codec_name":"' + name + '"' + (',"duration":"\' || d || \'"' if duration == "d" else "" if duration is None else f',"duration":"{duration}"') + "}"
+
+
+# What a prober says of a file: streams of each kind, with and without durations, and texts that are none.
+_PROBE_SHAPES = (
+    f"""{{"streams":[{_stream("video", "h264", "d")},{_stream("audio", "aac", "d")}],"format":{{"duration":"11.0"}}}}""", f"""{{"streams":[{_stream("video", "h264")},{_stream("audio", "aac", "3")}],"format":{{"duration":"' || d || '"}}}}""",
+    f"""{{"streams":[{_stream("video", "h264", "d")}],"format":{{}}}}""", f"""{{"streams":[{_stream("audio", "pcm_s16le", "d")},{_stream("subtitle", "ass")}],"format":{{}}}}""", f"""{{"streams":[{_stream("audio", "mp3", "N/A")}],"format":{{"duration":"' || d || '"}}}}""",
+    f"""{{"streams":[{_stream("subtitle", "srt", "d")}],"format":{{"duration":"5"}}}}""", f"""{{"streams":[{_stream("video", "a")},{_stream("video", "b")}],"format":{{"duration":"1"}}}}""", f"""{{"streams":[{_stream("audio", "mp3")}],"format":{{}}}}""",
+    f"""{{"streams":[{_stream("audio", "mp3", "d")},{_stream("audio", "aac", "d")}],"format":{{"duration":"2"}}}}""", """{"streams":[],"format":{"duration":"1"}}""", """{"format":{"duration":"1"}}""",
+)
+_PROBES = f"probes AS (SELECT event_id, CASE event_id % {len(_PROBE_SHAPES) + 1} {' '.join(f"WHEN {k} THEN '{shape}'" for k, shape in enumerate(_PROBE_SHAPES))} END AS raw FROM (SELECT event_id, event_id * 7919 % 10007 || '.' || event_id % 4 * 25 AS d FROM events) AS durations)"
 
 
 def _probes(spark, sf_dir):
@@ -122,11 +139,19 @@ def _probes(spark, sf_dir):
 @query("probe_json", f"WITH {_PROBES} SELECT event_id, CAST(json_array_length(raw, '$.streams') AS INTEGER) AS n_streams, json_extract_string(raw, '$.streams[0].codec_type') AS first_type, json_extract_string(raw, '$.format.duration') AS duration FROM probes")
 def probe_json(spark, sf_dir):
     rows = _probes(spark, sf_dir).select("event_id", probe.parsed(F.col("raw")).alias("p"))
-    return rows.select("event_id", F.size("p.streams").alias("n_streams"), F.element_at("p.streams", 1)["codec_type"].alias("first_type"), F.col("p.format.duration").alias("duration"))
+    return rows.select("event_id", F.size("p.streams").alias("n_streams"), F.get("p.streams", F.lit(0))["codec_type"].alias("first_type"), F.col("p.format.duration").alias("duration"))
+
+
+_STREAM_LIST = """'[{"codec_type":"VARCHAR","codec_name":"VARCHAR","duration":"VARCHAR"}]'"""
+_NUMBER = "CASE WHEN regexp_full_match({0}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST({0} AS DOUBLE) END"
+_STATUS_SQL = f"""WITH {_PROBES}, s AS (SELECT event_id, coalesce(from_json(json_extract(raw, '$.streams'), {_STREAM_LIST}), []) AS streams, json_extract_string(raw, '$.format.duration') AS whole FROM probes),
+k AS (SELECT event_id, whole, [x FOR x IN streams IF x.codec_type = 'video'] AS video, [x FOR x IN streams IF x.codec_type = 'audio'] AS audio FROM s), m AS (SELECT *, CASE WHEN len(video) > 0 THEN video[1] ELSE audio[1] END.duration AS own FROM k),
+r AS (SELECT *, coalesce({_NUMBER.format('own')}, {_NUMBER.format('whole')}) AS runtime FROM m),
+e AS (SELECT *, CASE WHEN len(video) = 0 AND len(audio) = 0 THEN 'neither video nor audio' WHEN len(video) > 1 THEN 'more than one video stream' WHEN runtime IS NULL THEN 'no duration' WHEN len(video) = 1 AND len(audio) = 0 THEN 'video without audio' WHEN len(audio) > 1 THEN 'more than one audio stream' END AS error FROM r)
+SELECT event_id, CASE WHEN error IS NULL THEN CASE WHEN len(video) = 1 THEN 'video' WHEN audio[1].codec_name = 'pcm_s16le' THEN 'wav' ELSE 'audio' END END AS status, CASE WHEN error IS NULL THEN runtime END AS runtime, error FROM e"""
 
 
-@query("probe_status", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'video' WHEN 1 THEN 'video' WHEN 3 THEN 'wav' WHEN 4 THEN 'audio' END AS status, CAST(CASE event_id % 8 WHEN 0 THEN 10.5 WHEN 1 THEN 11.0 WHEN 3 THEN 7 WHEN 4 THEN 3.25 END AS DOUBLE) AS runtime,
-CASE event_id % 8 WHEN 2 THEN 'video without audio' WHEN 5 THEN 'neither video nor audio' WHEN 6 THEN 'more than one video stream' WHEN 7 THEN 'no duration' END AS error FROM events""")
+@query("probe_status", _STATUS_SQL)
 def probe_status(spark, sf_dir):
     return probe.status(_probes(spark, sf_dir).select("event_id", probe.parsed(F.col("raw")).alias("probe"))).select("event_id", "status", "runtime", "error")
 

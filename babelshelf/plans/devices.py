@@ -82,11 +82,16 @@ def pci_format(spark, sf_dir):
     return table(spark, sf_dir, "part").select(key.alias("ord"), text.alias("topology"))
 
 
-@query("pci_parse", "SELECT p_partkey AS ord, CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 4096 END AS domain, CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 256 END AS bus, CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 32 END AS device, CASE WHEN p_partkey % 7 > 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 8 ELSE 0 END END AS function FROM part")
+_TOPOLOGIES = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN a || ':' || b || ':' || c WHEN 2 THEN a || ':' || b WHEN 3 THEN upper(a || ':' || b || ':' || c || '.' || d) WHEN 4 THEN a || ':' || b || ':' || c || '.' WHEN 5 THEN 'g' || a || ':' || b || ':' || c WHEN 6 THEN a || ':' || b || ':' || c || ':' || d
+WHEN 7 THEN '0000:' || b || ':' || c || '.' || d ELSE a || ':' || b || ':' || c || '.' || d END AS topology FROM (SELECT p_partkey, lower(hex(p_partkey * 31 % 4096)) AS a, lower(hex(p_partkey % 256)) AS b, lower(hex(p_partkey % 32)) AS c, lower(hex(p_partkey % 8)) AS d FROM part) AS parts"""
+_HEX = "CAST(nullif('0x' || regexp_extract(topology, '^([0-9a-fA-F]+):([0-9a-fA-F]+):([0-9a-fA-F]+)(\\.([0-9a-fA-F]+))?$', {}), '0x') AS BIGINT)"
+
+
+@query("pci_parse", f"SELECT p_partkey AS ord, {_HEX.format(1)} AS domain, {_HEX.format(2)} AS bus, {_HEX.format(3)} AS device, CASE WHEN {_HEX.format(1)} IS NOT NULL THEN coalesce({_HEX.format(5)}, 0) END AS function FROM ({_TOPOLOGIES})")
 def pci_parse(spark, sf_dir):
-    key = F.col("p_partkey")
-    text = F.when(key % 7 == 0, "no address").when(key % 2 == 0, F.format_string("%x:%x:%x.%x", key % 4096, key % 256, key % 32, key % 8)).otherwise(F.format_string("%x:%x:%x", key % 4096, key % 256, key % 32))
-    return table(spark, sf_dir, "part").select(key.alias("ord"), *numeric.parse_pci(text))
+    table(spark, sf_dir, "part").createOrReplaceTempView("part_for_topologies")
+    rows = spark.sql(_TOPOLOGIES.replace("FROM part)", "FROM part_for_topologies)"))
+    return rows.select(F.col("p_partkey").alias("ord"), *numeric.parse_pci(F.col("topology")))
 
 
 _SAMPLES = "samples AS (SELECT l_returnflag AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem)"
