@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelshelf.llm.tokens import Generations, PieceEncoder, blocks, encoder, is_safe, split, tokenizer_path
+from babelshelf.llm.tokens import Generations, PieceEncoder, blocks, encoder, is_safe, safe, split, tokenizer_path
 
 #: Lengths remembered by a worker, in each of two generations.
 CACHE_LENGTHS = 500_000
@@ -54,12 +54,15 @@ def count_tokens(texts: pa.Array, enc: PieceEncoder, table: LengthTable, cache:
     offsets, index, words = split(texts)
     found = table.find(words)
     rare = np.flatnonzero(found < 0)
-    names = words.take(pa.array(rare)).to_pylist()
+    left = words.take(pa.array(rare))
+    names = left.to_pylist()
     lengths = cache.find(names)
-    missing = [i for i, x in enumerate(lengths) if x is None and is_safe(names[i])]
-    for i, ids in zip(missing, enc.encode_pieces([names[i] for i in missing]), strict=True):
-        lengths[i] = len(ids) // enc.dtype.itemsize
-        cache.put(names[i], lengths[i])
+    missing = [i for i, ok in enumerate(safe(left).tolist()) if ok and lengths[i] is None]
+    pieces = [names[i] for i in missing]
+    new = [len(ids) // enc.dtype.itemsize for ids in enc.encode_pieces(pieces)]
+    for i, x in zip(missing, new, strict=True):
+        lengths[i] = x
+    cache.put_all(pieces, new)
     found[rare] = [-1 if x is None else x for x in lengths]
     lens = found[index]
     counts = np.add.reduceat(lens, offsets[:-1]) - 1  # the leading newline's

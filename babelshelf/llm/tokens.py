@@ -52,10 +52,12 @@ class Generations:
         """Values in order, None where unknown."""
         found = list(map(self.young.get, keys))
         if self.old:
-            for i, x in enumerate(found):
-                if x is None and (x := self.old.get(keys[i])) is not None:
-                    found[i] = x
-                    self.put(keys[i], x)
+            again = [i for i, x in enumerate(found) if x is None and keys[i] in self.old]
+            names = [keys[i] for i in again]
+            values = list(map(self.old.get, names))
+            for i, x in zip(again, values, strict=True):
+                found[i] = x
+            self.put_all(names, values)
         return found
 
     def put(self, key, value) -> None:
@@ -63,6 +65,13 @@ class Generations:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
+    def put_all(self, keys: list, values: list) -> None:
+        for at in range(0, len(keys), self.most):
+            part = keys[at : at + self.most]
+            if len(self.young) + len(part) > self.most:
+                self.old, self.young = self.young, {}
+            self.young.update(zip(part, values[at : at + self.most], strict=True))
+
 
 def marked(texts: pa.Array) -> pa.Array:
     """Texts led by a newline, with a space before every other newline: split at spaces, each piece is ``\\nword`` or ``word``."""
@@ -76,6 +85,15 @@ def is_safe(piece: str) -> bool:
     return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
 
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_SAFE = rf"(?s)^\n?[^{_SPACES}](?:.*[^{_SPACES}])?$"
+
+
+def safe(pieces: pa.Array) -> np.ndarray:
+    """``is_safe`` of each piece."""
+    return pc.match_substring_regex(pieces, _SAFE).to_numpy(zero_copy_only=False)
+
+
 def as_text(piece: str) -> str:
     return piece if piece[0] == "\n" else " " + piece
 
@@ -145,11 +163,13 @@ class PieceEncoder:
         offsets, index, coded = split(texts)
         words = coded.to_pylist()
         found = self.cache.find(words)
-        missing = [i for i, x in enumerate(found) if x is None]
-        safe = [i for i in missing if is_safe(words[i])]
-        for i, ids in zip(safe, self.encode_pieces([words[i] for i in safe]), strict=True):
+        known = np.fromiter((x is not None for x in found), dtype=bool, count=len(found))
+        missing = np.flatnonzero(~known & safe(coded)).tolist()
+        names = [words[i] for i in missing]
+        new = self.encode_pieces(names)
+        for i, ids in zip(missing, new, strict=True):
             found[i] = ids
-            self.cache.put(words[i], ids)
+        self.cache.put_all(names, new)
         bad = np.array([x is None for x in found], dtype=bool)
         raw = [x or b"" for x in found]
         flat = np.frombuffer(b"".join(raw), dtype=self.dtype)

@@ -52,6 +52,15 @@ def test_generations_stay_bounded():
     for i in range(10):
         cache.put(i, str(i))
     assert len(cache.young) <= 3 and len(cache.old) <= 3 and cache.find([9, 0]) == ["9", None]
+    cache.put_all(list(range(20, 28)), list(map(str, range(20, 28))))
+    assert len(cache.young) <= 3 and len(cache.old) <= 3 and cache.find([27, 26, 9]) == ["27", "26", None]
+
+
+def test_safe_pieces_by_pattern():
+    dice = random.Random(3)
+    parts = ["\n", " ", "\t", "a", "é", "日", "\x85", "\xa0", "\u3000", "\x1c", "\u200b", ".", "-", "]", "^", "\u2028", "\x0b"]
+    pieces = ["".join(dice.choice(parts) for _ in range(dice.randrange(6))) for _ in range(5000)]
+    assert tokens.safe(pa.array(pieces, pa.large_string())).tolist() == [tokens.is_safe(p) for p in pieces]
 
 
 @pytest.mark.parametrize("table", ["odd", "documents"])
