@@ -48,5 +48,8 @@ def identified(docs: DataFrame, column: str = "__row", columns: tuple[str, ...]
 
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, column: str = "__row") -> DataFrame:
-    """The rows of ``docs`` whose ``column`` is in ``keepers``; ids alone are held in memory, texts aren't sorted."""
+    """The rows of ``docs`` whose ``column`` is in ``keepers``; ids alone are held in memory, texts aren't sorted.
+
+    A task holds the ids of its shuffle partition, so the number of these must grow with the input.
+    """
     return docs.join(keepers.select(column).hint("shuffle_hash"), column, "left_semi")

@@ -104,7 +104,7 @@ def judge(rows: DataFrame, index: DigestIndex, batch: str | None = None) -> Data
 
 
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
-    """An empty index in the shared folder."""
+    """An empty index in the shared folder, for this application; give ``DigestIndex`` a path of its own for one that stays."""
     name = f"digest_index_{uuid.uuid4().hex}"
     return DigestIndex(spark, name, shared_path(spark, name), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -64,12 +64,13 @@ def brute_similar(texts):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("long_list", [32, 2])
-def test_near_dedup_finds_all_similar_pairs(spark, sf, odd, documents, monkeypatch, long_list):
+@pytest.mark.parametrize(("long_list", "most"), [(32, 50_000), (2, 10)])
+def test_near_dedup_finds_all_similar_pairs(spark, sf, odd, documents, monkeypatch, long_list, most):
     """Planted copies with a few changed words, up to similarity 0.8, in groups of several sizes."""
     from babelshelf.llm import similar
 
     monkeypatch.setattr(similar.near_copies, "__defaults__", (*similar.near_copies.__defaults__[:-1], long_list))
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", most)
     dice = random.Random(11)
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None] + [(1000 + r.doc_id, r.text) for r in documents.collect()]
     for group in range(12):
