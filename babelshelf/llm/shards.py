@@ -17,6 +17,8 @@ from babelshelf.llm.common import cut, identified
 
 KEY_BITS = 60
 ROUND_BITS = 10
+#: Bytes of ``size`` that a task of the exchange reads, on average, at most; the session may ask for smaller ones.
+TASK_BYTES = 256 << 20
 #: Rows that one task orders at once, on average.
 CELL_ROWS = 20_000
 
@@ -26,8 +28,8 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.0005, key: str = "__key", size: str = "size") -> tuple[list[int], int]:
-    """The lowest key of each shard but the first, and the number of rows.
+def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.0005, key: str = "__key", size: str = "size") -> tuple[list[int], int, int]:
+    """The lowest key of each shard but the first, and the numbers of rows and of bytes.
 
     ``tolerance`` is a share of the mean shard. Each round sends at most ``2 ** ROUND_BITS`` counts for each
     unsettled splitter to the driver, however large ``rows`` is.
@@ -36,7 +38,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.0005, key: st
     aims: dict[int, float] = {}
     open_cells: dict[int, tuple[list[int], int]] = {0: (list(range(1, n_shards)), 0)}  # prefix: its splitters, bytes below it
     cuts: dict[int, int] = {}
-    n_rows = 0
+    n_rows = total = 0
     for depth in range(1, KEY_BITS // ROUND_BITS + 1):
         shift = KEY_BITS - depth * ROUND_BITS
         within = rows if depth == 1 else rows.where(F.shiftright(key, shift + ROUND_BITS).isin(*open_cells))
@@ -65,7 +67,7 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.0005, key: st
         open_cells = left
         if not open_cells:
             break
-    return [cuts[i] for i in range(1, n_shards)], n_rows
+    return [cuts[i] for i in range(1, n_shards)], n_rows, total
 
 
 def _shard_of(key: str, bounds: list[int], first: int = 0) -> Column:
@@ -86,7 +88,7 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0
     """
     rows = docs.drop("shard", "slot").withColumn("__key", F.shiftrightunsigned(F.xxhash64(*keys), 64 - KEY_BITS))
     slim = cut(rows.select("__key", F.col(size).alias("size")), "shard-keys")
-    bounds, n_rows = splitters(slim, n_shards, tolerance)
+    bounds, n_rows, total = splitters(slim, n_shards, tolerance)
     bits = max(0, math.ceil(math.log2(max(1, n_rows / cell_rows))))
 
     def placed(df: DataFrame) -> DataFrame:
@@ -95,7 +97,10 @@ def histogram_shards(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.0
     before = "sum(n) OVER (PARTITION BY shard ORDER BY __cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = placed(slim).groupBy("shard", "__cell").agg(F.count("*").alias("n")).select("shard", "__cell", F.expr(f"coalesce({before}, 0)").alias("__before"))
     rank = F.expr(f"row_number() OVER (PARTITION BY shard, __cell ORDER BY __key, {', '.join(f'`{k}`' for k in keys)})")
-    ranked = placed(rows).withColumn("__rank", rank)
+    whole, least = placed(rows), math.ceil(total / TASK_BYTES)
+    if least > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        whole = whole.repartition(least, "shard", "__cell")
+    ranked = whole.withColumn("__rank", rank)
     joined = ranked.join(offsets, ["shard", "__cell"])
     return joined.withColumn("slot", F.col("__before") + F.col("__rank") - 1).drop("__before", "__rank", "__key", "__cell")
 

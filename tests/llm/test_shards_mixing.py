@@ -134,6 +134,16 @@ def test_repeated_rows_keep_the_law(spark, n):
     assert len(found) == 4000 and all(abs(sums[k] - mean) <= most + 2 * 0.0005 * mean for k in range(n))
 
 
+def test_exchange_grows_with_the_bytes(documents, monkeypatch):
+    """More bytes than the session's partitions should hold are exchanged into more partitions, still once and with the same result."""
+    want = sorted(map(tuple, shards.histogram_shards(slim(documents), 4, keys=("doc_id", "text_crc32"), cell_rows=5).collect()))
+    monkeypatch.setattr(shards, "TASK_BYTES", 10_000)
+    found = shards.histogram_shards(slim(documents), 4, keys=("doc_id", "text_crc32"), cell_rows=5)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan[plan.find("Final Plan") : plan.find("Initial Plan")].count("REPARTITION_BY_NUM") == 1
+
+
 def test_documents_are_sharded_with_their_texts(spark, sf, odd):
     found = shards.sharded_documents(odd)
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter((r.doc_id, r.text) for r in odd.collect())
