@@ -27,6 +27,8 @@ SLACK = 8
 #: Partitions whose leftovers meet in one task: at most 64 x 32 windows.
 FAN_IN = 64
 END_ID = 0
+#: Pieces in each generation of a worker's cache; packing shares its workers with the other stages of a pipeline.
+CACHE_PIECES = 250_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 _NAMES = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -120,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     path = tokenizer or tokenizer_path()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path), Packer(0, TaskContext.get().partitionId(), length, windows, slack)
+        enc, packer = encoder(path, CACHE_PIECES), Packer(0, TaskContext.get().partitionId(), length, windows, slack)
         for batch, texts in blocks(batches):
             ends, ids = enc(texts)
             a = 0

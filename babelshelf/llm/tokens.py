@@ -206,11 +206,11 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets - (offsets[0] if len(offsets) else 0), coded.indices.to_numpy(), coded.dictionary
 
 
-def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE_PIECES) -> PieceEncoder:
+    """This worker's encoder with a cache of this size."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = PieceEncoder(path, cache)
+    return _encoders[path, cache]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
