@@ -1,0 +1,99 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from babelshelf.llm import lexical
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_terms(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, top=10):
+    """Result rows as a multiset, from (doc_id, text) and (item_id, text)."""
+    counts = [Counter(brute_terms(text)) for _, text in docs]
+    lengths = [sum(c.values()) for c in counts]
+    n_docs, total, df = sum(n > 0 for n in lengths), sum(lengths), Counter(t for c in counts for t in c)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(brute_terms(text))
+    out = Counter()
+    for item, terms in asked.items():
+        scores = []
+        for (doc_id, _), c, n in zip(docs, counts, lengths, strict=True):
+            m = 10 + (90 * n * n_docs) // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id))
+        out.update((item, rank, doc_id, -score) for rank, (score, _, doc_id) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top], 1))
+    return out
+
+
+def found(df):
+    return Counter((r.item_id, r.rank, r.doc_id, r.score) for r in df.collect())
+
+
+def prose(n_docs, n_items, seed):
+    """Documents whose words fall off as in prose, with copies, and items cut from some of them."""
+    dice = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = [(i, " ".join(dice.choices(words, weights, k=dice.choice([1, 5, 40, 200])))) for i in range(n_docs)]
+    docs += [(n_docs + i, docs[7][1]) for i in range(60)]
+    items = [(i, " ".join(dice.choice(docs)[1].split()[:25]) + " W1, unheard-of") for i in range(n_items)]
+    return docs, items
+
+
+@pytest.mark.parametrize(("head", "lookups", "share"), [(40, 50, 0.5), (1, 10, 0.9), (3, 10, 0.1)])
+def test_equals_brute_force(spark, monkeypatch, head, lookups, share):
+    for name, value in (("HEAD", head), ("LOOKUPS", lookups), ("SHARE", share)):
+        monkeypatch.setattr(lexical, name, value)
+    docs, items = prose(400, 12, seed=head)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    assert found(lexical.search(d, i)) == brute(docs, items)
+
+
+def test_shuffled_instead_of_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
+    docs, items = prose(150, 5, seed=9)
+    assert found(lexical.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), top=3)) == brute(docs, items, 3)
+
+
+def test_most_entries_stay_unsent(spark):
+    """Documents that share only an item's common words are neither summed up nor looked up."""
+    docs = [(i, f"common usual word{i} " + "filler " * (i % 5)) for i in range(3000)] + [(3000 + i, "common rare scarce seldom exquisite") for i in range(12)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "common usual rare scarce seldom exquisite")], "item_id long, text string")
+    words = lexical.words_of(i, "item_id", "text").selectExpr("word", "0L AS item", "monotonically_increasing_id() AS term").persist()
+    lists, weights = lexical.lists_of(lexical.postings(d, words.select("term", "word")))
+    weighed = words.join(weights, "term").select("item", "term", "w")
+    taus, most = lexical.lower_bounds(lists, weighed, 10)
+    limits = lexical.thresholds(weighed, taus, most).persist()
+    assert limits.groupBy().agg({"cap": "sum"}).first()[0] < lexical.SHARE * taus.first().tau
+    assert lexical.contenders(lists, limits, 10).count() == 12
+    assert found(lexical.search(d, i)) == brute(docs, [(1, "common usual rare scarce seldom exquisite")])
+
+
+def test_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, blanks, ties and repeated rows; columns named like the operator's own."""
+    items = [(1, "copy of the same passage here"), (2, None), (3, "..."), (4, "A b ABC"), (4, "tie one"), (None, "text number 5 words"), (None, "日本"), (5, "unheard"), (6, "alpha1 beta2 gamma3 delta4 passage"), (6, "alpha1 beta2 gamma3 delta4 passage")]
+    docs = [(r.doc_id, r.text) for r in odd.collect()]
+    i = spark.createDataFrame([(*x, "y") for x in items], "item_id long, text string, word string")
+    clash = odd.withColumnRenamed("size", "row").withColumnRenamed("n", "term")
+    assert found(lexical.search(clash, i)) == brute(docs, items)
+
+
+def test_empty_tables(spark, odd, none):
+    i = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert not lexical.search(none, i).collect()
+    assert not lexical.search(odd, i.limit(0)).collect()
+    assert not lexical.search(odd.where("text = ''"), i).collect()
+
+
+def test_query_equals_brute_force(spark, sf, documents):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert found(lexical.op11_tput_search(spark, sf)) == brute([(r.doc_id, r.text) for r in documents.collect()], items)
