@@ -320,12 +320,9 @@ def op12_voronoi_negatives(spark, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = """
-WITH c AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r, embedding FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL),
-u AS (SELECT r, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM c),
-g AS (SELECT r FROM u GROUP BY r HAVING bool_and(x IS NOT NULL AND isfinite(x))),
-k AS (SELECT r, i, floor(256 * x::DOUBLE)::BIGINT AS v FROM u JOIN g USING (r)),
-s AS (SELECT a.r AS a, b.r AS b, sum(a.v * b.v)::BIGINT AS score FROM k a JOIN k b USING (i) WHERE a.r IN (SELECT r FROM c WHERE vec_id % 100 = 0) AND a.r <> b.r GROUP BY ALL),
-t AS (SELECT a, x.vec_id AS anchor_id, x.label AS anchor_label, b, y.vec_id, y.label, score FROM s JOIN c x ON x.r = a JOIN c y ON y.r = b),
+WITH c AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS anchor_label, b.r AS b, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM (SELECT * FROM c WHERE vec_id % 100 = 0) a JOIN c b ON a.r <> b.r),
 p AS (SELECT * FROM t WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5)
 SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id, n.b)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN t n ON n.a = p.a AND n.label <> n.anchor_label AND 80 * p.score <= 100 * n.score AND n.score <= p.score
