@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from babelshelf.catalog import query
-from babelshelf.operators import lookup, nesting, ordering, quota, rescan, retries, summary
+from babelshelf.operators import gaps, lookup, nesting, ordering, quota, rescan, retries, summary
 from babelshelf.plans import lenses
 from babelshelf.plans.lenses import FILES, HIERARCHY, SNAPSHOTS, table
 
@@ -139,6 +139,38 @@ def quota_scan(spark, sf_dir):
     return found.select("role", "conv_id", "turn", "position")
 
 
+_NUMBERED = "numbered AS (SELECT c_custkey AS season, (o_orderkey * 7 + o_custkey) % 31 AS number FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def _numbered(spark, sf_dir):
+    """(season, number): orders as episodes of their customer's season, some with a number that others have, too."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("season"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 31).alias("number"))
+
+
+@query("summary_gaps", f"""WITH {_NUMBERED}, known AS (SELECT DISTINCT season, number FROM numbered WHERE number >= 1), ends AS (SELECT season, max(number) AS last FROM known GROUP BY season),
+lacks AS (SELECT season, number FROM (SELECT season, unnest(range(1, last)) AS number FROM ends) ANTI JOIN known USING (season, number)),
+islands AS (SELECT season, number, number - row_number() OVER (PARTITION BY season ORDER BY number) AS island FROM lacks)
+SELECT season, false AS complete, min(number) AS first_missing, max(number) AS last_missing, count(*) AS n FROM islands GROUP BY season, island
+UNION ALL SELECT season, true, NULL, NULL, 0 FROM ends WHERE season NOT IN (SELECT season FROM lacks)""")
+def summary_gaps(spark, sf_dir):
+    return gaps.missing(_numbered(spark, sf_dir), ["season"], "number")
+
+
+@query("summary_duplicates", f"WITH {_NUMBERED}, n AS (SELECT season, number, count(*) OVER (PARTITION BY season, number) AS copies FROM numbered WHERE number >= 1) SELECT DISTINCT season, number, copies FROM n WHERE copies > 1")
+def summary_duplicates(spark, sf_dir):
+    return gaps.duplicates(_numbered(spark, sf_dir), ["season"], "number")
+
+
+@query("rescan_moved", f"""WITH {FILES}, walked AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'moved/' || path ELSE path END AS path, checksum FROM files WHERE doc_id % 10 <> 1), gone AS (SELECT path, checksum FROM files WHERE path NOT IN (SELECT path FROM walked)), came AS (SELECT path, checksum FROM walked WHERE path NOT IN (SELECT path FROM files)),
+old AS (SELECT path AS old_path, checksum, (SELECT count(*) FROM gone h WHERE h.checksum = g.checksum AND h.path < g.path) AS k FROM gone g), new AS (SELECT path, checksum, (SELECT count(*) FROM came h WHERE h.checksum = g.checksum AND h.path < g.path) AS k FROM came g)
+SELECT old_path, path, checksum FROM old JOIN new USING (checksum, k)""")
+def rescan_moved(spark, sf_dir):
+    """Every fourth file in another folder, one in ten deleted; copies have equal checksums."""
+    saved = lenses.files(spark, sf_dir).select("doc_id", "path", "checksum", "mtime")
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return rescan.moved(saved, saved.where("doc_id % 10 <> 1").withColumn("path", path))
+
+
 _PROVIDED = "provided AS (SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.toxic = 1 THEN 'skipped' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
