@@ -22,6 +22,11 @@ class Thresholds:
     use_picker: bool = True
     default_language: str = "Unknown"
 
+    @property
+    def scans_nothing(self) -> bool:
+        """No scan can satisfy a maximum below the minimum."""
+        return self.maximum is not None and self.maximum < self.minimum
+
 
 def ranked(predictions: DataFrame, mean: str = "arithmetic", digits: int = 9) -> DataFrame:
     """(file_id, language, accuracy, place): labels by mean, the one seen first wins a tie."""
@@ -31,12 +36,18 @@ def ranked(predictions: DataFrame, mean: str = "arithmetic", digits: int = 9) ->
     return rows.withColumn("place", F.row_number().over(order).cast("int")).drop("first")
 
 
+def scannable(runtime: str) -> Column:
+    """Runtimes that can be cut into segments: not null, negative, infinite or not a number."""
+    return F.col(runtime).cast("double").between(0.0, 1.7976931348623157e308)
+
+
 def segments(files: DataFrame, length: Column) -> DataFrame:
     """(file_id, segment, start_s, end_s, scanned) for files of (file_id, runtime) seconds.
 
     The last segment has no end; a runtime that is a multiple of the length gets an empty one behind it.
+    Files with a runtime that is null, negative or not finite, and lengths that aren't above zero, give no rows.
     """
-    rows = files.withColumn("length", length).where("length > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("runtime") / F.col("length")).cast("int"))).alias("segment"))
+    rows = files.withColumn("length", length).where(scannable("runtime") & (F.col("length") > 0)).select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("runtime") / F.col("length")).cast("int"))).alias("segment"))
     start = F.col("segment") * F.col("length")
     end = F.when(start + F.col("length") <= F.col("runtime"), start + F.col("length"))
     return rows.select("file_id", "segment", start.alias("start_s"), end.alias("end_s"), F.try_divide(F.coalesce(end, F.col("runtime")).cast("double"), F.col("runtime").cast("double")).alias("scanned"))
@@ -71,8 +82,10 @@ def stopping_point(best: DataFrame, t: Thresholds) -> DataFrame:
     """(file_id, segment, scanned, language, accuracy) where scanning stops, from ``prefix_best``.
 
     That is the first segment that satisfies a rule or has failed, else the last; after a failed segment there is no
-    language, whatever the others say.
+    language, whatever the others say. If the rules let nothing be scanned, nothing is: each file has nulls.
     """
+    if t.scans_nothing:
+        return best.select("file_id").distinct().select("file_id", *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("segment", "scanned", "language", "accuracy")))
     sure = (F.col("language") != t.default_language) & (F.col("accuracy") >= t.normal)
     enough = F.col("scanned") >= t.maximum if t.maximum is not None else F.lit(False)
     stops = F.col("failed") | (F.col("scanned") >= t.minimum) & (enough | F.coalesce(sure, F.lit(False)))
@@ -82,15 +95,15 @@ def stopping_point(best: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def decided(stopped: DataFrame, t: Thresholds, picks: DataFrame | None = None) -> DataFrame:
-    """Adds ``outcome``: success or the reason of failure. ``picks`` (file_id, picked) stands for the picker."""
+    """Adds ``outcome``: success or the reason of failure, that of memory errors if ``failed_too_often`` says so. ``picks`` (file_id, picked) stands for the picker."""
     rows = stopped.join(picks, "file_id", "left") if picks is not None else stopped.withColumn("picked", F.lit(None).cast("string"))
-    if t.maximum is not None and t.minimum > t.maximum:
-        rows = rows.withColumns({"language": F.lit(None).cast("string"), "accuracy": F.lit(None).cast("double")})
+    too_often = F.col("failed_too_often") if "failed_too_often" in stopped.columns else F.lit(False)
     at_end = F.col("scanned") >= (1.0 if t.maximum is None else t.maximum)
     final_ok = F.col("accuracy") >= t.final
     picked = at_end & ~final_ok & F.lit(t.use_picker) & F.col("picked").isNotNull()
     outcome = (
-        F.when(F.col("language").isNull(), "no_best_available")
+        F.when(too_often, "failed_too_often")
+        .when(F.col("language").isNull(), "no_best_available")
         .when(at_end & final_ok, "success")
         .when(picked, "success")
         .when(at_end, "pick_failed" if t.use_picker else "final_threshold_failed")

@@ -110,7 +110,11 @@ def predict_file_loop(spark, sf_dir):
     files = lenses.media(spark, sf_dir).join(lenses.predictions(spark, sf_dir).groupBy("file_id").agg(scores), "file_id")
 
     def read(file, segment, start, end):
-        return [(x["language"], x["p"]) for x in file["scores"] if x["segment"] == segment] or None
+        if "by_segment" not in file:
+            file["by_segment"] = {}
+            for x in file["scores"]:
+                file["by_segment"].setdefault(x["segment"], []).append((x["language"], x["p"]))
+        return file["by_segment"].get(segment)
 
     return _rounded(decided(connectors.classified(files, read, lambda device: lambda found: found, LENGTH, RULES), RULES))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import floor
+from math import floor, isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from babelshelf.functions.means import TRIM
-from babelshelf.operators.prediction import Thresholds
+from babelshelf.operators.prediction import Thresholds, scannable
 
+#: Share by which a memory error shortens segments.
+SHRINK = 0.075
 Scores = list[tuple[str, float]]
 
 
@@ -41,24 +43,41 @@ def inferred(segments: DataFrame, load: Callable[[], Callable[[list[bytes]], lis
 
 
 class Tries:
-    """A model that is tried again when memory runs out: so many times in all, from some try on with another device.
+    """What a worker remembers of its model's memory errors from file to file: their number, the device, the segment length.
 
-    A success starts the count anew. The count is one segment's: what fails too often fails its file and no other.
+    Each error is counted and shrinks the length, that of files to come included; a success starts the count anew, but the
+    length stays. An error after ``fall_back_at`` others moves the model to the processor for good, one after
+    ``limit`` others is the last: ``exhausted``, which holds for all that follows if ``lasting``, else until ``rested``.
     """
 
-    def __init__(self, load: Callable[[str], Callable[[object], Scores]], limit: int = 10, fall_back_at: int = 5):
-        self.load, self.limit, self.fall_back_at, self.device = load, limit, fall_back_at, "gpu"
+    def __init__(self, load: Callable[[str], Callable[[object], Scores]], length: float = 0.0, limit: int = 10, fall_back_at: int = 5, shrink: float = SHRINK, lasting: bool = False):
+        self.load, self.length, self.limit, self.fall_back_at, self.shrink, self.lasting = load, length, limit, fall_back_at, shrink, lasting
+        self.device, self.errors, self.exhausted = "gpu", 0, False
         self.model = load(self.device)
 
-    def __call__(self, audio: object) -> Scores | None:
-        for again in range(self.limit + 1):
-            if again == self.fall_back_at and self.device != "cpu":
-                self.device, self.model = "cpu", self.load("cpu")
-            try:
-                return self.model(audio)
-            except MemoryError:
-                continue
-        return None
+    def once(self, audio: object) -> Scores | None:
+        """The scores of one try, None if memory ran out."""
+        try:
+            scores = self.model(audio)
+        except MemoryError:
+            self.failed()
+            return None
+        self.errors = 0
+        return scores
+
+    def failed(self) -> None:
+        if self.errors >= self.limit:
+            self.exhausted = True
+            return
+        if self.errors >= self.fall_back_at and self.device != "cpu":
+            self.device, self.model = "cpu", self.load("cpu")
+        self.errors += 1
+        self.length *= 1 - self.shrink
+
+    def rested(self) -> None:
+        """Before another file."""
+        if not self.lasting:
+            self.exhausted, self.errors = False, 0 if self.exhausted else self.errors
 
 
 def best_of(seen: dict[str, list[float]], digits: int = 9) -> tuple[str, float] | None:
@@ -72,43 +91,69 @@ def best_of(seen: dict[str, list[float]], digits: int = 9) -> tuple[str, float]
     return best
 
 
-def classified(files: DataFrame, read: Callable[[dict, int, float, float | None], object], load: Callable[[str], Callable[[object], Scores]], length: float, t: Thresholds, limit: int = 10, fall_back_at: int = 5) -> DataFrame:
-    """(file_id, segment, scanned, language, accuracy) where scanning stops, for files (file_id, runtime, ...).
+def classified(files: DataFrame, read: Callable[[dict, int, float, float | None], object], load: Callable[[str], Callable[[object], Scores]], length: float, t: Thresholds, limit: int = 10, fall_back_at: int = 5, legacy: bool = False) -> DataFrame:
+    """(file_id, segment, scanned, language, accuracy, failed_too_often) where scanning stops, for files (file_id, runtime, ...).
 
     Segments are read and scored one by one, only as far as the rules ask, so that what is never needed is never read.
     ``read`` gives the sound of (file, segment, start, end), None if that fails; ``load`` a model for a device, which
-    gives (label, probability) pairs. The result is that of ``prediction.stopping_point`` over all segments scored.
+    gives (label, probability) pairs. Without memory errors the result is that of ``prediction.stopping_point`` over all
+    segments scored; files whose runtime is null, negative or not finite have no row in either form, and a maximum below
+    the minimum reads nothing.
+
+    A memory error shrinks the segments of the worker (``Tries``). What is left of the file is then read again in shorter
+    segments, numbered on; scores that came before count. A file that fails too often has no language, and the next one
+    starts with a fresh count. With ``legacy`` the same sound is tried again, a file keeps the length with which it began,
+    and once one has failed too often, so do all others of the task.
     """
 
     def scan(file: dict, model: Tries) -> tuple:
         runtime, seen, best = file["runtime"], {}, None
-        last = floor(runtime / length)
-        for segment in range(last + 1):
-            end = (segment + 1) * length
+        model.rested()
+        if model.exhausted:
+            return file["file_id"], None, None, None, None, True
+        segment, scanned, base, at, step = 0, None, 0.0, 0, model.length
+        while at <= floor((runtime - base) / step):
+            start, end = base + at * step, base + (at + 1) * step
             scanned = (end if end <= runtime else runtime) / runtime if runtime else None
-            sound = read(file, segment, segment * length, end if end <= runtime else None)
-            scores = model(sound) if sound is not None else None
+            sound = read(file, segment, start, end if end <= runtime else None)
+            scores = model.once(sound) if sound is not None else []
+            while scores is None and legacy and not model.exhausted:
+                scores = model.once(sound)
+            if model.exhausted:
+                return file["file_id"], segment, scanned, None, None, True
+            if scores is None:
+                base, at, step = start, 0, model.length
+                continue
             if not scores:
-                return file["file_id"], segment, scanned, None, None
+                return file["file_id"], segment, scanned, None, None, False
             for label, p in scores:
                 seen.setdefault(label, []).append(p)
             best = None
-            if scanned is None or scanned < t.minimum:
-                continue
-            if t.maximum is not None and scanned >= t.maximum:
-                break
-            best = best_of(seen)
-            if best[0] != t.default_language and best[1] >= t.normal:
-                break
-        return file["file_id"], segment, scanned, *(best or best_of(seen))
+            if scanned is not None and scanned >= t.minimum:
+                if t.maximum is not None and scanned >= t.maximum:
+                    break
+                best = best_of(seen)
+                if best[0] != t.default_language and best[1] >= t.normal:
+                    break
+            segment, at = segment + 1, at + 1
+        else:
+            segment -= 1
+        return file["file_id"], segment, scanned, *(best or best_of(seen)), False
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tries(load, limit, fall_back_at)
+        model = Tries(load, length, limit, fall_back_at, lasting=legacy)
         for part in parts:
-            rows = [scan(file, model) for file in part.to_dict("records") if file["runtime"] is not None and length > 0]
-            yield pd.DataFrame(rows, columns=["file_id", "segment", "scanned", "language", "accuracy"])
-
-    return files.mapInPandas(run, "file_id long, segment int, scanned double, language string, accuracy double")
+            rows = []
+            for file in part.to_dict("records"):
+                if t.scans_nothing:
+                    rows.append((file["file_id"], None, None, None, None, False))
+                else:
+                    rows.append(scan(file, model))
+            found = pd.DataFrame(rows, columns=["file_id", "segment", "scanned", "language", "accuracy", "failed_too_often"])
+            yield found.astype({"segment": "Int32", "scanned": "Float64", "accuracy": "Float64"})
+
+    known = files.where(scannable("runtime")) if length > 0 and isfinite(length) else files.limit(0)
+    return known.mapInPandas(run, "file_id long, segment int, scanned double, language string, accuracy double, failed_too_often boolean")
 
 
 def looked_up(keys: DataFrame, connect: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:

@@ -183,10 +183,16 @@ def test_tries_fall_back_and_give_up():
 
         return model
 
-    model = connectors.Tries(load)
-    assert model("fine") == [("de", 1.0)] and asked == ["gpu"]
-    assert model("late") == [("de", 1.0)] and asked[1:] == ["gpu"] * 5 + ["cpu"]
-    assert model("never") is None and len(asked) == 7 + 11
+    model = connectors.Tries(load, 100.0)
+    assert model.once("fine") == [("de", 1.0)] and asked == ["gpu"]
+    while model.once("late") is None:
+        pass
+    assert asked[1:] == ["gpu"] * 6 + ["cpu"] and model.errors == 0 and model.length == pytest.approx(100 * 0.925**6)
+    while not model.exhausted:
+        assert model.once("never") is None
+    assert len(asked) == 8 + 11 and model.length == pytest.approx(100 * 0.925**16)
+    model.rested()
+    assert not model.exhausted and model.errors == 0
 
 
 def test_retry_log(spark):
