@@ -171,6 +171,21 @@ def rescan_moved(spark, sf_dir):
     return rescan.moved(saved, saved.where("doc_id % 10 <> 1").withColumn("path", path))
 
 
+@query("quota_stream", """WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS position FROM conversations WHERE length(text) % 3 <> 0)
+SELECT role, conv_id, turn, position FROM n WHERE role = 'user' AND position BETWEEN 5 AND 64 OR role = 'assistant' AND position < 40""")
+def quota_stream(spark, sf_dir):
+    """The quotas by a stream over the table's folder, run to its end."""
+    from babelshelf.storage import shared_path
+    from babelshelf.streaming import quota as arriving
+
+    path = f"{sf_dir}/conversations.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]").where("length(text) % 3 <> 0")
+    found = arriving.counted(rows.select("role", "conv_id", "turn"), "role", ["conv_id", "turn"], {"user": (5, 60), "assistant": (0, 40)})
+    folder = shared_path(spark, "quota")
+    arriving.run_to_end(found, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").select("role", "conv_id", "turn", "position")
+
+
 _PROVIDED = "provided AS (SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.toxic = 1 THEN 'skipped' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
