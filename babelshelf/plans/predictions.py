@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from babelshelf.catalog import query
 from babelshelf.functions import means
+from babelshelf.operators import trimmed
 from babelshelf.operators.prediction import Thresholds, decided, prefix_best, ranked, segments, stopping_point
 from babelshelf.plans import lenses
 from babelshelf.plans.lenses import LENGTH, MEDIA, PREDICTIONS
@@ -42,6 +43,13 @@ def mean_normalized(spark, sf_dir):
     return lenses.predictions(spark, sf_dir).groupBy("file_id", "language").agg(F.round(means.normalised("arithmetic", F.col("p")), 10).alias("mean"))
 
 
+@query("mean_truncated_selected", f"WITH {PREDICTIONS} SELECT file_id, language, round({_TRIMMED}, 10) AS mean FROM predictions GROUP BY ALL")
+def mean_truncated_selected(spark, sf_dir):
+    """The truncated mean without an array for a group."""
+    found = trimmed.truncated_means(lenses.predictions(spark, sf_dir), ["file_id", "language"], "p")
+    return found.withColumn("mean", F.round("mean", 10))
+
+
 @query("best_list", _ranked_sql("arithmetic", "SELECT * FROM ranked"))
 def best_list(spark, sf_dir):
     return ranked(lenses.predictions(spark, sf_dir))
