@@ -257,6 +257,21 @@ def json_roundtrip(spark, sf_dir):
     return snapshot.flatten(snapshot.roundtrip(snapshot.nest(episodes)))
 
 
+@query("snapshot_refresh", _WITH + """SELECT collection, series, season, episode, CASE WHEN episode % 50 = 0 THEN 'new ' || language ELSE language END AS language, CASE WHEN status = 'ok' OR episode % 50 = 0 THEN 'ok' ELSE 'missing' END AS status FROM hierarchy WHERE episode % 70 <> 1
+UNION ALL SELECT DISTINCT collection, series, season, -1, 'added', 'missing' FROM hierarchy WHERE season % 40 = 3""")
+def snapshot_refresh(spark, sf_dir):
+    """A snapshot in folders by series, some of whose episodes are changed, added and deleted in place."""
+    from babelshelf.sources import snapshot
+    from babelshelf.storage import shared_path
+
+    episodes, path = lenses.hierarchy(spark, sf_dir), shared_path(spark, "refreshed-snapshot")
+    snapshot.write_parts(snapshot.nest(episodes), path, ("collection", "series"))
+    changed = episodes.where("episode % 50 = 0 OR episode % 70 = 1").withColumns({"deleted": F.col("episode") % 70 == 1, "language": F.concat(F.lit("new "), "language"), "status": F.lit("ok")})
+    added = episodes.where("season % 40 = 3").select("collection", "series", "season").distinct().selectExpr("*", "-1L AS episode", "'added' AS language", "'missing' AS status", "false AS deleted")
+    snapshot.refresh(spark, path, changed.unionByName(added), ("collection", "series"))
+    return snapshot.flatten(snapshot.read(spark, path))
+
+
 @query("retry_log", """WITH a AS (SELECT user_id, event_id, value <= 60 AS ok FROM events), r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a),
 c AS (SELECT *, CAST(count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, run ORDER BY event_id) AS INTEGER) AS retries FROM r)
 SELECT user_id, event_id, retries, CASE WHEN retries >= 5 THEN 'cpu' ELSE 'gpu' END AS device, round(pow(0.925, least(retries, 10)), 6) AS scale, bool_or(retries > 10) OVER (PARTITION BY user_id ORDER BY event_id) AS failed FROM c""")
