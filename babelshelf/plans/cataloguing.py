@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from babelshelf.catalog import query
 from babelshelf.functions import names, numeric
 from babelshelf.operators import nesting, options
-from babelshelf.plans.lenses import table
+from babelshelf.plans.lenses import select_from, table
 from babelshelf.sources import probe
 
 _EPISODES = "named AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE 'Episode ' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || ' - ' || p_name || ' [S' || lpad(CAST(p_size AS VARCHAR), 2, '0') || 'E' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '].mkv' END AS file_name FROM part)"
@@ -53,15 +53,9 @@ def ignore_filter(spark, sf_dir):
 _NAMES = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'trailer.mp4' WHEN 2 THEN 'Trailer.mkv' WHEN 3 THEN 'TRAILER.mp4' WHEN 4 THEN 'trailer' WHEN 5 THEN '.trailer' WHEN 6 THEN 'trailer.' || p_size || '.mp4' WHEN 7 THEN 'trailer.' ELSE p_name || '.mp4' END AS name FROM part"""
 
 
-def _texts(spark, sf_dir, sql: str, source: str):
-    """Rows of a query that both engines understand, over one table."""
-    table(spark, sf_dir, source).createOrReplaceTempView(f"{source}_for_texts")
-    return spark.sql(sql.replace(f"FROM {source}", f"FROM {source}_for_texts"))
-
-
 @query("trailer_filter", f"SELECT p_partkey, CASE WHEN regexp_full_match(name, '.+\\.[^.]+') THEN regexp_extract(name, '^(.+)\\.[^.]+$', 1) ELSE name END IN ('trailer', 'Trailer') AS trailer FROM ({_NAMES})")
 def trailer_filter(spark, sf_dir):
-    return _texts(spark, sf_dir, _NAMES, "part").select("p_partkey", names.is_trailer(F.col("name"), ["trailer", "Trailer"]).alias("trailer"))
+    return select_from(spark, sf_dir, _NAMES, "part").select("p_partkey", names.is_trailer(F.col("name"), ["trailer", "Trailer"]).alias("trailer"))
 
 
 # Paths of one to five parts, with names that fit their place and names that don't, and what stands there.
@@ -78,7 +72,7 @@ SELECT p_partkey, CASE WHEN problem IS NULL THEN role END AS entity, problem FRO
 
 @query("classify_nesting", _NESTING_SQL)
 def classify_nesting(spark, sf_dir):
-    rows = _texts(spark, sf_dir, _PATHS.replace("p_partkey // 7", "p_partkey div 7"), "part")
+    rows = select_from(spark, sf_dir, _PATHS.replace("p_partkey // 7", "p_partkey div 7"), "part")
     return nesting.classify(rows, ["Extras"], ["trailer"]).select("p_partkey", "entity", "problem")
 
 
@@ -88,10 +82,10 @@ def path_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), names.base_name(path).alias("name"), (F.size(F.split(path, "/")) - 3).cast("long").alias("depth"))
 
 
-@query("safe_index", "SELECT doc_id, CAST(nullif(list_position(string_split(substring(text, 1, 300), ' '), CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'de' ELSE lang END), 0) - 1 AS INTEGER) AS position FROM documents")
+@query("safe_index", "SELECT doc_id, CAST(nullif(list_position(string_split(text, ' '), CASE doc_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'de' ELSE lang END), 0) - 1 AS INTEGER) AS position FROM documents")
 def safe_index(spark, sf_dir):
-    """Where in the first words of a document a word stands first."""
-    words, word = F.split(F.substring("text", 1, 300), " "), F.when(F.col("doc_id") % 3 == 0, "the").when(F.col("doc_id") % 3 == 1, "de").otherwise(F.col("lang"))
+    """Where among the words of a document a word stands first."""
+    words, word = F.split("text", " "), F.when(F.col("doc_id") % 3 == 0, "the").when(F.col("doc_id") % 3 == 1, "de").otherwise(F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", numeric.first_index(words, word).alias("position"))
 
 
@@ -106,7 +100,7 @@ _LANGUAGES = "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'un: Unknown' W
 
 @query("language_default", f"SELECT o_orderkey, CASE WHEN len(string_split(name, ':')) = 2 THEN trim(split_part(name, ':', 1)) = 'un' AND trim(split_part(name, ':', 2)) = 'Unknown' END AS is_default FROM ({_LANGUAGES})")
 def language_default(spark, sf_dir):
-    rows = _texts(spark, sf_dir, _LANGUAGES, "orders").select("o_orderkey", names.language(F.col("name")).alias("l"))
+    rows = select_from(spark, sf_dir, _LANGUAGES, "orders").select("o_orderkey", names.language(F.col("name")).alias("l"))
     return rows.select("o_orderkey", names.is_default(F.col("l.short"), F.col("l.long")).alias("is_default"))
 
 
@@ -132,8 +126,7 @@ _PROBES = f"probes AS (SELECT event_id, CASE event_id % {len(_PROBE_SHAPES) + 1}
 
 
 def _probes(spark, sf_dir):
-    table(spark, sf_dir, "events").select("event_id").createOrReplaceTempView("events_for_probes")
-    return spark.sql(f"WITH {_PROBES.replace('FROM events', 'FROM events_for_probes')} SELECT * FROM probes")
+    return select_from(spark, sf_dir, f"WITH {_PROBES} SELECT * FROM probes", "events")
 
 
 @query("probe_json", f"WITH {_PROBES} SELECT event_id, CAST(json_array_length(raw, '$.streams') AS INTEGER) AS n_streams, json_extract_string(raw, '$.streams[0].codec_type') AS first_type, json_extract_string(raw, '$.format.duration') AS duration FROM probes")

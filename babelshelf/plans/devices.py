@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from babelshelf.catalog import query
 from babelshelf.functions import names, numeric
 from babelshelf.operators import calibration, devices
-from babelshelf.plans.lenses import table
+from babelshelf.plans.lenses import select_from, table
 
 _DEVICES = """devices AS (SELECT p_partkey AS ord, p_name AS name, 'id' || p_partkey % 500 AS unique_id, CASE CAST(right(p_brand, 1) AS INTEGER) % 3 WHEN 0 THEN 'nvidia' WHEN 1 THEN 'amd' ELSE 'intel' END AS vendor,
 CASE WHEN p_size % 4 = 0 THEN 'integrated' ELSE 'dedicated' END AS type, CASE WHEN p_partkey % 11 <> 0 THEN p_partkey END AS memory_amount, CASE WHEN p_partkey % 13 <> 0 THEN p_size END AS num_compute_units, CAST(p_partkey % 3 + 1 AS INTEGER) AS priority FROM part)"""
@@ -89,8 +89,7 @@ _HEX = "CAST(nullif('0x' || regexp_extract(topology, '^([0-9a-fA-F]+):([0-9a-fA-
 
 @query("pci_parse", f"SELECT p_partkey AS ord, {_HEX.format(1)} AS domain, {_HEX.format(2)} AS bus, {_HEX.format(3)} AS device, CASE WHEN {_HEX.format(1)} IS NOT NULL THEN coalesce({_HEX.format(5)}, 0) END AS function FROM ({_TOPOLOGIES})")
 def pci_parse(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part_for_topologies")
-    rows = spark.sql(_TOPOLOGIES.replace("FROM part)", "FROM part_for_topologies)"))
+    rows = select_from(spark, sf_dir, _TOPOLOGIES, "part")
     return rows.select(F.col("p_partkey").alias("ord"), *numeric.parse_pci(F.col("topology")))
 
 

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def select_from(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFrame:
+    """Rows of a query that both engines understand, over one table; no view stays behind."""
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {source}", f"FROM {{{source}}}")
+    return spark.sql(text, **{source: table(spark, sf_dir, source)})
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, segment, language, p, ord): a user is a file, some hours a segment, an event type a language."""
     hours = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))

@@ -240,12 +240,30 @@ _TAGGED = """tagged AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"provid
 WHEN 2 THEN '{"provider":"tmdb","data":{"metadata_type":"episode","episode_number":' || user_id || '}}' WHEN 3 THEN '{"provider":"tmdb","data":{"metadata_type":"skip","reason":"x"}}' WHEN 4 THEN '{"provider":"other","data":{"metadata_type":"series"}}' ELSE '{"provider":"tmdb","data":{"metadata_type":"odd"}}' END AS metadata FROM events)"""
 
 
+def _tagged(spark, sf_dir):
+    return lenses.select_from(spark, sf_dir, f"WITH {_TAGGED} SELECT * FROM tagged", "events")
+
+
 @query("metadata_dispatch", f"""WITH {_TAGGED} SELECT event_id, CASE WHEN event_id % 6 < 4 THEN json_extract_string(metadata, '$.data.metadata_type') END AS kind, CAST(CASE event_id % 6 WHEN 0 THEN json_extract_string(metadata, '$.data.series_id') WHEN 1 THEN json_extract_string(metadata, '$.data.season_number') WHEN 2 THEN json_extract_string(metadata, '$.data.episode_number') END AS INTEGER) AS number,
 CASE event_id % 6 WHEN 4 THEN 'unknown provider' WHEN 5 THEN 'unknown metadata_type' END AS error FROM tagged""")
 def metadata_dispatch(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events_for_dispatch")
-    tagged = spark.sql(f"WITH {_TAGGED.replace('FROM events', 'FROM events_for_dispatch')} SELECT * FROM tagged")
-    return lookup.dispatched(tagged).select("event_id", "kind", "number", "error")
+    return lookup.dispatched(_tagged(spark, sf_dir)).select("event_id", "kind", "number", "error")
+
+
+@query("metadata_unknown", f"""WITH {_TAGGED} SELECT json_extract_string(metadata, '$.provider') AS provider, json_extract_string(metadata, '$.data.metadata_type') AS kind, count(*) AS n, 'OBJECT<data: OBJECT<metadata_type: STRING>, provider: STRING>' AS shape FROM tagged WHERE event_id % 6 > 3 GROUP BY ALL""")
+def metadata_unknown(spark, sf_dir):
+    return lookup.unknown(_tagged(spark, sf_dir))
+
+
+@query("scan_observed", _WITH + "SELECT true AS success, count(*) FILTER (status = 'ok') AS n FROM hierarchy UNION ALL SELECT false, count(*) FILTER (status <> 'ok') FROM hierarchy")
+def scan_observed(spark, sf_dir):
+    """The counts of ``scan_summary``, taken while the rows are written."""
+    from babelshelf.operators import progress
+    from babelshelf.storage import shared_path
+
+    rows = lenses.hierarchy(spark, sf_dir).withColumn("ok", F.col("status") == "ok")
+    found = progress.written(rows, shared_path(spark, "observed"), {"good": F.count_if("ok"), "bad": F.count_if(~F.col("ok"))})
+    return spark.createDataFrame([(True, found["good"]), (False, found["bad"])], "success boolean, n long")
 
 
 @query("json_roundtrip", _WITH + "SELECT collection, series, season, episode, language, CASE status WHEN 'ok' THEN 'ok' ELSE 'missing' END AS status FROM hierarchy")

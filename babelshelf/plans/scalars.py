@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from babelshelf.catalog import query
 from babelshelf.functions import duration, numeric
-from babelshelf.plans.lenses import table
+from babelshelf.plans.lenses import select_from, table
 
 # Each is a query that both engines understand: o_orderkey and values or texts of many shapes, right ones, wrong ones, nulls.
 SECONDS = "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 7919 % 200003 AS INTEGER) END AS x FROM orders"
@@ -23,8 +23,7 @@ PAIRS = "SELECT o_orderkey, o_orderkey * 7919 % 200003 - 50000 AS a, o_orderkey
 
 
 def _read(spark, sf_dir, sql: str):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_for_scalars")
-    return spark.sql(sql.replace("FROM orders", "FROM orders_for_scalars"))
+    return select_from(spark, sf_dir, sql, "orders")
 
 
 @query("ts_from_seconds", f"SELECT o_orderkey, x, CAST(x AS DOUBLE) AS seconds, x = 0 AS is_zero FROM ({SECONDS})")
