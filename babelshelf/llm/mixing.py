@@ -2,9 +2,10 @@
 
 Each document of a source starts with the same inclusion probability. The flight moves the probabilities of three
 open documents at a time along the direction that keeps both the number of documents and the number of words
-(the null space of the two constraints) until one of them is 0 or 1. It runs in chunks of bounded size, the at
-most two documents that a chunk leaves open meet those of other chunks in the next round, and the last two of a
-source are rounded so that its words come nearest to the aim (the landing).
+(the null space of the two constraints) until one of them is 0 or 1. It runs in chunks of bounded size. The at
+most two documents that a chunk leaves open, and a few that it spares, meet those of other chunks in the next round. The
+last two of a source are rounded, and up to three documents of its last chunk change sides, so that the words come
+nearest to the aim while the documents stay within two of theirs (the landing).
 """
 
 from __future__ import annotations
@@ -24,7 +25,11 @@ SHARE = 1.5
 MOST = 2.0
 #: Mean rows of a chunk in the first round, and chunks that meet in one of the next round (two rows from each).
 CHUNK_ROWS = 2_000
-FAN_IN = 500
+FAN_IN = 50
+#: Documents of a chunk that stay out of its flight for the next round, so that the last one has sizes to choose from.
+SPARED = 38
+#: Documents among which the landing looks for such as change sides, and for three at once.
+LAND_ROWS, LAND_THREES = 300, 60
 #: A chunk of more than so many times the mean is parted further; but for rows that repeat there is none.
 OVERFULL = 4
 EPSILON = 1e-9
@@ -53,10 +58,14 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return best.select("source", "n", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
 
 
-def fly(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
-    """Probabilities after the flight: at most two are neither 0 nor 1; sums of prob and prob * size are kept."""
+def fly(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator, spared: int = 0) -> np.ndarray:
+    """Probabilities after the flight: at most two are neither 0 nor 1, and the last ``spared``, which stay as they are.
+
+    The sums of prob and of prob * size are kept.
+    """
     p, s, done = prob.tolist(), size.tolist(), 0
     todo = [i for i, x in enumerate(p) if EPSILON < x < 1 - EPSILON]
+    todo = todo[: max(0, len(todo) - spared)]
     held: list[int] = []
     while True:
         while len(held) < 3 and done < len(todo):
@@ -80,22 +89,53 @@ def fly(prob: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.nd
 
 
 def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the open probabilities (at most two) so that the words are nearest to their aim, then the documents."""
+    """Rounds the open probabilities (at most two) so that words, then documents, are nearest to their aim, and mends what is left."""
     at = np.flatnonzero((prob > 0) & (prob < 1))
     aim = float(prob[at] @ size[at])
     choices = [[(k >> j) & 1 for j in range(len(at))] for k in range(1 << len(at))]
     out = prob.copy()
     if len(at):
         out[at] = min(choices, key=lambda c: (abs(float(np.dot(c, size[at])) - aim), abs(sum(c) - prob[at].sum()), c))
+        for i in changing(np.where(out > 0, -size, size), np.where(out > 0, -1, 1), float((prob - out) @ size), float((prob - out).sum())):
+            out[i] = 1 - out[i]
     return out
 
 
+def changing(words: np.ndarray, documents: np.ndarray, lack: float, lack_documents: float) -> list[int]:
+    """At most three places whose changes come nearest to ``lack``, the fewest of these, without taking documents out of balance.
+
+    All singles and pairs of a bounded number of places are looked at, those with the fewest words and those nearest to
+    the lack or its half, and all threes if there are not many.
+    """
+    at = np.arange(len(words))
+    if len(at) > LAND_ROWS:
+        nearest = [np.argsort(np.abs(np.abs(words) - abs(lack) * part), kind="stable")[: LAND_ROWS // 3] for part in (0, 0.5, 1)]
+        at = np.unique(np.concatenate(nearest))
+    w, d = words[at], documents[at]
+    best, chosen = abs(lack), []
+    room = max(2.0, abs(lack_documents))
+    sums, counts, sets = w, d, np.arange(len(at))[:, None]
+    for size in (1, 2, 3):
+        if size > 1:
+            if len(at) > (LAND_ROWS, LAND_THREES)[size - 2]:
+                break
+            first, more = np.nonzero(sets[:, -1, None] < np.arange(len(at)))
+            sums, counts, sets = sums[first] + w[more], counts[first] + d[more], np.c_[sets[first], more]
+        if not len(sets):
+            break
+        off = np.where(np.abs(lack_documents - counts) <= room, np.abs(lack - sums), np.inf)
+        k = int(off.argmin())
+        if off[k] < best - EPSILON:
+            best, chosen = off[k], at[sets[k]].tolist()
+    return chosen
+
+
 def _round(last: bool):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("__order", "ascending"), ("__row", "ascending")])
+        rows = rows.sort_by([("__order", "ascending"), ("__tie", "ascending"), ("__row", "ascending")])
         seed = zlib.crc32(repr((rows.column("source")[0].as_py(), rows.column("__chunk")[0].as_py(), rows.column("__part")[0].as_py())).encode())
         size = rows.column("size").to_numpy().astype(float)
-        prob = fly(rows.column("__prob").to_numpy(), size, np.random.default_rng(seed))
+        prob = fly(rows.column("__prob").to_numpy(), size, np.random.default_rng(seed), 0 if last else SPARED)
         at = rows.schema.get_field_index("__prob")
         return rows.set_column(at, "__prob", pa.array(land(prob, size) if last else prob))
 
@@ -121,11 +161,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     ``size`` is the number of words, ``copies`` how often the mix takes the row, ``taken`` the words so taken. A
     null source is a source of its own, null texts have no words. Rows count one by one, also when they repeat.
-    The order of flight is that of a hash of doc_id and size, so a rerun takes the same; rows equal in both that
-    overfill a chunk are dealt to several. An empty table gives an empty result. A kept column named like the result's
+    The order of flight is that of hashes of doc_id and size, then of the text and what is kept, so a rerun takes the
+    same, however rows are dealt to files; rows equal in both that overfill a chunk are dealt to several. An empty table gives an empty result. A kept column named like the result's
     gets ``_in`` added; other columns are ignored.
     """
-    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), *carried(keep)), "sizes")
+    tie = F.xxhash64("doc_id", "text", *(F.col(f"`{c}`") for c in keep)).alias("__tie")
+    rows = cut(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("__row"), tie, *carried(keep)), "sizes")
     targets = cut(source_targets(rows, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     priced = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "n", rate.alias("__rate"))

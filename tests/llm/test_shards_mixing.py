@@ -67,22 +67,62 @@ def test_mix(request, table, chunk_rows):
     target = brute_targets(dict(sizes))
     found = mixing.mix(df, keep=("source",), chunk_rows=chunk_rows).collect()
     got = defaultdict(list)
-    taken, copies, largest = Counter(), Counter(), Counter()
+    taken, copies, by_source = Counter(), Counter(), defaultdict(list)
     for r in found:
         got[r.doc_id].append(r.size)
         taken[r.source] += r.taken
         copies[r.source] += r.copies
-        largest[r.source] = max(largest[r.source], r.size)
+        by_source[r.source].append(r.size)
         assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, r.target)
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 2
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_id.items()}
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= largest[s]
-        assert abs(copies[s] - (target[s] / sizes[s] * count[s] if sizes[s] else 0)) <= 2
+        assert near(taken[s], target[s], by_source[s])
+        assert abs(copies[s] - (target[s] / sizes[s] * count[s] if sizes[s] else 0)) <= 4
     again = mixing.mix(df.repartition(3), keep=("source",), chunk_rows=chunk_rows).collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in found)
 
 
+def near(taken, target, sizes):
+    """Within a hundredth, or half of the largest document where that is much of the target."""
+    largest = max(sizes, default=0)
+    return abs(taken - target) <= max(target / 100, largest / 2 if largest > target / 20 else 0, 1)
+
+
+def test_every_source_comes_near_its_target(spark):
+    """At sf0.01 each source has 50 documents, some with one of a third of its words."""
+    found = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), keep=("source",))
+    rows = found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(rows) == 20 and all(abs(r.taken - r.target) <= r.target / 1000 for r in rows)
+
+
+def test_landing_is_as_near_as_the_best_subset():
+    """Ten documents, one far larger than the others: enumeration of all subsets is hardly better."""
+    rng = np.random.default_rng(3)
+    for k in range(40):
+        size = np.r_[rng.integers(1, 60, 9), 5000.0].astype(float)
+        prob = np.full(10, 0.4)
+        landed = mixing.land(mixing.fly(prob, size, np.random.default_rng(k)), size)
+        aim = prob @ size
+        errors = sorted(abs(sum(size[i] for i in range(10) if s >> i & 1) - aim) for s in range(1024))
+        assert abs(landed @ size - aim) <= max(errors[0] * 1.1, size[:9].min())
+
+
+def test_changing_keeps_documents_in_balance():
+    words, documents = np.array([10.0, 20.0, -30.0, 5.0, 7.0]), np.array([1, 1, -1, 1, 1])
+    assert mixing.changing(words, documents, 0.0, 0.0) == [] and mixing.changing(words, documents, 30.0, 0.0) == [0, 1]
+    assert mixing.changing(words, documents, 35.0, 0.0) in ([0, 1], [1, 4]) and mixing.changing(words, documents, 35.0, 1.0) == [0, 1, 3]
+    assert mixing.changing(words, documents, -3.0, 0.0) == [1, 2, 4] and mixing.changing(words[:0], documents[:0], 9.0, 0.0) == []
+
+
+def test_reruns_agree_on_rows_of_equal_size(spark):
+    """Rows that are equal in id and size are taken by their text, not by the file that they are in."""
+    rows = [(k % 3, f"{'abc'[k % 3]} word {k}", "s") for k in range(90)]
+    first, again = (spark.createDataFrame(r, "doc_id long, text string, source string").repartition(n) for r, n in ((rows, 2), (rows[::-1], 7)))
+    found = [Counter(map(tuple, mixing.mix(df, weights=(1,), share=0.5, keep=("text",)).select("text", "copies").collect())) for df in (first, again)]
+    assert found[0] == found[1] and set(x for _, x in found[0]) == {0, 1}
+
+
 def test_flight_keeps_both_sums():
     rng = np.random.default_rng(1)
     size = rng.integers(0, 500, 4000).astype(float)
@@ -109,13 +149,13 @@ def test_equal_rows_do_not_overfill_a_chunk(spark):
     state = df.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(20))).withColumn("__row", F.monotonically_increasing_id())
     parted, most = mixing.chunked(state, 100)
     assert most >= 30 and parted.count() == 5700 and parted.groupBy("source", "__chunk", "__part").count().agg(F.max("count")).first()[0] <= 450
-    sums, target, largest = Counter(), {}, Counter()
+    sums, target, by_source = Counter(), {}, defaultdict(list)
     for r in mixing.mix(df, keep=("source",), chunk_rows=50).collect():
         sums[r.source] += r.taken
         target[r.source] = r.target
-        largest[r.source] = max(largest[r.source], r.size)
+        by_source[r.source].append(r.size)
         assert 0 <= r.copies <= 2
-    assert all(abs(sums[s] - target[s]) <= largest[s] for s in target)
+    assert all(near(sums[s], target[s], by_source[s]) for s in target)
 
 
 def test_mix_empty(none):
