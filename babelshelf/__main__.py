@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from babelshelf.sources import listing
 
-        entries = nesting.levels(listing.files(spark, args.root))
+        entries = listing.walked(spark, args.root).where("NOT ignored AND error IS NULL")
         nesting.classify(entries.select("path", "kind"), args.special, args.trailer).orderBy(F.split("path", "/")).show(1000, truncate=False)
     return 0
 

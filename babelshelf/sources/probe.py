@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from babelshelf.functions import numeric
 
+#: Fixed value: what callers are told of a path without a file.
+NO_FILE = "File doesn't exist"
 SCHEMA = "streams array<struct<codec_type:string,codec_name:string,duration:string>>, format struct<duration:string>"
 
 
@@ -24,7 +26,7 @@ def available(command: str = "ffprobe") -> bool:
 def probe_file(path: str, command: str = "ffprobe") -> tuple[str | None, str | None]:
     """(JSON, None) or (None, error)."""
     if not Path(path).exists():
-        return None, "File doesn't exist"
+        return None, NO_FILE
     done = subprocess.run([command, "-v", "error", "-show_streams", "-show_format", "-of", "json", path], capture_output=True, text=True)
     if done.returncode:
         return None, done.stderr.strip()
