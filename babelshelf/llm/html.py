@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from babelshelf.llm.common import beside
+from babelshelf.llm.styles import Styles
 
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/(?![a-zA-Z])|(/?)([a-zA-Z][^\s/>]*))")
 _COMMENT_END = re.compile(r"--!?>")
@@ -57,6 +58,8 @@ _BLOCK = _SPACED | frozenset("html body div section article aside header footer
 #: Start tags that end an open p.
 _ENDS_P = (_SPACED | frozenset("address article aside details dialog div footer form header main menu nav section center dir hgroup search figcaption summary dd dt li".split())) - {"caption"}
 _LISTS = ("ul", "ol", "menu", "dir")
+#: Inputs that show their value as a label.
+_LABELLED = ("submit", "reset", "button")
 #: The standard's limits of spans.
 MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 #: Lists further in than this are set at this column.
@@ -112,12 +115,13 @@ class Frame:
 
 
 class Element:
-    __slots__ = ("tag", "foreign", "hides", "seen", "drawn", "shut", "frame", "rows", "group", "number", "mark", "columns", "n_rows", "gone")
+    __slots__ = ("tag", "foreign", "hides", "seen", "drawn", "shut", "frame", "rows", "group", "number", "step", "kind", "mark", "columns", "n_rows", "gone", "sheet")
 
     def __init__(self, tag: str, drawn: bool, foreign: bool = False):
         self.tag, self.drawn, self.foreign = tag, drawn, foreign
-        self.hides, self.shut, self.gone = 0, False, False
-        self.seen = self.frame = self.rows = self.number = self.mark = None
+        self.hides, self.shut, self.gone, self.sheet = 0, False, False, False
+        self.seen = self.frame = self.rows = self.number = self.mark = self.kind = None
+        self.step = 1
         self.columns = self.n_rows = 1
         self.group = 0
 
@@ -173,25 +177,42 @@ def aligned(rows: list[tuple[int, list[tuple[list[str], int, int]]]], budget: in
     return out, max(budget, -1)
 
 
-def declared(style: str) -> dict[str, str]:
-    """The properties of a style attribute; of equal ones the last holds, unless an earlier one is important."""
-    found: dict[str, str] = {}
-    important = set()
-    for part in re.sub(r"/\*.*?(?:\*/|$)", " ", style.lower(), flags=re.S).split(";"):
-        name, _, value = part.partition(":")
-        name, value = name.strip(), value.strip()
-        if value.endswith("important") and value[:-9].rstrip().endswith("!"):
-            important.add(name)
-            found[name] = value[:-9].rstrip()[:-1].rstrip()
-        elif name not in important and value:
-            found[name] = value
+def letters(n: int) -> str:
+    """a to z, aa and so on; a number that has none stays as it is."""
+    found, rest = "", n
+    while rest > 0:
+        rest, k = divmod(rest - 1, 26)
+        found = chr(97 + k) + found
+    return found or str(n)
+
+
+def roman(n: int) -> str:
+    if not 0 < n < 4000:
+        return str(n)
+    digits = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+    found = ""
+    for value, text in digits:
+        found += text * (n // value)
+        n %= value
     return found
 
 
+#: How the items of an ordered list are numbered, by its type.
+NUMBERS = {"a": letters, "A": lambda n: letters(n).upper(), "i": roman, "I": lambda n: roman(n).upper()}
+
+
 class Renderer:
-    """Builds the open elements of one page and collects its text."""
+    """Builds the open elements of one page and collects its text.
 
-    def __init__(self, size: int):
+    ``styles`` are those of the whole page, ``items`` the numbers of items of its ordered lists; both come from an earlier
+    pass over it, if it needs them.
+    """
+
+    def __init__(self, size: int, styles: Styles | None = None, items: list[int] | None = None):
+        self.styles, self.items = styles or Styles([]), items
+        #: What this pass finds: the texts of style elements, and each ordered list's number of items.
+        self.sheets: list[str] = []
+        self.counted: list[int] = []
         self.page = Frame()
         self.stack = [Element("", True)]
         #: Places in the stack of the open elements by name, of those that bound an implied end, and of all that are special.
@@ -334,7 +355,10 @@ class Renderer:
         elif tag in _HEADINGS and self.stack[-1].tag in _HEADINGS or tag == top == "option":
             self.close()
         elif tag == "optgroup" and top in ("option", "optgroup"):
-            self.close_to(self.last(frozenset(("optgroup",))) or len(self.stack) - 1)
+            if top == "option":
+                self.close()
+            if self.at["select"] and self.stack[-1].tag == "optgroup":
+                self.close()
         elif tag == "table" and top in _TABLE_TOPS:
             self.close_to(self.at["table"][-1])
         elif tag in ("a", "nobr") and self.at[tag]:
@@ -371,7 +395,8 @@ class Renderer:
                 found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
                 end = m.end()
         e = Element(tag, tag != "svg" and (up.drawn or tag in ("text", "foreignobject")), foreign)
-        style = declared(unescape(found["style"])) if "style" in found else {}
+        looks = {k: unescape(found[k]) for k in ("style", "class", "id") if k in found}
+        style = self.styles.of(tag, looks) if looks or self.styles.by_key else {}
         # Of a drawing, only text elements and embedded HTML show their text, each on a line of its own.
         e.hides = int("hidden" in found or style.get("display") == "none" or tag in _HIDDEN or tag == "dialog" and "open" not in found or tag in _UNDRAWN and bool(self.at["svg"]))
         # What closed details hold is hidden, but for their summary.
@@ -379,15 +404,17 @@ class Renderer:
         if (foreign or tag in ("svg", "math")) and attributes.endswith("/") and end < len(attributes):
             return
         shown, frame = not self.hiding + e.hides and e.drawn, self.frames[-1]
+        seen = self.seen[-1].seen if style.get("visibility", "inherit") == "inherit" else style["visibility"] not in ("hidden", "collapse")
         if tag in _VOID:
             if shown and tag == "br":
                 frame.line_end()
             elif shown and tag == "hr":
                 frame.space(2)
+            elif shown and seen and tag == "input" and found.get("type", "").strip().lower() in _LABELLED:
+                frame.line.append(f" {unescape(found.get('value', ''))} ")
             return
-        visible = style.get("visibility")
-        if visible is not None and visible != "inherit":
-            e.seen = visible not in ("hidden", "collapse")
+        if style.get("visibility", "inherit") != "inherit":
+            e.seen = seen
             self.seen.append(e)
         self.hiding += e.hides
         if foreign:
@@ -408,21 +435,34 @@ class Renderer:
                 if tag == "tr" and shown:
                     table.rows.append((table.group, []))
         elif tag == "ol":
-            e.number = int(found["start"]) - 1 if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", found.get("start", "")) else 0
+            e.step = -1 if "reversed" in found else 1
+            first = int(found["start"]) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", found.get("start", "")) else None
+            if first is None:
+                first = self.items[len(self.counted)] if "reversed" in found and self.items else 1
+            e.number = first - e.step
+            e.kind, e.group = found.get("type", "").strip(), len(self.counted)
+            self.counted.append(0)
         elif tag == "details":
             e.shut = "open" not in found
             self.hiding += e.shut
         elif tag == "pre":
             self.pre += 1
+        elif tag == "style":
+            e.sheet = found.get("media", "").strip().lower() in ("", "all", "screen") and found.get("type", "").strip().lower() in ("", "text/css")
         if shown and (tag in _BLOCK or not up.drawn) and e.rows is None:
             self.space(tag)
         if tag == "li" and shown and not foreign and self.seen[-1].seen:
             parent = self.stack[max((self.at[x][-1] for x in _LISTS if self.at[x]), default=0)]
             if parent.tag == "ol":
                 value = found.get("value", "").strip()
-                parent.number = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else parent.number + 1
-            e.mark = f"{parent.number}. " if parent.tag == "ol" else "- "
+                parent.number = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else parent.number + parent.step
+                self.counted[parent.group] += 1
+                number = NUMBERS.get(found.get("type", "").strip() or parent.kind, str)(parent.number)
+            e.mark = f"{number}. " if parent.tag == "ol" else "- "
             frame.marks.append(e.mark)
+        elif tag == "optgroup" and shown and not foreign and self.seen[-1].seen:
+            frame.line.append(unescape(found.get("label", "")))
+            frame.space(1)
         self.push(e)
         if e.frame is not None:
             self.frames.append(e.frame)
@@ -474,12 +514,28 @@ class Renderer:
 def visible_text(html: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty string.
 
-    Hidden are elements that a browser with scripts hides by default, by ``hidden`` or by ``display`` and
-    ``visibility`` in a style attribute; style sheets are not applied. A closed ``select`` shows all its options.
-    A tag that the page's end cuts off ends at its first ``>``; without any it is text.
+    Hidden are elements that a browser with scripts hides by default, by ``hidden`` or by ``display`` and ``visibility`` in a
+    style attribute or in the page's own style elements (see ``styles``). A closed ``select`` shows all its options and
+    the labels of their groups, a button-like input its value. A tag that the page's end cuts off ends at its first ``>``;
+    without any it is text. Pages with style elements that may hide something, or with lists that count down, are read twice.
     """
     html = (html or "").replace("\0", "")
-    page, at, begin, cut_off = Renderer(len(html)), 0, 0, False
+    styles = items = None
+    if _TWICE.search(html):
+        first = rendered(html, Renderer(len(html)))
+        styles = Styles(first.sheets)
+        if "reversed" in html.lower():
+            items = rendered(html, Renderer(len(html), styles)).counted
+    return rendered(html, Renderer(len(html), styles, items)).finish()
+
+
+#: What a page holds that is only known at its end.
+_TWICE = re.compile(r"<style[\s/>]|\breversed\b", re.I)
+
+
+def rendered(html: str, page: Renderer) -> Renderer:
+    """Reads a page into ``page``."""
+    at, begin, cut_off = 0, 0, False
     while m := _OPEN.search(html, at):
         at, rest = m.start(), None
         if html.startswith("<!--", at):
@@ -522,11 +578,13 @@ def visible_text(html: str | None) -> str:
         if tag in _RAW and page.stack[-1].tag == tag and not page.stack[-1].foreign:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             stop = close.start() if close else len(html)
+            if tag == "style" and page.stack[-1].sheet:
+                page.sheets.append(html[at:stop])
             page.text(html[at:stop])
             begin = at = stop
     if begin < len(html):
         page.text(html[begin:])
-    return page.finish()
+    return page
 
 
 @F.pandas_udf(T.StringType())

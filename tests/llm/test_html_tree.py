@@ -22,9 +22,11 @@ BREAKS_OUT = "b blockquote body br center div dl dd dt em h1 h2 h3 head hr i img
 
 
 class Tree:
-    def __init__(self, page):
-        self.page, self.i, self.stack, self.words = page, 0, [], Counter()
+    def __init__(self, page, sheets=None):
+        self.page, self.i, self.stack, self.words, self.found, self.sheets = page, 0, [], Counter(), [], sheets or []
         self.read()
+        if sheets is None and self.found:  # sheets hold for what stands before them, too
+            self.words = Tree(page, self.found).words
 
     def read(self):
         page, text = self.page, ""
@@ -103,6 +105,8 @@ class Tree:
         if name in RAW and len(self.stack) and self.stack[-1]["tag"] == name and not self.stack[-1]["foreign"] and (len(self.stack) > before or name == "title"):
             m = re.compile(rf"</{name}[\s/>]", re.I).search(page, self.i)
             stop = m.start() if m else len(page)
+            if name == "style" and attributes.get("media", "all") == "all":
+                self.found.append(page[self.i : stop])
             self.text(page[self.i : stop])
             self.i = stop
 
@@ -173,23 +177,64 @@ class Tree:
                     self.cut(self.place(("p",), SCOPE + ["button"]))
                 if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.top()) or tag == self.top() == "option":
                     self.stack.pop()
+                if tag == "optgroup" and self.top() == "option":
+                    self.stack.pop()
+                if tag == "optgroup" and self.top() == "optgroup" and "select" in [e["tag"] for e in self.stack]:
+                    self.stack.pop()
                 if tag == "table" and self.top() in ("table", "tbody", "thead", "tfoot", "tr", "colgroup"):
                     self.cut(self.place(("table",)))
                 if tag == "a":
                     self.end("a")
                 if tag == "button":
                     self.cut(self.place(("button",), SCOPE))
-        style = dict((x.split(":")[0].strip(), x.split(":")[1].strip()) for x in attributes.get("style", "").lower().split(";") if ":" in x)
+        style = self.style(tag, attributes)
         hides = (
             "hidden" in attributes or style.get("display") == "none" or tag in HIDDEN
             or tag == "dialog" and "open" not in attributes or tag in ("desc", "defs") and any(e["tag"] == "svg" for e in self.stack)
         )
         hides -= bool(self.stack) and self.stack[-1]["shut"] and tag == "summary"
+        seen = style.get("visibility")
+        if tag == "input" and attributes.get("type") in ("submit", "button"):
+            self.stack.append({"tag": tag, "hides": hides, "seen": None if seen is None else seen == "visible", "shut": False, "foreign": False})
+            self.text(attributes.get("value", ""))
+            self.stack.pop()
         if (foreign or tag in ("svg", "math")) and closed or tag in VOID:
             return
-        seen = style.get("visibility")
         self.stack.append({"tag": tag, "hides": hides, "seen": None if seen is None else seen == "visible", "shut": tag == "details" and "open" not in attributes and not foreign, "foreign": foreign})
 
+        if tag == "optgroup" and not foreign:
+            self.text(attributes.get("label", ""))
+
+    def style(self, tag, attributes):
+        """All declarations that hold, in a list, from which the strongest of each property is taken."""
+        held = []
+        for sheet in self.sheets:
+            text = re.sub(r"/\*.*?\*/", " ", re.sub(r"@(?:media print|supports)[^{]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", " ", sheet))
+            text = re.sub(r"@media all\s*\{((?:[^{}]*\{[^{}]*\})*)\s*\}", r"\1", re.sub("@import[^;]*;", " ", text)) + "}" * (text.count("{") - text.count("}"))
+            for selectors, block in re.findall(r"([^{}]*)\{([^{}]*)\}", text):
+                for selector in selectors.split(","):
+                    parts = re.findall(r"[.#]?[\w-]+|\*", selector)
+                    if "".join(parts) != selector.strip() or not parts:
+                        continue
+                    fits = all(
+                        x == "*" or (x[0] == "." and x[1:] in attributes.get("class", "").split()) or (x[0] == "#" and x[1:] == attributes.get("id")) or x == tag
+                        for x in parts
+                    )
+                    if fits:
+                        weight = (sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), sum(x[0] not in ".#*" for x in parts))
+                        held += [((0, *weight), *x) for x in self.declarations(block)]
+        held += [((1, 0, 0, 0), *x) for x in self.declarations(attributes.get("style", ""))]
+        out = {}
+        for _, _, name, value in sorted(((important, weight), k, name, value) for k, (weight, important, name, value) in enumerate(held)):
+            out[name] = value
+        return out
+
+    def declarations(self, block):
+        for part in block.lower().split(";"):
+            if ":" in part:
+                name, value = part.split(":")[:2]
+                yield "!" in value, name.strip(), value.split("!")[0].strip()
+
     def end(self, tag):
         if tag in ("br", "p"):
             while self.foreign():
@@ -228,8 +273,13 @@ def test_all_pages(spark, sf):
         assert {w: n for w, n in got.items() if not digits.fullmatch(w)} == {w: n for w, n in want.items() if not digits.fullmatch(w)}
 
 
-TAGS = "html head body title style script noscript template p div span section h1 h2 ul ol li dl dt dd table caption colgroup tbody thead tr td th a b i em button form select option details summary dialog pre textarea br img hr svg g text defs foreignobject math mi object".split()
+TAGS = "html head body title style script noscript template p div span section h1 h2 ul ol li dl dt dd table caption colgroup tbody thead tr td th a b i em button form select option optgroup details summary dialog pre textarea br img hr svg g text defs foreignobject math mi object".split()
+SHEETS = [
+    ".x{display:none}", "p#z, b{visibility:hidden}", ".y.x{display:block!important} .x { display : none }", "@media print{b{display:none}} i{display:none}", "i > b{display:none} .y{visibility:visible}", "/* p{display:none} */ #z{display:none;}", "@media all{li{display:none}}",
+    "*{visibility:hidden} .x{visibility:visible!important}", "div{display:none !important}", "span.y{color:red;display:none", "@import 'a'; em{display:none}", "p{display:none}p{display:block}", ".x, b > i, .y { visibility: hidden }",
+]
 ATTRIBUTES = [
+    " class=x", " class='x y'", " class=y id=z", " id=z", " class=y style='display:block'", " id=z style='visibility:visible!important'",
     "", "", "", "", "", " hidden", " class=x", " style='display:none'", ' style="color:red; display : none"', " style=visibility:hidden", " style='visibility:visible'", " open", " title=don't", " title='a>b'", ' title="it\'s"', " =x", " a=\"'\" b",
     " data-x=a/", " hidden=no hidden", " colspan=2", " rowspan=2", " style=display&#58;none", " Title = 'x' HIDDEN", " a='x'hidden", " /", "/",
 ]
@@ -247,6 +297,11 @@ def odd_page(dice):
             parts.append(dice.choice(OTHERS))
         else:
             tag = dice.choice(TAGS)
+            if dice.random() < 0.12:
+                n += 1
+                sheet = dice.choice(SHEETS)
+                parts.append(dice.choice([f"<optgroup label=w{n}>", f"<input type=submit value='w{n}'>", f"<input type=text value=w{n}>", f"<style>{sheet}</style>", f"<style media=print>{sheet}</style>", f"<input type=button class=x value=w{n}>"]))
+                continue
             if tag in ("title", "style", "script", "textarea") and dice.random() < 0.9:
                 n += 1
                 parts.append(f"<{tag}> w{n} <b> </{tag.upper()}\n>")
@@ -278,6 +333,10 @@ def test_generated_pages():
         ("<table><tr><td rowspan=0>A<td>1<tr><td>2<tbody><tr><td>3<td>4</table>", "A  1\n   2\n3  4"), ("<table><tr><td rowspan=9 colspan=2>A<td>1<tr><td>2<tr><td>3</table>", "A  1\n   2\n   3"),
         ("<table><tr><td>" + "w" * 70 + "<td>x<tr><td>a<td>y</table>", "w" * 70 + "  x\na" + " " * 71 + "y"), ("<table><tr><td colspan=900>a<td>b<tr><td>c<td colspan=899>d<td>e</table>", "a     b\nc  d  e"),
         ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"), ("<ul><li><ul><li>x</ul>y</ul>", "- - x\n  y"), ("<ul><li>a<table><tr><td>b<td>c<tr><td>dd<td>e</table></ul>", "- a\n\n  b   c\n  dd  e"),
+        ("<select><optgroup label='One &amp; two'><option>a<option>b</optgroup><optgroup label=Three><option>c</select>", "One & two\na\nb\nThree\nc"), ("<p>x<input type=submit value=Send><input value=no><input type=RESET value=Clear></p>", "x Send Clear"), ("<p hidden><input type=submit value=x></p><input type=submit style='visibility:hidden' value=y>z", "z"),
+        ("<ol type=A><li>a<li value=28>b<li>c</ol>", "A. a\nAB. b\nAC. c"), ("<ol type=i start=3><li>a<li type=I>b<li type=1>c</ol>", "iii. a\nIV. b\n5. c"), ("<ol reversed><li>a<li hidden>x<li>b<ol reversed start=9><li>c<li>d</ol></ol>", "2. a\n1. b\n   9. c\n   8. d"), ("<ol type=a start=-1><li>a<li>b<li>c</ol>", "-1. a\n0. b\na. c"),
+        ("<ol reversed><li>a<li value=7>b<li>c</ol><ol><li>d</ol>", "3. a\n7. b\n6. c\n\n1. d"), ("<p class=h>x</p><p>y</p><style>.h{display:none}</style>", "y"), ("<style>.h{display:none}</style><p class='h g' style='display:block'>x", "x"), ("<style>.h{display:none!important}</style><p class='h g' style='display:block'>x</p>y", "y"),
+        ("<style>a::before{content:'}'} .h{display:none}</style><p class=h>x</p>y", "y"), ("<style>.a{color:red; .h{display:none}} .a{display:none}</style><b class=h>x</b><b class=a>y</b>", "x"), ("<style type=text/x>.h{display:none}</style><b class=h>x</b>", "x"), ("<style>B, .É\n{DISPLAY:NONE}</style><b>x</b><i class=É>y</i>z", "z"),
         ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"), ("a<plaintext></p>b", "a</p>b"), ("x <b", "x <b"),
     ],
 )
@@ -287,7 +346,7 @@ def test_shapes(page, text):
 
 @pytest.mark.parametrize(
     "page",
-    ["<b><div>" * 20_000 + "</b>" * 20_000 + "x", "<table><td>x" * 5000, "<table>" + "<tr><td rowspan=60000>x" * 8000, "<table><tr>" + "<td colspan=1000>x" * 20_000, "<ul>" + "<li>x<ul>" * 20_000, '<i b=">"' * 20_000 + "x", "<b style=visibility:hidden>" * 5000 + "</b>" * 5000 + "x"],
+    ["<b><div>" * 20_000 + "</b>" * 20_000 + "x", "<table><td>x" * 5000, "<table>" + "<tr><td rowspan=60000>x" * 8000, "<table><tr>" + "<td colspan=1000>x" * 20_000, "<ul>" + "<li>x<ul>" * 20_000, '<i b=">"' * 20_000 + "x", "<b style=visibility:hidden>" * 5000 + "</b>" * 5000 + "x", "<style>" + "".join(f".a{k},.b.a{k}{{display:none}}" for k in range(20_000)) + "</style>" + "<i class='b c'>x" * 20_000, "<ol reversed>" + "<li>x" * 50_000, "<style>" + "{" * 100_000 + "</style>x", "<style>" + "/*" * 100_000 + "</style>x"],
 )
 def test_time_and_text_of_large_pages(page):
     began = time.perf_counter()
