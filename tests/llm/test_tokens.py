@@ -75,10 +75,33 @@ def test_table_holds_the_vocabulary_s_words(library):
     table = counts.frequent_lengths(tokens.tokenizer_path())
     pieces = table.pieces.to_pylist()
     assert 30_000 < len(pieces) == len(set(pieces)) <= library.get_vocab_size() and {"the", "of", "und"} <= set(pieces)
-    assert table.lengths[:-1].tolist() == [len(ids_of(library, tokens.as_text(w))) for w in pieces]
+    assert table.lengths.tolist() == [len(ids_of(library, tokens.as_text(w))) for w in pieces]
     assert table.find(pa.array(["the", "no such piece at all", ""], pa.large_string())).tolist() == [1, -1, -1]
 
 
+def test_table_probes_and_confirms(monkeypatch):
+    """With hashes of few values slots are contested and pieces share a hash; a found piece is always the right one."""
+    pieces = [f"p{i}" for i in range(300)]
+    whole = counts.LengthTable(pieces, list(range(300)))
+    asked = pa.array([*pieces, "x", "", "p" * 100, *(f"q{i}" for i in range(300))], pa.large_string())
+    assert whole.find(asked).tolist() == [*range(300), *[-1] * 303] and (whole.hashes > 0).sum() == 300 <= len(whole.hashes) / 2
+    real = counts.hashes_of
+    monkeypatch.setattr(counts, "hashes_of", lambda words: real(words) % np.uint64(200) + np.uint64(1))
+    crowded = counts.LengthTable(pieces, list(range(300)))
+    found = crowded.find(asked).tolist()
+    assert all(x in (i, -1) for i, x in enumerate(found[:300])) and set(found[300:]) == {-1} and len(set(found)) - 1 == (crowded.hashes > 0).sum() > 100
+    assert counts.LengthTable([], []).find(asked).tolist() == [-1] * len(asked) and whole.find(asked[:0]).tolist() == []
+
+
+def test_table_holds_what_is_frequent(documents, odd, none):
+    """Most pieces are found in a table filled from a sample; whatever it holds, counts are the same."""
+    texts = pa.array([r.text or "" for r in documents.collect()], pa.large_string())
+    _, index, words = tokens.split(texts)
+    share = [(counts.frequent_lengths(tokens.tokenizer_path(), some).find(words)[index] >= 0).mean() for some in ([], counts.sampled(documents))]
+    assert share[0] < 0.4 < 0.6 < share[1]
+    assert counts.sampled(none) == [] and len(counts.sampled(odd)) <= counts.SAMPLE_DOCS
+
+
 def test_nothing_is_shuffled_for_counts(documents):
     plan = counts.token_counts(documents)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
