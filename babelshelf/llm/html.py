@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from babelshelf.llm.common import beside
-from babelshelf.llm.styles import Styles
+from babelshelf.llm.styles import NAMES, Styles
 
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/(?![a-zA-Z])|(/?)([a-zA-Z][^\s/>]*))")
 _COMMENT_END = re.compile(r"--!?>")
@@ -521,16 +521,17 @@ def visible_text(html: str | None) -> str:
     """
     html = (html or "").replace("\0", "")
     styles = items = None
-    if _TWICE.search(html):
-        first = rendered(html, Renderer(len(html)))
-        styles = Styles(first.sheets)
-        if "reversed" in html.lower():
-            items = rendered(html, Renderer(len(html), styles)).counted
+    if any(_HIDES.search(m[0]) for m in _SHEET.finditer(html)):
+        styles = Styles(rendered(html, Renderer(len(html))).sheets)
+    if _REVERSED.search(html):
+        items = rendered(html, Renderer(len(html), styles)).counted
     return rendered(html, Renderer(len(html), styles, items)).finish()
 
 
-#: What a page holds that is only known at its end.
-_TWICE = re.compile(r"<style[\s/>]|\breversed\b", re.I)
+#: What may be a style element, what it must hold to hide something, and what lists that count down hold.
+_SHEET = re.compile(r"<style[\s/>].*?(?:</style|\Z)", re.I | re.S)
+_HIDES = re.compile("|".join(NAMES), re.I)
+_REVERSED = re.compile(r"\breversed\b", re.I)
 
 
 def rendered(html: str, page: Renderer) -> Renderer:

@@ -86,3 +86,48 @@ def test_near_dedup_finds_all_similar_pairs(spark, sf, odd, documents, monkeypat
     for (doc_id, _), root in zip(rows, roots, strict=True):
         least[root] = min(doc_id, least.get(root, doc_id))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted(least.values())
+
+
+def _near(spark, rows, monkeypatch, long_list=2):
+    from babelshelf.llm import similar
+    from babelshelf.llm.common import identified
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'' AS lang", "'' AS source", "0L AS n_chars").repartition(4)
+    made = {}
+    plain = similar.apart
+
+    def noted(*args):
+        made["pairs"] = plain(*args)
+        return made["pairs"]
+
+    monkeypatch.setattr(similar, "apart", noted)
+    found = similar.near_copies(identified(docs), long_list=long_list).collect()
+    return {r.doc_id: r["__label"] for r in found}, made.get("pairs")
+
+
+def test_rare_shingles_find_what_leads_do_not(spark, monkeypatch):
+    """Texts put together from a pool of passages, with all lists long: components are those of brute force."""
+    dice = random.Random(21)
+    pool = [" ".join(f"p{k}x{dice.randrange(900)}" for _ in range(dice.choice([20, 30, 60]))) for k in range(14)]
+    rows = []
+    for _ in range(150):
+        chosen = sorted(dice.sample(range(14), dice.choice([5, 6])))
+        rows += [(len(rows) + c, " ".join([*(pool[k] for k in chosen), *(f"own{len(rows)}y{c}x{j}" for j in range(dice.choice([0, 5, 12, 25])))])) for c in range(dice.choice([1, 1, 2]))]
+    labels, pairs = _near(spark, rows, monkeypatch)
+    roots = brute_similar([t for _, t in rows])
+    assert pairs is not None and pairs.count() > 0
+    groups = {}
+    for (doc_id, _), root in zip(rows, roots, strict=True):
+        assert groups.setdefault(root, labels[doc_id]) == labels[doc_id]
+    assert len(set(groups.values())) == len(groups) < len(rows)
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_a_template_makes_no_pairs(spark, monkeypatch, n):
+    """Texts that share 86 of 100 words and have 14 of their own are not similar enough, and never meet, however many they are."""
+    template = [f"common{k}" for k in range(86)]
+    rows = [(i, " ".join([*template, *(f"own{i}x{j}" for j in range(14))])) for i in range(n)]
+    rows += [(n + i, " ".join([*template, *(f"own{i}x{j}" for j in range(13)), "changed"])) for i in range(0, n, 10)]
+    labels, pairs = _near(spark, rows, monkeypatch, long_list=32)
+    assert all((labels[i] == labels[n + i]) == (i % 10 == 0) for i in range(0, n, 10)) and len(set(labels.values())) == n
+    assert pairs is None or pairs.count() <= 3 * n
