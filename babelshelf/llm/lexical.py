@@ -37,6 +37,8 @@ LOOKUPS = 50
 SHARE = 0.5
 #: Tables of up to so many rows (of about 40 bytes) are broadcast, larger ones shuffled; the items' vocabulary, too.
 BROADCAST_ROWS = 500_000
+#: Bytes of a text whose terms are listed at once.
+PART_BYTES = 1 << 20
 #: ASCII letters and digits and all bytes of other characters stay, A-Z in lower case; the rest parts terms.
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -46,6 +48,18 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TERM_BYTES).split()
 
 
+def counted(text: bytes, part: int = PART_BYTES) -> tuple[Counter, int]:
+    """How often each term occurs, and the number of all; a long text is taken apart between terms, part by part."""
+    plain, counts, total, at = text.translate(_TERM_BYTES), Counter(), 0, 0
+    while at < len(plain):
+        end = plain.find(b" ", at + part)
+        words = plain[at : end if end >= 0 else len(plain)].split()
+        counts.update(words)
+        total += len(words)
+        at = end if end >= 0 else len(plain)
+    return counts, total
+
+
 def words_of(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, word) for each different word of an item."""
 
@@ -79,13 +93,12 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         for batch, texts in blocks(batches):
             names, tf, entries, lengths = [], [], [], []
             for text in texts.cast(pa.large_binary()).to_pylist():
-                words = terms_of(text)
-                counts = Counter(words)
+                counts, total = counted(text)
                 kept = [w for w in counts if w in table] if few else list(counts)
                 names += [table[w] for w in kept] if few else [w.decode() for w in kept]
                 tf += [counts[w] for w in kept]
                 entries.append(len(kept))
-                lengths.append(len(words))
+                lengths.append(total)
             n, at = np.array(lengths), pa.array(np.append(np.repeat(np.arange(len(entries)), entries), 0))
             columns = [pa.array([*names, -1 if few else None], pa.int64() if few else pa.string()), batch.column(0).take(at), batch.column(1).take(at), pa.array([*tf, int((n > 0).sum())], pa.int64()), pa.array(np.append(np.repeat(n, entries), n.sum()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "row", "doc_id", "tf", "n"])

@@ -78,6 +78,15 @@ def test_most_entries_stay_unsent(spark):
     assert found(lexical.search(d, i)) == brute(docs, [(1, "common usual rare scarce seldom exquisite")])
 
 
+def test_long_texts_are_counted_in_parts():
+    dice = random.Random(2)
+    for _ in range(300):
+        text = "".join(dice.choice(["ab", "C", " ", ",", "é", "\n", "x1"]) for _ in range(dice.randrange(60)))
+        counts, total = lexical.counted(text.encode(), part=dice.randrange(1, 9))
+        want = brute_terms(text)
+        assert total == len(want) and {k.decode(): n for k, n in counts.items()} == Counter(want)
+
+
 def test_odd_rows(spark, odd):
     """Nulls, empty and very long texts, blanks, ties and repeated rows; columns named like the operator's own."""
     items = [(1, "copy of the same passage here"), (2, None), (3, "..."), (4, "A b ABC"), (4, "tie one"), (None, "text number 5 words"), (None, "日本"), (5, "unheard"), (6, "alpha1 beta2 gamma3 delta4 passage"), (6, "alpha1 beta2 gamma3 delta4 passage")]
