@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: document evidence with host and path posteriors.
 
 A logistic model of a few shape features gives each document's evidence. Hosts shrink toward the global mean and
-paths toward their host, each with a strength estimated from the spread between groups by the method of moments.
+paths toward their host, and so on over any number of levels, each with a strength estimated from the spread between groups by the method of moments.
 The sums are plain grouped aggregations; a document's own evidence is taken out of its groups' sums.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -122,31 +123,57 @@ def _logit(p: Column) -> Column:
 _OWN = ("doc_id", "evidence", "site", "posterior", "kept")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns), F.lit(True))
+
+
+def sites(rows: DataFrame, levels: list[str]) -> tuple[DataFrame, float, list[float]]:
+    """Sums of evidence by all ``levels`` and by each leading part of them, the global mean, and the strength of each level.
+
+    A row (*levels, n1, s1, n2, s2, ...) has the numbers and sums of the groups that a site is in, the widest first. Only
+    the deepest groups come from the rows, the others from those below. A group's prior is the posterior mean of the group
+    around it.
+    """
+    sums = [F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("ss")]
+    depths = [cut(rows.groupBy(*levels).agg(*sums), "sites")]
+    for d in range(len(levels) - 1, 0, -1):
+        depths.insert(0, depths[0].groupBy(*levels[:d]).agg(*(F.sum(x).alias(x) for x in ("n", "s", "ss"))))
+    n, s = depths[0].agg(F.sum("n"), F.sum("s")).first()
+    center = s / n if n else 0.5
+    whole, mean, strengths = None, F.lit(center), []
+    for d, groups in enumerate(depths, 1):
+        if whole is not None:
+            around = whole.select(*levels[: d - 1], *(f"{x}{k}" for k in range(1, d) for x in ("n", "s")), mean.alias("prior"))
+            groups = cut(groups.alias("a").join(around.alias("b"), _same("a", "b", levels[: d - 1])).select("a.*", *(f"b.{c}" for c in around.columns[d - 1 :])), "sites")
+            mean = F.col("prior")
+        k = strength(groups, mean)
+        strengths.append(k)
+        whole = groups.withColumnsRenamed({"n": f"n{d}", "s": f"s{d}"})
+        mean = (F.col(f"s{d}") + k * mean) / (F.col(f"n{d}") + k)
+    return whole.select(*levels, *(f"{x}{k}" for k in range(1, len(levels) + 1) for x in ("n", "s"))), center, strengths
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", keep: tuple[str, ...] = (), threshold: float = THRESHOLD, levels: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, evidence, site, posterior, kept, *keep) for each row.
 
     ``evidence`` is the document's own, ``site`` its path's posterior mean without it, ``posterior`` both together:
-    the evidence's log odds moved by the site's distance from the global mean. Null hosts and paths are groups of
+    the evidence's log odds moved by the site's distance from the global mean. ``levels`` name the groups from the widest
+    to the narrowest, one at least; they are (host, path) unless given. Null hosts and paths are groups of
     their own; null and empty texts have the features 0. Repeated rows count each time. An empty table gives an empty
     result, and without labels all rows are kept. A kept column named like the result's gets ``_in`` added; other
     columns are ignored.
     """
+    levels = levels or (host, path)
     weights = train(docs, labels)
-    site = [F.col(host).alias("__host"), F.col(path).alias("__path")]
-    rows = cut(docs.select("doc_id", *site, evidence("text", weights).alias("evidence"), *carried(keep)), "evidence")
-    sums = [F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("ss")]
-    paths = cut(rows.groupBy("__host", "__path").agg(*sums), "paths")
-    hosts = paths.groupBy("__host").agg(*(F.sum(x).alias(x) for x in ("n", "s", "ss")))
-    n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
-    center = s / n if n else 0.5
-    k_host = strength(hosts, F.lit(center))
-    host_mean = (F.col("hs") + k_host * center) / (F.col("hn") + k_host)
-    both = cut(paths.alias("p").join(hosts.select(F.col("__host").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs")), F.col("p.__host").eqNullSafe(F.col("h"))).drop("h"), "sites")
-    k_path = strength(both, host_mean)
-    own = rows.alias("r").join(both.alias("b"), F.col("r.__host").eqNullSafe(F.col("b.__host")) & F.col("r.__path").eqNullSafe(F.col("b.__path"))).select("r.*", "n", "s", "hn", "hs")
-    e = F.col("evidence")
-    others = (F.col("hs") - e + k_host * center) / (F.col("hn") - 1 + k_host)
-    scored = own.withColumn("site", (F.col("s") - e + k_path * others) / (F.col("n") - 1 + k_path))
+    names = [f"__level{k}" for k in range(len(levels))]
+    rows = cut(docs.select("doc_id", *(F.col(f"`{c}`").alias(name) for c, name in zip(levels, names, strict=True)), evidence("text", weights).alias("evidence"), *carried(keep)), "evidence")
+    groups, center, strengths = sites(rows, names)
+    numbers = [c for c in groups.columns if c not in names]
+    own = rows.alias("r").join(groups.alias("g"), _same("r", "g", names)).select("r.*", *(f"g.{c}" for c in numbers))
+    e, site = F.col("evidence"), F.lit(center)
+    for d, k in enumerate(strengths, 1):
+        site = (F.col(f"s{d}") - e + k * site) / (F.col(f"n{d}") - 1 + k)
+    scored = own.withColumn("site", site)
     odds = _logit(e) + _logit(F.col("site")) - _logit(F.lit(center))
     return scored.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("posterior") >= threshold).select(*_OWN, *restored(_OWN, keep))
 

@@ -39,6 +39,28 @@ def test_posteriors(request, spark, sf, table, monkeypatch):
         assert abs(r.site - site) < 1e-9 and abs(r.posterior - posterior) < 1e-9 and r.kept == (r.posterior >= 0.5)
 
 
+@pytest.mark.parametrize("levels", [("source",), ("source", "lang", "part"), ("part", "source", "lang", "n_chars")])
+def test_any_number_of_levels(spark, sf, documents, monkeypatch, levels):
+    """Each level's group shrinks toward the one around it; strengths of the real sums are taken from the widest to the narrowest."""
+    found_strengths = []
+    real = quality.strength
+    monkeypatch.setattr(quality, "strength", lambda *x: found_strengths.append(real(*x)) or found_strengths[-1])
+    df = documents.withColumn("part", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 3))
+    rows = quality.classify(df, spark.read.parquet(f"{sf}/labels.parquet"), keep=levels, levels=levels).collect()
+    assert len(found_strengths) == len(levels) and len(rows) == documents.count()
+    center = sum(r.evidence for r in rows) / len(rows)
+    groups = defaultdict(list)
+    for r in rows:
+        for d in range(1, len(levels) + 1):
+            groups[tuple(r[c] for c in levels[:d])].append(r.evidence)
+    for r in rows:
+        site = center
+        for d, k in enumerate(found_strengths, 1):
+            held = groups[tuple(r[c] for c in levels[:d])]
+            site = (sum(held) - r.evidence + k * site) / (len(held) - 1 + k)
+        assert abs(r.site - site) < 1e-9
+
+
 def test_kept_columns_may_clash(odd, none, spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = quality.classify(odd, empty, keep=("kept", "n", "s", "doc_id"))
