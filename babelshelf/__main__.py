@@ -23,6 +23,11 @@ def main(argv: list[str] | None = None) -> int:
     scan.add_argument("root")
     scan.add_argument("--trailer", action="append", default=["trailer"])
     scan.add_argument("--special", action="append", default=[])
+    rescan = commands.add_parser("rescan", help="bring the saved listing of a library up to date and count what changed")
+    rescan.add_argument("root")
+    rescan.add_argument("listing", help="folder of the saved listing")
+    rescan.add_argument("--format", action="append", help="extension of files that aren't ignored; all if not given")
+    rescan.add_argument("--ignore", action="append", default=[], help="name of a folder that is never opened")
     commands.add_parser("config_check", help="read a configuration file").add_argument("file")
     args = parser.parse_args(argv)
 
@@ -39,6 +44,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "run":
         df = catalog.QUERIES[args.name](spark, args.data)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show(50, truncate=False)
+    elif args.command == "rescan":
+        from babelshelf.sources import library
+
+        print(json.dumps(library.refresh(spark, args.root, args.listing, args.format, tuple(args.ignore))))
     else:
         from babelshelf.sources import listing
 
