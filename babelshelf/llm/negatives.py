@@ -5,11 +5,12 @@ sqrt(M^2 - |x|^2), M being the greatest length of all, and each anchor is scaled
 zero. All points then lie at distance M from the origin, and a score s of an anchor a stands for the distance
 sqrt(2 M^2 - 2 s M / |a|).
 
-Anchors go to the cell of their nearest pivot. For each anchor a score is known that the rows it needs reach at least
+Anchors go to the cell of their nearest pivot, neighbouring cells to a group of bounded size. For each anchor a score is known that the rows it needs reach at least
 (the fifth best of a bounded sample), so that they lie within a radius; a cell keeps the largest of these, and the least
-and greatest distance of its anchors from the pivot. A row is sent only to the cells that it might serve: by the
-triangle inequality with the cell's own pivot, and by its distance from the plane between that pivot and its nearest
-one. Cells with many anchors are parted, and what a part gets is dealt to slices, so that no group grows with the input.
+and greatest distance of its anchors from the pivot. A row is sent once to each group with a cell that it might serve: by
+the triangle inequality with the cell's own pivot, and by its distance from the plane between that pivot and its nearest
+one. Cells with many anchors are groups of their own, in parts, and what a group gets is dealt to slices, so that no
+group grows with the input. Rows are sent as often as there are groups, and anchors as often as there are slices, at most.
 Within a group the join is exact, over blocks of integers. The join runs twice: among rows of an anchor's label for its
 positives, then among the others for the negatives in the bands that the positives' scores set.
 
@@ -36,11 +37,11 @@ LOWEST = 80
 SCALE = 256
 #: Components from here on (after scaling) take no part: below, sums of products are whole numbers in doubles.
 LARGEST = 1 << 20
-#: Pivots, and anchors for each when there are many; a cell with more anchors than a part may have is parted.
-PIVOTS, MOST_PIVOTS = 16, 1_024
-ANCHORS_PER_PIVOT = PART_ANCHORS = 4_096
+#: Pivots, and anchors for each when there are many; anchors of a group, or of a part of a cell with more.
+PIVOTS, MOST_PIVOTS = 64, 1_024
+ANCHORS_PER_PIVOT, GROUP_ANCHORS = 4_096, 16_384
 #: Mean rows of a slice, and rows of a slice that are compared at once.
-SLICE_ROWS = 200_000
+SLICE_ROWS = 65_536
 TILE_ROWS = 4_096
 TILE_PAIRS = 1 << 21
 #: The sample that gives the first bounds: so many rows, and no more than so many bytes.
@@ -195,21 +196,42 @@ def _serving(space, cells: dict[str, np.ndarray]):
             if not batch.num_rows:
                 continue
             serves = shared.cells_for(unpacked(batch.column("vec"), "<i4", shared.dim).astype(float), cells)
-            row, cell = np.nonzero(serves)
-            parts = cells["parts"][cell]
-            groups = np.repeat(cells["first"][cell], parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            offsets = np.r_[0, np.cumsum(np.bincount(row, weights=parts, minlength=batch.num_rows))].astype(np.int32)
+            wanted = np.zeros((batch.num_rows, int((cells["first"] + cells["parts"]).max())), dtype=bool)
+            for cell, (first, parts) in enumerate(zip(cells["first"].tolist(), cells["parts"].tolist(), strict=True)):
+                wanted[:, first : first + parts] |= serves[:, cell, None]
+            row, groups = np.nonzero(wanted)
+            offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(groups.astype(np.int32)))], names=[*batch.schema.names, "groups"])
 
     return run
 
 
+def grouped(sizes: list[int], between: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, number of groups) of each cell: cells of more than ``most`` anchors have groups of their own, for their parts;
+    the others are chained from neighbour to nearest neighbour, and share a group while it has room."""
+    first, parts = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=np.int64)
+    left, at, group, held = set(range(len(sizes))), 0, -1, most + 1
+    while left:
+        at = min(left, key=lambda c: (between[at, c], c))
+        left.remove(at)
+        if sizes[at] > most:
+            parts[at] = -(-sizes[at] // most)
+            first[at] = group + 1
+            group, held = group + int(parts[at]), most + 1
+            continue
+        if held + sizes[at] > most:
+            group, held = group + 1, 0
+        first[at], held = group, held + sizes[at]
+    return first, parts
+
+
 def joined(space, anchors: DataFrame, rows: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
     """The local joins of ``anchors`` and the ``rows`` that might serve them, in groups by cell, part, slice and ``keys``."""
     stats = anchors.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("near"), F.max("away").alias("far"), F.max("reach").alias("reach"))
     found = stats.orderBy("cell").toArrow().to_pydict()  # a row for each pivot at most
-    parts = np.array([-(-n // PART_ANCHORS) for n in found["n"]], dtype=np.int64)
-    cells = {"cell": np.array(found["cell"], dtype=np.int64), "parts": parts, "first": np.cumsum(parts) - parts} | {x: np.array(found[x], dtype=float) for x in ("near", "far", "reach")}
+    own = np.array(found["cell"], dtype=np.int64)
+    first, parts = grouped(found["n"], space.value.between[np.ix_(own, own)], GROUP_ANCHORS)
+    cells = {"cell": own, "parts": parts, "first": first} | {x: np.array(found[x], dtype=float) for x in ("near", "far", "reach")}
     n_slices = max(1, -(-rows.count() // SLICE_ROWS))
     placed = anchors.sparkSession.createDataFrame([(int(c), int(p), int(f)) for c, p, f in zip(cells["cell"], parts, cells["first"], strict=True)], "cell int, parts long, first long")
     held = anchors.join(F.broadcast(placed), "cell").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("row"), "parts")).cast("int")).drop("cell", "parts", "first", "away", "reach")

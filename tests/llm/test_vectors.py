@@ -84,13 +84,28 @@ def test_negatives_of_odd_rows(spark, odd_table):
 @pytest.mark.parametrize("dim", [3, 40])
 def test_negatives_in_many_groups(spark, monkeypatch, dim):
     """Cells with several parts, several slices, small tiles and a sample too small for bounds."""
-    for name, value in (("PIVOTS", 7), ("PART_ANCHORS", 3), ("SLICE_ROWS", 90), ("TILE_ROWS", 16), ("TILE_PAIRS", 64), ("SAMPLE_ROWS", 40)):
+    for name, value in (("PIVOTS", 7), ("GROUP_ANCHORS", 5), ("SLICE_ROWS", 90), ("TILE_ROWS", 16), ("TILE_PAIRS", 64), ("SAMPLE_ROWS", 40)):
         monkeypatch.setattr(negatives, name, value)
     rows = clusters(300, dim, seed=dim)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert result(negatives.mine(df, "vec_id % 10 = 0", positives=3, negatives=2)) == brute_hard(rows, dim, lambda i: i % 10 == 0, 3, 2)
 
 
+def test_groups_of_cells():
+    """Every anchor has room; cells share groups with neighbours, those with too many anchors have groups for their parts."""
+    dice = np.random.default_rng(6)
+    points = dice.standard_normal((40, 3))
+    between = np.linalg.norm(points[:, None] - points[None], axis=2)
+    sizes = dice.integers(1, 30, 40).tolist()
+    sizes[7] = 95
+    first, parts = negatives.grouped(sizes, between, 40)
+    held = Counter()
+    for n, f, p in zip(sizes, first.tolist(), parts.tolist(), strict=True):
+        held.update({f + k: n / p for k in range(p)})
+    assert parts[7] == 3 and parts.sum() == 42 and max(held.values()) <= 40 and set(held) == set(range(len(held))) and len(held) < 30
+    assert [x.tolist() for x in negatives.grouped([5], np.zeros((1, 1)), 9)] == [[0], [1]]
+
+
 def test_rows_go_only_where_they_may_serve():
     """No row that an anchor of a cell needs is kept from the cell, and with clear clusters most rows are kept from most cells."""
     rows = clusters(2000, 16, seed=1, spread=0.1)
