@@ -159,9 +159,9 @@ def thresholds(weighed: DataFrame, taus: DataFrame, most: DataFrame) -> DataFram
     sorted by their greatest entry, can be filled: with the share less what the lists before hold, dealt to the rest.
     """
     rows = weighed.join(most, "term").join(taus, "item", "left").withColumn("tau", F.coalesce("tau", F.lit(0).cast("long"))).withColumn("top", F.col("w") * F.col("most"))
-    order = "PARTITION BY item ORDER BY top, term ROWS BETWEEN"
+    before = "OVER (PARTITION BY item ORDER BY top, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     room = F.expr(f"greatest(cast(ceil({SHARE}D * tau) AS long) - 1L, 0L)")
-    level = F.expr(f"(room - coalesce(sum(top) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)) div count(*) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING)")
+    level = F.expr(f"(room - coalesce(sum(top) {before}, 0L)) div (count(*) OVER (PARTITION BY item) - count(*) {before})")
     levels = rows.withColumn("room", room).withColumn("level", level)
     filled = levels.withColumn("level", F.expr("max(CASE WHEN level <= top THEN level END) OVER (PARTITION BY item)"))
     return filled.select("item", "term", "w", "tau", F.least("level", "top").alias("cap"))

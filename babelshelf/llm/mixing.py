@@ -51,8 +51,9 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     turn = f"(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(weights)}"
     weighed = sums.withColumn("weight", F.expr(f"element_at(array({', '.join(f'{float(w)}D' for w in weights)}), cast({turn} AS int) + 1)"))
     capped = weighed.withColumn("most", F.col("source_size") * F.lit(float(most)))
-    order = "ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN"
-    level = f"({float(share)}D * sum(source_size) OVER () - coalesce(sum(most) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)) / sum(weight) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    # Sums over those before only: Spark adds up what follows anew for each row.
+    before = "OVER (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    level = f"({float(share)}D * sum(source_size) OVER () - coalesce(sum(most) {before}, 0D)) / (sum(weight) OVER () - coalesce(sum(weight) {before}, 0D))"
     levels = capped.withColumn("level", F.expr(level))
     best = levels.withColumn("level", F.expr("max(CASE WHEN most / weight > level THEN level END) OVER ()"))
     return best.select("source", "n", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight"))).alias("target"))
