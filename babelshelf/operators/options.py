@@ -68,7 +68,7 @@ def enum_value(name: Column, values: dict[str, int], aliases: dict[str, str]) ->
 def expanded(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(path): files reachable from ``roots`` (path) over (parent, child) rows of lists and folders, each once.
 
-    A file is what is no parent. Breadth first: each round follows the paths that are new and writes them, until there
+    A file is what is no parent; an empty list or folder has a row with a null child. Breadth first: each round follows the paths that are new and writes them, until there
     are none, so that neither the depth is limited nor a cycle walked again.
     """
     new = cut(roots.select("path").where("path IS NOT NULL").distinct(), "reached")

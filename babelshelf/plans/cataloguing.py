@@ -151,19 +151,21 @@ def probe_status(spark, sf_dir):
 
 @query("file_list_expand", "SELECT DISTINCT 'o' || o_orderkey || '.mp4' AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2 OR o_orderkey % 50 = 0")
 def file_list_expand(spark, sf_dir):
-    """Lists name lists, folders and files: regions their nations, nations their customers' folders, and also each other."""
+    """Lists name lists, folders and files: regions their nations, nations their customers' folders, and also each other. Lists and folders may be empty."""
     nation, customer, orders = (table(spark, sf_dir, x) for x in ("nation", "customer", "orders"))
     of = lambda letter, key, end="": F.concat(F.lit(letter), key, F.lit(end))
     file, folder = of("o", "o_orderkey", ".mp4"), of("c", "c_custkey")
     region_list, nation_list = of("r", "n_regionkey", ".txt"), of("n", "n_nationkey", ".txt")
+    roots = spark.sql("SELECT * FROM VALUES ('r0.txt'), ('r1.txt'), ('more.txt') AS t(path)")
     entries = [
         nation.select(region_list, nation_list), nation.select(nation_list, region_list), customer.select(of("n", "c_nationkey", ".txt"), folder), orders.select(of("c", "o_custkey"), file),
+        customer.select(folder, F.lit(None)), roots.select("path", F.lit(None)),
         orders.where("o_orderkey % 50 = 0").select(F.lit("more.txt"), file),
     ]
     rows = entries[0].toDF("parent", "child")
     for more in entries[1:]:
         rows = rows.unionAll(more)
-    return options.expanded(rows, spark.sql("SELECT * FROM VALUES ('r0.txt'), ('r1.txt'), ('more.txt') AS t(path)"))
+    return options.expanded(rows, roots)
 
 
 @query("enum_lookup", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 50 WHEN 1 THEN 40 WHEN 2 THEN 0 WHEN 3 THEN 30 END AS level FROM part")
