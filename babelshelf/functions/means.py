@@ -19,9 +19,10 @@ def geometric(value: Column) -> Column:
     return F.when(F.min(value) > 0, logs).when(F.min(value) == 0, F.lit(0.0))
 
 
-def harmonic(value: Column) -> Column:
-    """Null if any value is zero, or there is none."""
-    return F.when(~F.bool_or(value == 0), F.try_divide(F.count(value).cast("double"), F.sum(F.try_divide(F.lit(1.0), value))))
+def harmonic(value: Column, at_zero: float | None = None) -> Column:
+    """Null if there is no value; ``at_zero`` if any is zero: null, or 0.0, the limit as a value falls to zero."""
+    whole = F.try_divide(F.count(value).cast("double"), F.sum(F.try_divide(F.lit(1.0), value)))
+    return F.when(~F.bool_or(value == 0), whole).when(F.bool_or(value == 0), F.lit(at_zero).cast("double"))
 
 
 def truncated(value: Column) -> Column:

@@ -26,3 +26,17 @@ def test_empty_folders_are_no_files(spark, tmp_path):
         orders=("o_orderkey long, o_custkey long", [(1, 10), (3, 12), (50, 12)]),
     )
     assert found == want and len(want) == 2
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def events(*values):
+    """One event a file for each of ``values``, and file 0 with all of them."""
+    at = datetime(2024, 1, 2)
+    return EVENTS, [(i, at, i, "view", x) for i, x in enumerate(values, 1)] + [(100 + i, at, 0, "view", x) for i, x in enumerate(values)]
+
+
+def test_harmonic_mean_with_a_zero_is_zero(spark, tmp_path):
+    found, want = both(spark, tmp_path, "mean_harmonic", events=events(0.0, 2.0, 5.5))
+    assert found == want and sum(x.endswith(", 0.0)") for x in want) == 2
