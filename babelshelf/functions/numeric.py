@@ -39,7 +39,8 @@ def parse_percent(text: Column, legacy: bool = False) -> Column:
 
 
 def format_percent(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
+    """Two digits, rounded by the exact value of the double and half to even; ``format_string`` rounds its shortest decimal text half up."""
+    return F.concat(F.call_function("format_number", value * 100, F.lit("0.00")), F.lit("%"))
 
 
 def linear_seconds(memory: Column, c: Column, m: Column) -> Column:

@@ -40,3 +40,8 @@ def events(*values):
 def test_harmonic_mean_with_a_zero_is_zero(spark, tmp_path):
     found, want = both(spark, tmp_path, "mean_harmonic", events=events(0.0, 2.0, 5.5))
     assert found == want and sum(x.endswith(", 0.0)") for x in want) == 2
+
+
+def test_shown_percentages_round_exact_values_half_to_even(spark, tmp_path):
+    found, want = both(spark, tmp_path, "topk_choices", events=events(3.125, 9.375, 68.775))
+    assert found == want and any("0.62%" in x for x in want)
