@@ -4,10 +4,11 @@ Two texts are linked if the Jaccard similarity of their sets of five-word shingl
 the sign bits of a SimHash differ in 10 of 64 places on average and in up to 20, so that no byte need be equal and no
 index over its bytes finds all pairs. So the fingerprint has ``BANDS`` x ``ROWS`` bytes, each of a minimum hash over
 the set: a byte of two texts is equal with a chance equal to their similarity. The index has a list for the values of
-``ROWS`` positional bytes at once; of the pairs that meet in a list, the shared positional bytes are tallied over the
-whole fingerprints, pairs that reach ``LEAST_BYTES`` are retained, and these are verified on the whole sets. A pair at
-0.8 meets in no list with a chance of (1 - 0.8 ** 5) ** 40, 1 in 8 million, and has fewer shared bytes with one of
-1 in 20 million; a more similar pair is missed far less often.
+``ROWS`` positional bytes at once. As in operator 2 the number of lists in which a pair meets is tallied, pairs that
+reach ``LEAST_LISTS`` are retained, of these the ones that share ``LEAST_BYTES`` of all positional bytes, and they are
+verified on the whole sets. A pair at 0.8 meets in fewer lists with a chance of 1 in 16 million, and has fewer shared bytes
+with one of 1 in 34 million; a more similar pair is missed far less often. Only lists of up to ``LONG_LIST`` texts are
+tallied: a pair that loses meetings by that is in a long list, where it is found without the tally.
 
 Of a list with more than ``LONG_LIST`` texts the pairs are not written out. Texts are taken out of it that have so many
 shingles of their own that no other text of a long list can be similar enough. The rest are compared with the one of
@@ -36,11 +37,13 @@ from babelshelf.llm.components import components
 WIDTH = 5
 #: The least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
-BANDS, ROWS = 40, 5
-#: Shared bytes, of 200, that all but 1 in 20 million pairs at 0.8 have.
-LEAST_BYTES = 128
+BANDS, ROWS = 50, 5
+#: Lists, of 50, in which all but 1 in 16 million pairs at 0.8 meet.
+LEAST_LISTS = 2
+#: Shared bytes, of 250, that all but 1 in 34 million pairs at 0.8 have.
+LEAST_BYTES = 164
 LONG_LIST = 32
-#: So many nodes, of 232 bytes each, are sent to all tasks, at most; more of them are shuffled like the texts they meet.
+#: So many nodes, of 282 bytes each, are sent to all tasks, at most; more of them are shuffled like the texts they meet.
 BROADCAST_ROWS = 50_000
 #: Shingles hashed, and minima taken over, at once.
 BLOCK, MIN_BLOCK = 1 << 16, 1 << 10
@@ -143,6 +146,12 @@ def shared_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_matrix(list(a)) == _matrix(list(b))).sum(axis=1), dtype="int32")
 
 
+def met_often(met: DataFrame, least_lists: int = LEAST_LISTS) -> DataFrame:
+    """(a, b): the pairs that meet in ``least_lists`` or more of the lists (key, node)."""
+    one, other = met.withColumnRenamed("node", "a"), met.withColumnRenamed("node", "b")
+    return one.join(other, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_lists).select("a", "b")
+
+
 def tallied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with their number of shared bytes ``n``."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
@@ -220,8 +229,7 @@ def links(docs: DataFrame, nodes: DataFrame, row: str, width: int = WIDTH, least
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(posted.join(lists, "key"), "lists")
     short, long = met.where(F.col("n") <= long_list).select("key", "node"), met.where(F.col("n") > long_list).select("key", "node")
-    pairs = short.withColumnRenamed("node", "a").join(short.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
-    retained = cut(tallied(pairs, nodes).where(F.col("n") >= least_bytes).select("a", "b"), "retained")
+    retained = cut(tallied(met_often(short), nodes).where(F.col("n") >= least_bytes).select("a", "b"), "retained")
     wanted = retained.select(F.col("a").alias("node")).unionAll(retained.select("b")).unionAll(long.select("node")).distinct()
     chosen = cut(nodes.select("node", row, "sketch").join(wanted, "node", "left_semi"), "chosen")
     # A node, its row and its fingerprint are of fixed size.

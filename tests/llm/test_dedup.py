@@ -166,3 +166,15 @@ def test_tally_drops_met_pairs(spark):
 
 def test_exact_empty(spark, none):
     assert exact.deduplicate(none, exact.fresh_index(spark, 2)).count() == 0
+
+
+def test_near_copies_are_tallied_over_lists(spark):
+    """A pair that meets in one list only is no candidate; too few meetings of a pair at 0.8 are as rare as stated."""
+    from math import comb
+
+    from babelshelf.llm import similar
+
+    met = spark.createDataFrame([(1, 10), (1, 20), (2, 10), (2, 30), (3, 10), (3, 30), (4, 30)], "key long, node long")
+    assert [tuple(r) for r in similar.met_often(met).collect()] == [(10, 30)]
+    for chance, n, least, stated in ((0.8**similar.ROWS, similar.BANDS, similar.LEAST_LISTS, 16), (0.8 + 0.2 / 256, similar.BANDS * similar.ROWS, similar.LEAST_BYTES, 34)):
+        assert sum(comb(n, k) * chance**k * (1 - chance) ** (n - k) for k in range(least)) < 1 / (stated * 10**6)
