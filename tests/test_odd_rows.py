@@ -45,3 +45,14 @@ def test_harmonic_mean_with_a_zero_is_zero(spark, tmp_path):
 def test_shown_percentages_round_exact_values_half_to_even(spark, tmp_path):
     found, want = both(spark, tmp_path, "topk_choices", events=events(3.125, 9.375, 68.775))
     assert found == want and any("0.62%" in x for x in want)
+
+
+def test_samples_are_summed_before_they_meet_fits(spark):
+    from babelshelf.operators import calibration
+
+    samples = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 8.0), ("a", None, 5.0), ("b", 2.0, 4.0)], "k string, x double, y double")
+    fits = spark.createDataFrame([("a", 1, 1.0, 2.0, 0.0), ("a", 2, 1.0, 1.0, 0.5)], "k string, degree int, c double, b double, a double")
+    found = calibration.residuals(samples, fits, "k")
+    assert {r.degree: round(r.residual, 9) for r in found.collect()} == {1: round((-1 / 2 + 1 / 8) / 2, 9), 2: round((-0.5 / 2 - 0.5 / 8) / 2, 9)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
