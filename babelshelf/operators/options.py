@@ -85,18 +85,19 @@ def resolved(names: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFram
     """(name, target, error) of each name: the known name at the end of its chain of aliases, else ``cycle`` or ``unknown``.
 
     ``aliases`` has one target for each alias; a known name is not followed. Each round doubles the length of the jumps,
-    so that there are as many as the logarithm of the longest chain.
+    so that there are as many as the logarithm of the longest chain. Nothing is broadcast: the files of a table of names are
+    far smaller than its rows, so that by their size alone it would be sent through the driver.
     """
-    jumps = cut(aliases.select("alias", "target").join(known.select(F.col("name").alias("alias")), "alias", "left_anti"), "jumps")
+    jumps = cut(aliases.select("alias", "target").join(known.select(F.col("name").alias("alias")).hint("merge"), "alias", "left_anti"), "jumps")
     for _ in range(math.ceil(math.log2(jumps.count() + 1))):
-        on = jumps.select(F.col("alias").alias("at"), F.col("target").alias("on"))
+        on = jumps.select(F.col("alias").alias("at"), F.col("target").alias("on")).hint("merge")
         longer = cut(jumps.join(on, F.col("target") == F.col("at"), "left").select("alias", F.coalesce("on", "target").alias("target"), F.col("on").isNotNull().alias("moved")), "jumps")
         drop_cut(jumps)
         jumps = longer
         if longer.where("moved").isEmpty():
             break
-    ends = names.select("name").join(jumps.select(F.col("alias").alias("name"), F.col("target").alias("at")), "name", "left").withColumn("at", F.coalesce("at", "name"))
-    marked = ends.join(known.select(F.col("name").alias("at"), F.lit(True).alias("known")), "at", "left").join(jumps.select(F.col("alias").alias("at"), F.lit(True).alias("alias")), "at", "left")
+    ends = names.select("name").join(jumps.select(F.col("alias").alias("name"), F.col("target").alias("at")).hint("merge"), "name", "left").withColumn("at", F.coalesce("at", "name"))
+    marked = ends.join(known.select(F.col("name").alias("at"), F.lit(True).alias("known")).hint("merge"), "at", "left").join(jumps.select(F.col("alias").alias("at"), F.lit(True).alias("alias")).hint("merge"), "at", "left")
     return marked.select("name", F.when(F.col("known"), F.col("at")).alias("target"), F.when(F.col("known"), None).when(F.col("alias"), "cycle").otherwise("unknown").alias("error"))
 
 

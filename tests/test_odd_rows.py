@@ -56,3 +56,12 @@ def test_samples_are_summed_before_they_meet_fits(spark):
     assert {r.degree: round(r.residual, 9) for r in found.collect()} == {1: round((-1 / 2 + 1 / 8) / 2, 9), 2: round((-0.5 / 2 - 0.5 / 8) / 2, 9)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_aliases_are_not_broadcast(spark):
+    from babelshelf.operators import options
+
+    names, pairs = (spark.createDataFrame(rows, schema) for rows, schema in (([("a",), ("b",), ("x",)], "name string"), ([("a", "b"), ("b", "k")], "alias string, target string")))
+    found = options.resolved(names, pairs, spark.createDataFrame([("k",)], "name string"))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "k", None), ("b", "k", None), ("x", None, "unknown")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
