@@ -144,7 +144,8 @@ def classified(files: DataFrame, read: Callable[[dict, int, float, float | None]
         model = Tries(load, length, limit, fall_back_at, lasting=legacy)
         for part in parts:
             rows = []
-            for file in part.to_dict("records"):
+            # One file at a time as objects, so that what ``read`` keeps in it goes with it.
+            for file in (part.iloc[at : at + 1].to_dict("records")[0] for at in range(len(part))):
                 if t.scans_nothing:
                     rows.append((file["file_id"], None, None, None, None, False))
                 else:
