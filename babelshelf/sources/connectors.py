@@ -13,6 +13,8 @@ from babelshelf.operators.prediction import Thresholds, scannable
 
 #: Share by which a memory error shortens segments.
 SHRINK = 0.075
+#: Files held as objects at once.
+FILES = 50
 Scores = list[tuple[str, float]]
 
 
@@ -144,8 +146,8 @@ def classified(files: DataFrame, read: Callable[[dict, int, float, float | None]
         model = Tries(load, length, limit, fall_back_at, lasting=legacy)
         for part in parts:
             rows = []
-            # One file at a time as objects, so that what ``read`` keeps in it goes with it.
-            for file in (part.iloc[at : at + 1].to_dict("records")[0] for at in range(len(part))):
+            # Few files at a time as objects, so that what ``read`` keeps in them goes with them.
+            for file in (x for at in range(0, len(part), FILES) for x in part.iloc[at : at + FILES].to_dict("records")):
                 if t.scans_nothing:
                     rows.append((file["file_id"], None, None, None, None, False))
                 else:
